@@ -9,6 +9,8 @@ ENTRIES = (
     ("secret_scan", "op1_secret_scan", "OP1_SQL"),
     ("chat_format", "op3_chat_format", "OP3_SQL"),
     ("exact_dedup", "op4_exact_dedup", "OP4_SQL"),
+    ("decontaminate", "op5_decontaminate", "OP5_SQL"),
+    ("token_files", "op6_token_files", None),
 )
 
 
