@@ -11,6 +11,9 @@ ENTRIES = (
     ("exact_dedup", "op4_exact_dedup", "OP4_SQL"),
     ("decontaminate", "op5_decontaminate", "OP5_SQL"),
     ("token_files", "op6_token_files", None),
+    ("quality_knn", "op7_quality", None),
+    ("language_model", "op8_lm_score", None),
+    ("sentencepiece_fst", "op10_sentencepiece", None),
 )
 
 

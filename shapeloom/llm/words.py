@@ -88,8 +88,8 @@ class Words:
     """Words of a chunk: byte spans, and for each document the index of its first word
     (``first`` has one entry more than there are documents)."""
 
-    def __init__(self, column: pa.Array, separators: np.ndarray = BLANK, lower: bool = False):
-        data, offsets = text_bytes(column)
+    def __init__(self, column: pa.Array | tuple[np.ndarray, np.ndarray], separators: np.ndarray = BLANK, lower: bool = False):
+        data, offsets = column if isinstance(column, tuple) else text_bytes(column)
         self.data = data = LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
