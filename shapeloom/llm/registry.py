@@ -7,6 +7,7 @@ import importlib
 #: (module, query, name of its SQL or None)
 ENTRIES = (
     ("secret_scan", "op1_secret_scan", "OP1_SQL"),
+    ("substring_dedup", "op2_substring_dedup", "OP2_SQL"),
     ("chat_format", "op3_chat_format", "OP3_SQL"),
     ("exact_dedup", "op4_exact_dedup", "OP4_SQL"),
     ("decontaminate", "op5_decontaminate", "OP5_SQL"),
