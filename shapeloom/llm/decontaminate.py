@@ -148,7 +148,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]
     size = items.agg(F.coalesce(F.sum(F.floor(F.length("text") / 2) + 1), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // limit))
     for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else items
+        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i) if n > 1 else items
         yield [(r.item, r.text) for r in part.collect()]
 
 
@@ -186,6 +186,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = LEAST_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which fewer than ``least`` items have windows; nothing is
+    shuffled. An item lies in one block, so the counts of several blocks add up."""
+    spark, count = docs.sparkSession, "_items"
+    out = docs.withColumn(count, F.lit(0))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    for block in _blocks(benchmark, block_words):
+        table = spark.sparkContext.broadcast(Benchmark(block))
+
+        def add(batches, table=table):
+            for batch in chunked(batches, text_col):
+                items = table.value.scan(batch.column(batch.schema.get_field_index(text_col)))[2]
+                at = batch.schema.get_field_index(count)
+                total = np.asarray(batch.column(at)) + np.array([len(x) for x in items])
+                yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+        out = out.mapInArrow(add, fields)
+    return out.where(F.col(count) < least).drop(count)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -14,6 +14,7 @@ ENTRIES = (
     ("token_files", "op6_token_files", None),
     ("quality_knn", "op7_quality", None),
     ("language_model", "op8_lm_score", None),
+    ("jaccard_join", "op9_jaccard_join", "OP9_SQL"),
     ("sentencepiece_fst", "op10_sentencepiece", None),
 )
 

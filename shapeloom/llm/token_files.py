@@ -29,13 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shapeloom.llm.memo import memo
 from shapeloom.llm.words import chunked
 from shapeloom.shared import shared_path
 
 LENGTH, ROWS = 1024, 256
 END_ID = 1
-MEMO = 300_000
-LONGEST_KEPT = 64
 TOKENS = pa.schema([("tokens", pa.list_(pa.uint16(), LENGTH)), ("mask", pa.list_(pa.bool_(), LENGTH))])
 
 
@@ -49,27 +48,34 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class Encoder:
     """Texts to little-endian 16-bit ids."""
 
+    #: A symbol whose one id stands between the pieces that are encoded together.
+    BETWEEN = "¤"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo = memo(("ids", path))
+        between = self._ids(self.BETWEEN)
+        self.between = int(between[0]) if len(between) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        if self.between is None or any(self.BETWEEN in p for p in pieces):
+            return [self._ids(p).tobytes() for p in pieces]
+        ids = self._ids(f" {self.BETWEEN} ".join(pieces))
+        cut = np.flatnonzero(ids == self.between) * 2
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *(cut + 2).tolist()], [*cut.tolist(), len(flat)], strict=True)] if pieces else []
 
-    def encode(self, text: str | None) -> bytes:
-        pieces = (text or "").replace("\n", " ").split(" ")
-        memo = self.memo
-        if new := list(set(pieces).difference(memo)):
-            if len(memo) + len(new) > MEMO:
-                memo = self.memo = {"": b""}
-                new = list(set(pieces) - {""})
-            fresh = dict(zip(new, self._encode(new), strict=True))
-            memo.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_KEPT)
-            return b"".join([memo[p] if p in memo else fresh[p] for p in pieces])
-        return b"".join([memo[p] for p in pieces])
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        known = self.memo.fill({p for pieces in split for p in pieces}, self._encode)
+        return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u2") for pieces in split]
 
 
 class ShardWriter:
@@ -173,7 +179,7 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, shards: int |
         encoder, out = Encoder(tokenizer), ShardWriter(root, shard, id_type)
         end = np.array([END_ID], np.uint16)
         for batch in chunked(batches):
-            out.add(batch.column(0).cast(id_type), [np.concatenate([np.frombuffer(encoder.encode(t), "<u2"), end]) for t in batch.column(1).to_pylist()])
+            out.add(batch.column(0).cast(id_type), [np.concatenate([ids, end]) for ids in encoder.encode(batch.column(1).to_pylist())])
         out.close()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [out.n_docs], "n_tokens": [out.total]})
 
