@@ -31,10 +31,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, **write) -> DataFrame:
+#: Shuffle partitions of small rows (ids, digests, links) that one task writes as one file.
+TOGETHER = 8
+
+
+def fewer_files(df: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, for rows that are small beside the documents they are
+    about. A task goes through its shuffle partitions one after another, so it needs no more
+    memory, and there are at least two tasks a core."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) // TOGETHER
+    return df.coalesce(max(n, 2 * spark.sparkContext.defaultParallelism))
+
+
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut and no
-    executor's loss can undo it."""
+    executor's loss can undo it. ``small``: its rows are small."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path, **write)
+    (fewer_files(df) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
