@@ -20,18 +20,18 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (v, root): each vertex of an edge with the least of its component."""
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges", small=True)
     state = None
     while True:
         # Large star: every larger neighbour of v is linked to the least vertex next to v.
         near = _both(edges)
         least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = near.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.where("a <> b").distinct(), "component-large")
+        large = stored(large.where("a <> b").distinct(), "component-large", small=True)
         # Small star: v and its smaller neighbours are linked to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), "component-edges")
+        edges = stored(small.where("a <> b").distinct(), "component-edges", small=True)
         # Done when each vertex has one edge, to a root: then this sum no longer changes.
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

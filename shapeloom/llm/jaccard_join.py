@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.llm.components import components
 from shapeloom.llm.words import Words, chunked, mix, owner, windows
-from shapeloom.shared import stored
+from shapeloom.shared import fewer_files, stored
 
 WORDS = 5
 #: Similarity of 3/4: 100 times the intersection against 75 times the union.
@@ -327,21 +327,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         seed += 1
     classes = known.where("n > 0").groupBy("c").agg(F.min("d").alias("d"), *(F.first(x).alias(x) for x in ("n", "held0", "need0", "more0", "held1", "need1")))
-    classes = stored(classes, "jaccard-classes")
+    classes = stored(classes, "jaccard-classes", small=True)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // BUCKET)
-    entries = stored(allocate(repeated(index_rows(rows, min(buckets, 1 << 23), seed)), classes), "jaccard-entries")
+    entries = stored(allocate(repeated(index_rows(rows, min(buckets, 1 << 23), seed)), classes), "jaccard-entries", small=True)
     # One hub for each probed key; all other sets of the key are paired with it.
     hubs = entries.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last"), F.max("probe").alias("probed")).where("probed AND hub < last").select("key", "hub")
-    live = stored(entries.join(hubs.hint("merge"), "key"), "jaccard-live")
-    first = stored(live.where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct(), "jaccard-pairs")
+    live = stored(entries.join(hubs.hint("merge"), "key"), "jaccard-live", small=True)
+    first = stored(live.where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct(), "jaccard-pairs", small=True)
     wanted = first.select(F.col("a").alias("c")).unionByName(first.select(F.col("b").alias("c"))).distinct()
     sets = stored(sets_of(rows, classes.select("c", "d").join(wanted.hint("merge"), "c")), "jaccard-sets")
-    links = stored(verify(first, sets), "jaccard-links")
+    links = stored(verify(first, sets), "jaccard-links", small=True)
     roots = components(links)
     # Probes against the sets of their keys in other components.
     labelled = live.join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     labelled = labelled.join(labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key").hint("merge"), "key")
-    labelled = stored(labelled.select("key", "c", "kind", "below", "probe", "root"), "jaccard-rest")
+    labelled = stored(labelled.select("key", "c", "kind", "below", "probe", "root"), "jaccard-rest", small=True)
     here = labelled.where("probe").select("key", "root", F.col("c").alias("a"), F.col("kind").alias("ka"))
     parts = labelled.select("key", F.col("root").alias("other")).distinct()
     across = labelled.where("probe").select("key", "root").distinct().join(parts.hint("merge"), "key").where("root <> other")
@@ -351,14 +351,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     met = met.join(size.select(F.col("c").alias("a"), F.col("n").alias("na")).hint("merge"), "a").join(size.select(F.col("c").alias("b"), F.col("n").alias("nb")).hint("merge"), "b")
     met = met.where("na * 4 >= nb * 3 AND nb * 4 >= na * 3").select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti")
-    more = stored(verify(met, sets), "jaccard-more")
+    more = stored(verify(met, sets), "jaccard-more", small=True)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     named = known.select("id", "d", "n", "c").join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = classes.select("c", "d").join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("d").alias("least"))
     out = named.join(least.hint("merge"), "root", "left")
     found = F.when(F.col("n") == 0, F.col("d")).otherwise(F.col("least"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(found < LAST, found).alias("component_id"))
+    return fewer_files(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(found < LAST, found).alias("component_id")))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
