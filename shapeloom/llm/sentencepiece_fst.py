@@ -16,7 +16,7 @@ Each input is composed with them lazily and its shortest path taken in the tropi
 semiring (sums of weights along a path, least over paths). No piece goes on after a
 character before U+2581, nor over a character that is in no longer piece, so an input falls
 apart there into units whose paths are independent; paths of units are kept in a bounded
-memo. The machine is built anew on each worker from the model file's bytes (0.5 MB).
+memo. Each worker builds the machine from the model file's bytes (0.5 MB).
 
 Defined cases: null and empty texts give no ids and decode to ""; U+2581 in a text reads as
 a blank, as in the library, so such texts aren't decoded to themselves; texts of any length
@@ -27,21 +27,23 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shapeloom.llm.memo import Memo
 from shapeloom.llm.words import chunked
 
 SPACE = "▁"
-MEMO = 300_000
-LONGEST_KEPT = 64
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INF = float("inf")
+#: Weight of a byte fallback beside log probabilities.
+FALLBACK = 1e6
 
 
 class Transducer:
@@ -74,8 +76,8 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.pair_weight: dict[tuple[int, int], float] = {}
-        self.memo: dict[str, bytes] = {}
+        self.pair_weight: dict[int, bool] = {}
+        self.memo = Memo()
 
     def merge(self, text: str) -> list[str]:
         """The pieces that merging gives, best pair first, leftmost of equals."""
@@ -91,53 +93,75 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def weight(self, a: int, b: int) -> float:
-        """Of piece b after piece a."""
-        w = self.pair_weight.get((a, b))
-        if w is None:
-            x, y = self.pieces[a], self.pieces[b]
-            w = self.pair_weight[a, b] = 0.0 if self.merge(x + y) == [x, y] else INF
-        return w
-
-    def arcs(self, unit: str, i: int):
-        """(end, id, weight) of the piece arcs from place i; id -1: byte fallback."""
-        node, j, found = self.trie, i, False
-        while j < len(unit) and unit[j] in node:
-            node = node[unit[j]]
-            j += 1
-            if "" in node:
-                found |= j == i + 1
-                yield j, node[""], 0.0 if self.bpe else -self.score[unit[i:j]]
-        if not found:
-            yield i + 1, -1, 0.0 if self.bpe else 1e6
+    def allowed(self, a: int, b: int) -> bool:
+        """Whether the acceptor weighs piece b after piece a 0."""
+        x, y = self.pieces[a], self.pieces[b]
+        ok = self.pair_weight[a << 20 | b] = self.merge(x + y) == [x, y]
+        return ok
 
     def path(self, unit: str) -> list[int]:
-        """Ids on the shortest path. States: place and, for BPE, the last piece."""
-        if self.bpe and SPACE * 2 in unit:
+        """Ids on the shortest path."""
+        if not self.bpe:
+            return self._least(unit)
+        if SPACE * 2 in unit:
             return self._ids(self.merge(unit))  # runs of blanks have equal ranks: the order of merging decides
-        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(unit) + 1)]
-        best[0] = {-2: (0.0, -1, -2)}
-        for i in range(len(unit)):
-            if not best[i]:
+        # All finite weights are 0, and no place is reached by two paths of finite weight: the
+        # result of merging is one. So a place has one state, the piece that ends there.
+        n = len(unit)
+        last, back = [None] * (n + 1), [0] * (n + 1)
+        last[0] = -1
+        trie, known = self.trie, self.pair_weight
+        for i in range(n):
+            state = last[i]
+            if state is None:
                 continue
-            for j, piece, w in self.arcs(unit, i):
-                cost, last = INF, -2
-                for state, (c, _, _) in best[i].items():
-                    both = 0.0 if not self.bpe or state < 0 or piece < 0 else self.weight(state, piece)
-                    if c + w + both < cost:
-                        cost, last = c + w + both, state
-                key = piece if self.bpe else -2
-                if cost < best[j].get(key, (INF,))[0]:
-                    best[j][key] = (cost, i, last) if self.bpe else (cost, i, piece)
-        out: list[int] = []
-        j = len(unit)
-        state = min(best[j], key=lambda s: best[j][s][0])
+            node, j, alone = trie, i, True
+            while j < n:
+                node = node.get(unit[j])
+                if node is None:
+                    break
+                j += 1
+                piece = node.get("")
+                if piece is not None:
+                    if j == i + 1:
+                        alone = False
+                    if last[j] is None:
+                        ok = True
+                        if state >= 0:
+                            ok = known.get(state << 20 | piece)
+                            if ok is None:
+                                ok = self.allowed(state, piece)
+                        if ok:
+                            last[j], back[j] = piece, i
+            if alone and last[i + 1] is None:
+                last[i + 1], back[i + 1] = -1, i
+        out, j = [], n
         while j:
-            _, i, back = best[j][state]
-            piece = state if self.bpe else back
-            out[:0] = self._bytes(unit[i]) if piece < 0 else [piece]
-            j, state = i, back if self.bpe else -2
-        return out
+            i = back[j]
+            out.append([last[j]] if last[j] >= 0 else self._bytes(unit[i]))
+            j = i
+        return [x for ids in reversed(out) for x in ids]
+
+    def _least(self, unit: str) -> list[int]:
+        """The same for models whose scores are log probabilities."""
+        best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(INF, 0, -1)] * len(unit)
+        for i in range(len(unit)):
+            node, j, arcs = self.trie, i, []
+            while j < len(unit) and unit[j] in node:
+                node, j = node[unit[j]], j + 1
+                if "" in node:
+                    arcs.append((j, node[""], -self.score[unit[i:j]]))
+            if not any(j == i + 1 for j, _, _ in arcs):
+                arcs.append((i + 1, -1, FALLBACK))
+            for j, piece, w in arcs:
+                if best[i][0] + w < best[j][0]:
+                    best[j] = (best[i][0] + w, i, piece)
+        out, j = [], len(unit)
+        while j:
+            _, i, piece = best[j]
+            out.append([piece] if piece >= 0 else self._bytes(unit[i]))
+            j = i
+        return [x for ids in reversed(out) for x in ids]
 
     def _bytes(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()]
@@ -145,34 +169,32 @@ class Transducer:
     def _ids(self, parts: list[str]) -> list[int]:
         return [i for p in parts for i in ([self.ids[p]] if p in self.ids else self._bytes(p))]
 
-    def _unit(self, unit: str) -> bytes:
-        got = self.memo.get(unit)
-        if got is None:
-            got = np.array([i for u in self.unit.findall(unit) for i in self.path(u)], "<u4").tobytes()
-            if len(unit) <= LONGEST_KEPT:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[unit] = got
-        return got
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+    def _make(self, units: list[str]) -> list[bytes]:
+        find, path = self.unit.findall, self.path
+        return [array("I", [i for u in find(unit) for i in path(u)]).tobytes() for unit in units]
+
+    def _split(self, text: str | None) -> list[str]:
+        """The units of a text: lines fall apart before U+2581."""
         if not text:
-            return b""
-        text = self.prefix + text.replace(" ", SPACE)
-        memo, unit = self.memo, self._unit
-        out = []
-        for k, line in enumerate(text.split("\n")):
+            return []
+        out: list[str] = []
+        for k, line in enumerate((self.prefix + text.replace(" ", SPACE)).split("\n")):
             if k:
-                out.append(memo.get("\n") or unit("\n"))
+                out.append("\n")
             head, *rest = line.split(SPACE)
             if "" in rest:  # runs of blanks
-                out += [memo.get(u) or unit(u) for u in re.findall(f"^[^{SPACE}]+|{SPACE}+[^{SPACE}]*", line)]
+                out += re.findall(f"^[^{SPACE}]+|{SPACE}+[^{SPACE}]*", line)
                 continue
             if head:
-                out.append(memo.get(head) or unit(head))
-            out += [memo.get(u) or unit(u) for u in [SPACE + w for w in rest]]
-        return b"".join(out)
+                out.append(head)
+            out += [SPACE + w for w in rest]
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit integers."""
+        split = [self._split(t) for t in texts]
+        known = self.memo.fill({u for units in split for u in units}, self._make)
+        return [b"".join([known[u] for u in units]) for units in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text: pieces joined, runs of byte pieces as UTF-8, the prefix taken off."""
@@ -186,6 +208,16 @@ class Transducer:
     _shown: list[bytes] | None = None
 
 
+_machines: dict[bytes, Transducer] = {}
+
+
+def machine(model: bytes) -> Transducer:
+    """The worker's machine of this model; its memo and acceptor last from task to task."""
+    if model not in _machines:
+        _machines[model] = Transducer(model)
+    return _machines[model]
+
+
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids: array<int>, decoded) for each row; ``model`` is a file of the driver."""
     with open(model, "rb") as f:
@@ -194,9 +226,9 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     kind = rows.schema["id"].dataType.simpleString()
 
     def encode(batches):
-        fst = Transducer(data.value)
+        fst = machine(data.value)
         for batch in chunked(batches):
-            ids = [np.frombuffer(fst.encode(t), "<u4") for t in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(x, "<u4") for x in fst.encode(batch.column(1).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([fst.decode(x.tolist()) for x in ids], pa.string())], ["id", "ids", "decoded"])
@@ -215,11 +247,11 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def encode(batches):
         import hashlib
 
-        fst = Transducer(data.value)
+        fst = machine(data.value)
         for batch in chunked(batches):
             out = []
-            for t in batch.column(1).to_pylist():
-                ids = fst.encode(t)
+            texts = batch.column(1).to_pylist()
+            for t, ids in zip(texts, fst.encode(texts), strict=True):
                 decoded = fst.decode(np.frombuffer(ids, "<u4").tolist())
                 out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(decoded.encode()).hexdigest(), decoded == (t or "")))
             n, crc, sha, same = zip(*out, strict=True)
