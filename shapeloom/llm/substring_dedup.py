@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.llm.words import Words, chunked, windows
-from shapeloom.shared import stored
+from shapeloom.shared import fewer_files, stored
 
 WINDOW = 50
 GRAM = 25
@@ -271,13 +271,14 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame
     first = known.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("d").alias("first"))
     out = known.drop("prints").join(first.hint("merge"), "digest", "left").join(cut.hint("merge"), ["d", "t"], "left")
     copy = F.col("d") > F.col("first")
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, EMPTY).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
         F.when(copy, F.array(F.struct(F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>"))).alias("spans"),
     )
+    return fewer_files(out)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
