@@ -9,12 +9,14 @@ in at most H = floor((|r| + min(|r|, U)) / 7) elements if they are that similar.
 * Pigeonhole. Give segment i of r a threshold v_i of -1, 0 or 1. If the v_i + 1 sum up to
   H + 1 or more, then some segment has r_i and s_i differing in at most v_i elements. Each set
   indexes its non-empty segment subsets in its own context and in the one below. Threshold 0
-  is met by equal subsets, threshold 1 also by one-deletion neighbours, which are indexed for
-  the small bands; larger sets have so many segments that 0 is enough (a set for which it
-  isn't makes the driver deal the universe by another seed).
+  is met by equal subsets, threshold 1 also by one-deletion neighbours. Sets of the small
+  bands whose non-empty segments are fewer than H + 1 use threshold 1; if there is one such
+  set, all small sets index their neighbours. Larger sets have so many segments that 0 is
+  enough (a set for which it isn't makes the driver deal the universe by another seed).
 * Cost-based allocation. A subset that only r holds costs nothing and already counts, as no
   s can match it. So r probes only the missing number of segments, those with the fewest
-  other sets. A set with H + 1 segments of its own has no similar partner at all.
+  other sets. A set with H + 1 segments of its own has no similar partner at all. All sets
+  order subsets alike, so only the first ones of the smaller set need be met either.
 * Candidates. In each probed segment, all sets are first paired with one of them. Links found
   give components; then all probes are paired with those sets of their segments that lie in
   other components, so no link between components is missed and pairs within a group of
@@ -88,12 +90,12 @@ def class_ids(doc: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
 class Partition:
     """How sets of given sizes are dealt into segments in one of their two contexts."""
 
-    def __init__(self, sizes: np.ndarray, below: bool):
+    def __init__(self, sizes: np.ndarray, below: bool, least: int):
         band = np.searchsorted(FLOORS, sizes, side="right") - 1 - int(below)
         self.ok = (band >= 0) & (sizes > 0)
         self.band = np.maximum(band, 0)
         top = FLOORS[self.band + 1] - 1
-        self.segments = np.maximum(LEAST_SEGMENTS, (top * 9 + 19) // 20)
+        self.segments = np.maximum(least, (top * 9 + 19) // 20)
         self.need = (sizes + np.minimum(sizes, top)) // 7 + 1
         self.deletions = top <= SMALL
         #: The most elements in which a set differs from a larger partner.
@@ -121,9 +123,10 @@ class Partition:
         return mix(total + salt), doc[start], size, mix((total[of] - x + salt[of])[drop]), doc[drop]
 
 
-def profile(docs: DataFrame, seed: int) -> DataFrame:
+def profile(docs: DataFrame, seed: int, least: int) -> DataFrame:
     """(d, id, text) -> (d, id, n, c: its class, of both contexts: held (non-empty segments),
-    need (H + 1), more (segments it must share with a larger partner), short)."""
+    need (H + 1); most: one more than it and a larger partner may differ in; narrow: it
+    needs thresholds of 1; short: its segments don't suffice even so)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -131,23 +134,24 @@ def profile(docs: DataFrame, seed: int) -> DataFrame:
             doc, w = shingles(batch.column(2))
             n = np.bincount(doc, minlength=batch.num_rows)
             out = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(class_ids(doc, w, len(n)))]
-            short = np.zeros(len(n), bool)
+            short, narrow = np.zeros(len(n), bool), np.zeros(len(n), bool)
             for below in (False, True):
-                p = Partition(n, below)
+                p = Partition(n, below, least)
                 _, of, size, _, _ = p.subsets(doc, w, seed)
                 held = np.bincount(of, minlength=len(n))
                 able = np.bincount(of, weights=np.minimum(size, 2), minlength=len(n))
+                narrow |= p.ok & (held < p.need)
                 short |= p.ok & (np.where(p.deletions, able, held) < p.need)
                 out += [pa.array(np.where(p.ok, x, 0), pa.int64()) for x in (held, p.need)]
                 if not below:
-                    out.append(pa.array(np.maximum(1, held - p.most), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out, pa.array(short)], names)
+                    out += [pa.array(p.most + 1, pa.int64()), pa.array(p.deletions & p.ok)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(narrow), pa.array(short)], names)
 
-    names = ["d", "id", "n", "c", "held0", "need0", "more0", "held1", "need1", "short"]
-    return docs.mapInArrow(run, f"d long, id {kind}, n long, c long, held0 long, need0 long, more0 long, held1 long, need1 long, short boolean")
+    names = ["d", "id", "n", "c", "held0", "need0", "most", "small", "held1", "need1", "narrow", "short"]
+    return docs.mapInArrow(run, f"d long, id {kind}, n long, c long, held0 long, need0 long, most long, small boolean, held1 long, need1 long, narrow boolean, short boolean")
 
 
-def index_rows(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
+def index_rows(docs: DataFrame, buckets: int, seed: int, least: int, deletions: bool) -> DataFrame:
     """Packed index entries: (bucket, sets, keys, at). An entry is the 40 key bits below
     those that name the bucket, and the place of its set in ``sets`` with flags for its kind:
     a deletion neighbour, the context below."""
@@ -182,8 +186,8 @@ def index_rows(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
             keep[np.unique(names, return_index=True)[1]] = True
             doc, w = doc[keep[doc]], w[keep[doc]]
             for below in (0, 1):
-                key, of, _, dkey, dof = Partition(sizes, bool(below)).subsets(doc, w, seed)
-                for k, o, kind in ((key, of, 0), (dkey, dof, 1)):
+                key, of, _, dkey, dof = Partition(sizes, bool(below), least).subsets(doc, w, seed)
+                for k, o, kind in ((key, of, 0), (dkey, dof, 1))[: 1 + deletions]:
                     held.append((k, ((o + n_sets) << 2) | (2 * below + kind)))
                     n += len(k)
             sets.append(names)
@@ -202,8 +206,8 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(c, below, ks): of each set, the entries (others: how many sets have this subset, kind,
-    key) whose key another set has too."""
+    """(c, below, others, kind, key): the entries whose key another set has too, and how many
+    sets have this subset."""
 
     def solve(bucket: int, packs: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, ...]:
         keys, sets, flags = [], [], []
@@ -245,13 +249,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
         def out():
             key, c, flag, others = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((flag >> 1, c))
-            key, c, flag, others = key[order], c[order], flag[order], others[order]
-            new = np.ones(len(c), bool)
-            new[1:] = (c[1:] != c[:-1]) | ((flag[1:] ^ flag[:-1]) >> 1 != 0)
-            start = np.flatnonzero(new)
-            ks = pa.StructArray.from_arrays([pa.array(others.astype(np.int32)), pa.array((flag & 1).astype(np.int32)), pa.array(key.view(np.int64))], ["others", "kind", "key"])
-            return pa.RecordBatch.from_arrays([pa.array(c[start]), pa.array((flag[start] >> 1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(start, len(c)).astype(np.int32)), ks)], ["c", "below", "ks"])
+            return pa.RecordBatch.from_arrays([pa.array(c), pa.array((flag >> 1).astype(np.int32)), pa.array(others.astype(np.int32)), pa.array((flag & 1).astype(np.int32)), pa.array(key.view(np.int64))], ["c", "below", "others", "kind", "key"])
 
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -270,24 +268,33 @@ def repeated(rows: DataFrame) -> DataFrame:
         if n:
             yield out()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "c long, below int, ks array<struct<others:int,kind:int,key:long>>")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "c long, below int, others int, kind int, key long")
 
 
-def allocate(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, c, kind, below, probe): the entries that can still lead to a pair, and whether
-    their set probes them."""
-    own = found.groupBy("c", "below").agg(F.flatten(F.collect_list("ks")).alias("ks")).join(classes.hint("merge"), "c")
+def allocate(found: DataFrame, classes: DataFrame, deletions: bool) -> DataFrame:
+    """(key, c, n, kind, below, probe): the entries that can still lead to a pair, and whether
+    their set probes them.
+
+    All sets order subsets alike, by the number of sets and the key. In that order the first
+    H + 1 of r and the first of s, as many as s and a partner of it may differ in and one
+    more, share a subset if the two are similar; a set's own subsets come first and are no
+    entries.
+    """
+    ks = F.collect_list(F.struct("others", "kind", "key")).alias("ks")
+    own = found.repartition("c", "below").groupBy("c", "below").agg(ks).join(classes.hint("merge"), "c")
     whole = F.array_sort(F.filter("ks", lambda x: x["kind"] == 0))
     own = own.withColumn("whole", whole).withColumn("near", F.filter("ks", lambda x: x["kind"] == 1))
     below = F.col("below") == 1
     held, need = F.when(below, F.col("held1")).otherwise(F.col("held0")), F.when(below, F.col("need1")).otherwise(F.col("need0"))
-    shared = F.size("whole")
-    missing = (need - (held - shared)).cast("int")
-    narrow = held < need  # then thresholds of 1 are needed as well
-    alive = narrow | (shared >= F.when(below, F.greatest(F.lit(1), held - need + 1)).otherwise(F.least("more0", F.greatest(F.lit(1), held - need + 1))))
+    free = held - F.size("whole")
+    missing = (need - free).cast("int")
+    narrow = held < need  # then thresholds of 1 are needed as well, and small sets can be met in any subset
+    whole_set = narrow | (F.col("small") & ~below & F.lit(deletions))
+    kept = F.when(below, missing).otherwise(F.greatest(missing, (F.col("most") - free).cast("int")))
+    first = F.when(whole_set, F.col("whole")).otherwise(F.slice("whole", 1, F.greatest(kept, F.lit(0))))
     marked = lambda xs, probe: F.transform(xs, lambda x, i: F.struct(x["key"].alias("key"), x["kind"].alias("kind"), probe(i).alias("probe")))
-    entries = F.concat(marked(F.col("whole"), lambda i: narrow | (i < missing)), marked(F.col("near"), lambda i: narrow))
-    return own.where(alive).select("c", "below", F.explode(entries).alias("e")).select("e.key", "c", "e.kind", "below", "e.probe")
+    entries = F.concat(marked(first, lambda i: narrow | (i < missing)), marked(F.when(whole_set, F.col("near")).otherwise(F.slice("near", 1, 0)), lambda i: narrow))
+    return own.select("c", "n", "below", F.explode(entries).alias("e")).select("e.key", "c", "n", "e.kind", "below", "e.probe")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -316,20 +323,20 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * WHOLE >= (F.col("na") + F.col("nb") - common) * SHARE).select("a", "b")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, least_segments: int = LEAST_SEGMENTS) -> DataFrame:
     """One row for each document: id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     while True:
-        known = stored(profile(rows, seed), "jaccard-profiles")
-        short, total = known.agg(F.coalesce(F.max("short"), F.lit(False)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        known = stored(profile(rows, seed, least_segments), "jaccard-profiles")
+        short, narrow, total = known.agg(*(F.coalesce(F.max(x), F.lit(False)) for x in ("short", "narrow")), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not short:
             break
         seed += 1
-    classes = known.where("n > 0").groupBy("c").agg(F.min("d").alias("d"), *(F.first(x).alias(x) for x in ("n", "held0", "need0", "more0", "held1", "need1")))
+    classes = known.where("n > 0").groupBy("c").agg(F.min("d").alias("d"), *(F.first(x).alias(x) for x in ("n", "held0", "need0", "most", "small", "held1", "need1")))
     classes = stored(classes, "jaccard-classes", small=True)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // BUCKET)
-    entries = stored(allocate(repeated(index_rows(rows, min(buckets, 1 << 23), seed)), classes), "jaccard-entries", small=True)
+    entries = stored(allocate(repeated(index_rows(rows, min(buckets, 1 << 23), seed, least_segments, narrow)), classes, narrow), "jaccard-entries", small=True)
     # One hub for each probed key; all other sets of the key are paired with it.
     hubs = entries.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last"), F.max("probe").alias("probed")).where("probed AND hub < last").select("key", "hub")
     live = stored(entries.join(hubs.hint("merge"), "key"), "jaccard-live", small=True)
@@ -341,16 +348,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Probes against the sets of their keys in other components.
     labelled = live.join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     labelled = labelled.join(labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key").hint("merge"), "key")
-    labelled = stored(labelled.select("key", "c", "kind", "below", "probe", "root"), "jaccard-rest", small=True)
-    here = labelled.where("probe").select("key", "root", F.col("c").alias("a"), F.col("kind").alias("ka"))
-    parts = labelled.select("key", F.col("root").alias("other")).distinct()
+    labelled = stored(labelled.select("key", "c", "n", "kind", "below", "probe", "root"), "jaccard-rest", small=True)
+    here = labelled.where("probe").select("key", "root", F.col("c").alias("a"), F.col("n").alias("na"), F.col("kind").alias("ka"))
+    parts = labelled.where("below = 0").select("key", F.col("root").alias("other")).distinct()
     across = labelled.where("probe").select("key", "root").distinct().join(parts.hint("merge"), "key").where("root <> other")
-    there = labelled.select("key", F.col("root").alias("other"), F.col("c").alias("b"), F.col("kind").alias("kb"))
-    met = across.join(here.hint("merge"), ["key", "root"]).join(there.hint("merge"), ["key", "other"]).where("ka = 0 OR kb = 0")
-    size = classes.select("c", "n")
-    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    met = met.join(size.select(F.col("c").alias("a"), F.col("n").alias("na")).hint("merge"), "a").join(size.select(F.col("c").alias("b"), F.col("n").alias("nb")).hint("merge"), "b")
-    met = met.where("na * 4 >= nb * 3 AND nb * 4 >= na * 3").select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti")
+    there = labelled.where("below = 0").select("key", F.col("root").alias("other"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("kind").alias("kb"))
+    met = across.join(here.hint("merge"), ["key", "root"]).join(there.hint("merge"), ["key", "other"]).where("(ka = 0 OR kb = 0) AND na >= nb AND nb * 4 >= na * 3")
+    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
     more = stored(verify(met, sets), "jaccard-more", small=True)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
