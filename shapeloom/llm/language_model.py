@@ -1,7 +1,8 @@
 """LM scoring with a log-frequency Bloom filter.
 
 All training n-grams (words and pairs of words, with a start and an end) are counted over
-the whole corpus; partial counts are made in each task before the shuffle. An n-gram of
+the whole corpus; partial counts are made in each task before the shuffle, whose rows are
+therefore not put into a second table on that side. An n-gram of
 count c is entered into the filter at the levels 1 .. 1 + floor(log2 c). A count is read
 back by probing level after level until one is missing, which gives the count's power of
 two; its estimate is the middle of that range. The filter is blocked: an n-gram's probes
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.llm.words import BLANK, Words, chunked, mix
-from shapeloom.shared import stored
+from shapeloom.shared import fewer_files, stored
 
 MAX_BITS = 1 << 28
 PAGE_BITS = 1 << 20
@@ -131,7 +132,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     partial = docs.select("text").mapInArrow(count, "n int, x long, c long")
-    return partial.groupBy("n", "x").agg(F.sum("c").alias("c"))
+    return partial.repartition("n", "x").groupBy("n", "x").agg(F.sum("c").alias("c"))
 
 
 def build_filter(grams: DataFrame) -> LogFrequencyFilter:
@@ -193,7 +194,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``,
     learning from the rows of ``train``."""
     spark = docs.sparkSession
-    grams = stored(count_grams(train.select(F.col(text_col).alias("text"))).where((F.col("n") == 1) | (F.col("c") > 1)), "lm-grams")
+    grams = stored(count_grams(train.select(F.col(text_col).alias("text"))).where((F.col("n") == 1) | (F.col("c") > 1)), "lm-grams", small=True)
     words = grams.where("n = 1")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     norm = total + 0.1 * (distinct + 1)
@@ -245,7 +246,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     found = cold.join(words.select("x", "c").hint("merge"), "x", "left").dropDuplicates(["x", "key", "key2"])
     value = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(norm)) * F.col("m")
     sums = found.groupBy("key", "key2").agg(F.sum(value).alias("cold_base"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("cold_known"))
-    return scored.join(sums.hint("merge"), ["key", "key2"], "left").select(
+    out = scored.join(sums.hint("merge"), ["key", "key2"], "left").select(
         F.col("id").alias(id_col),
         "n_tokens",
         (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
@@ -253,6 +254,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         (F.col("hot_base") + F.coalesce("cold_base", F.lit(0.0))).alias("base_score"),
         "score",
     )
+    return fewer_files(out)
 
 
 def held_out(id_col, of: int, remainder: int):
