@@ -7,6 +7,7 @@ A pattern is a variable's number or a term in canonical form.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -198,7 +199,6 @@ class Layouts:
 
 
 #: The presets: name, kind, XSD datatype.
-PRELUDE = "https://treeldr.org/prelude#"
 PRESETS = (
     ("id", "id", ""),
     ("unit", "unit", ""),
@@ -213,14 +213,29 @@ PRESETS = (
     ("i64", "number", "long"),
     ("string", "string", "string"),
 )
+_PRESET = re.compile(r"<[a-z]+://[^#>]+/prelude#(\w+)>")
+
+
+class Prelude(Layouts):
+    """The presets, under any namespace that ends in ``/prelude#``."""
+
+    def _kind(self, ref: str) -> tuple[str, str, str] | None:
+        m = _PRESET.fullmatch(ref)
+        return next((p for p in PRESETS if m and p[0] == m[1]), None)
+
+    def __contains__(self, ref: str) -> bool:
+        return self._kind(ref) is not None
+
+    def __getitem__(self, ref: str) -> Layout:
+        found = self._kind(ref)
+        if found is None:
+            return super().__getitem__(ref)
+        _, kind, datatype = found
+        return Id(ref) if kind == "id" else Unit(ref) if kind == "unit" else Data(ref, kind=kind, datatype=XSD + datatype)
 
 
 def prelude() -> Layouts:
-    out = Layouts()
-    for name, kind, datatype in PRESETS:
-        ref = f"<{PRELUDE}{name}>"
-        out.insert(Id(ref) if kind == "id" else Unit(ref) if kind == "unit" else Data(ref, kind=kind, datatype=XSD + datatype))
-    return out
+    return Prelude()
 
 
 def load_layouts(*paths: str, with_prelude: bool = True) -> tuple[Layouts, list[str]]:

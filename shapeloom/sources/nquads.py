@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("application/n-quads", "n-quads", "nquads", "nq")
-_IRI, _BLANK = r"<[^\x00-\x20<>\"{}|^`\\]*(?:\\[uU][0-9A-Fa-f]+[^\x00-\x20<>\"{}|^`\\]*)*>", r"_:[^\s<>\"]*[^\s<>\".]"
-_LITERAL = r"\"(?:[^\"\\\n\r]|\\.)*\"(?:\^\^<[^>]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?"
-LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
+# Possessive repetitions: the JVM goes through them without a stack frame a character.
+_IRI, _BLANK = r"<[^\x00-\x20<>\"{}|^`]*+>", r"_:[^\s<>\"]*[^\s<>\".]"
+_LITERAL = r"\"[^\"\\\n\r]*+(?:\\.[^\"\\\n\r]*+)*+\"(?:\^\^<[^>]*+>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*+)?"
+LINE = rf"^\s*+({_IRI}|{_BLANK})\s*+({_IRI})\s*+({_IRI}|{_BLANK}|{_LITERAL})\s*+({_IRI}|{_BLANK})?\s*+\.\s*+(?:#.*+)?$"
 XSD_STRING_SUFFIX = "^^<http://www.w3.org/2001/XMLSchema#string>"
 
 
@@ -52,12 +53,13 @@ def parse_lines(lines: DataFrame, mode: str = "failfast") -> DataFrame:
     comments are skipped; others that are no quads fail, or are dropped (dropmalformed)."""
     blank, ok = F.col("value").rlike(r"^\s*(#.*)?$"), F.col("value").rlike(LINE)
     rows = numeric_escapes(lines.select("value").where(~blank))
-    part = lambda i: F.regexp_extract("value", LINE, i)
     if mode == "dropmalformed":
         rows = rows.where(ok)
     else:  # the optimiser may evaluate this before the filter above
         rows = rows.select(F.when(ok | blank, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no quad: "), F.col("value")))).alias("value"))
-    return rows.select(canonical(part(1)).alias("s"), canonical(part(2)).alias("p"), canonical(part(3)).alias("o"), F.nullif(part(4), F.lit("")).alias("g"))
+    parts = rows.select(F.split(F.regexp_replace("value", LINE, "$1\n$2\n$3\n$4"), "\n").alias("t"))  # a line has no line feed
+    t = F.col("t")
+    return parts.select(t[0].alias("s"), t[1].alias("p"), canonical(t[2]).alias("o"), F.nullif(t[3], F.lit("")).alias("g"))
 
 
 def read_nquads(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
