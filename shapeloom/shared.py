@@ -51,3 +51,11 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     path = shared_path(spark, name)
     (fewer_files(df) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
