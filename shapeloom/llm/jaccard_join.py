@@ -17,10 +17,10 @@ in at most H = floor((|r| + min(|r|, U)) / 7) elements if they are that similar.
   s can match it. So r probes only the missing number of segments, those with the fewest
   other sets. A set with H + 1 segments of its own has no similar partner at all. All sets
   order subsets alike, so only the first ones of the smaller set need be met either.
-* Candidates. In each probed segment, all sets are first paired with one of them. Links found
-  give components; then all probes are paired with those sets of their segments that lie in
-  other components, so no link between components is missed and pairs within a group of
-  copies are not listed.
+* Candidates. In each probed segment, all sets are first paired with one of them. Links
+  found give components; then, where a segment has sets of several components, its probes
+  are compared with those of the others in blocks (``links_between``), so no link between
+  components is missed and pairs within a group of copies are not listed.
 * Verification counts the shingles that both sets have.
 
 Documents with equal sets are one class from the start and share its component. Component
@@ -51,6 +51,8 @@ SMALL = 128
 #: Index entries a packed row may hold, and entries a bucket shall have.
 PACK = 1 << 20
 BUCKET = 500_000
+#: Shingles of a block of a family.
+BLOCK_SHINGLES = 1_000_000
 LAST = (1 << 63) - 1
 
 #: The least sizes of the bands.
@@ -144,11 +146,11 @@ def profile(docs: DataFrame, seed: int, least: int) -> DataFrame:
                 short |= p.ok & (np.where(p.deletions, able, held) < p.need)
                 out += [pa.array(np.where(p.ok, x, 0), pa.int64()) for x in (held, p.need)]
                 if not below:
-                    out += [pa.array(p.most + 1, pa.int64()), pa.array(p.deletions & p.ok)]
+                    out += [pa.array(p.band, pa.int32()), pa.array(p.most + 1, pa.int64()), pa.array(p.deletions & p.ok)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(narrow), pa.array(short)], names)
 
-    names = ["d", "id", "n", "c", "held0", "need0", "most", "small", "held1", "need1", "narrow", "short"]
-    return docs.mapInArrow(run, f"d long, id {kind}, n long, c long, held0 long, need0 long, most long, small boolean, held1 long, need1 long, narrow boolean, short boolean")
+    names = ["d", "id", "n", "c", "held0", "need0", "band", "most", "small", "held1", "need1", "narrow", "short"]
+    return docs.mapInArrow(run, f"d long, id {kind}, n long, c long, held0 long, need0 long, band int, most long, small boolean, held1 long, need1 long, narrow boolean, short boolean")
 
 
 def index_rows(docs: DataFrame, buckets: int, seed: int, least: int, deletions: bool) -> DataFrame:
@@ -272,8 +274,8 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def allocate(found: DataFrame, classes: DataFrame, deletions: bool) -> DataFrame:
-    """(key, c, n, kind, below, probe): the entries that can still lead to a pair, and whether
-    their set probes them.
+    """(key, c, n, context, rank, below, probe): the entries that can still lead to a pair, and
+    whether their set probes them; rank: how much of the set other sets have too.
 
     All sets order subsets alike, by the number of sets and the key. In that order the first
     H + 1 of r and the first of s, as many as s and a partner of it may differ in and one
@@ -292,9 +294,10 @@ def allocate(found: DataFrame, classes: DataFrame, deletions: bool) -> DataFrame
     whole_set = narrow | (F.col("small") & ~below & F.lit(deletions))
     kept = F.when(below, missing).otherwise(F.greatest(missing, (F.col("most") - free).cast("int")))
     first = F.when(whole_set, F.col("whole")).otherwise(F.slice("whole", 1, F.greatest(kept, F.lit(0))))
-    marked = lambda xs, probe: F.transform(xs, lambda x, i: F.struct(x["key"].alias("key"), x["kind"].alias("kind"), probe(i).alias("probe")))
+    marked = lambda xs, probe: F.transform(xs, lambda x, i: F.struct(x["key"].alias("key"), probe(i).alias("probe")))
     entries = F.concat(marked(first, lambda i: narrow | (i < missing)), marked(F.when(whole_set, F.col("near")).otherwise(F.slice("near", 1, 0)), lambda i: narrow))
-    return own.select("c", "n", "below", F.explode(entries).alias("e")).select("e.key", "c", "n", "e.kind", "below", "e.probe")
+    rank = (F.size("whole") * 1000 / F.greatest(held, F.lit(1))).cast("int").alias("rank")
+    return own.select("c", "n", (F.col("band") - F.col("below")).alias("context"), rank, "below", F.explode(entries).alias("e")).select("e.key", "c", "n", "context", "rank", "below", "e.probe")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -323,7 +326,85 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * WHOLE >= (F.col("na") + F.col("nb") - common) * SHARE).select("a", "b")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, least_segments: int = LEAST_SEGMENTS) -> DataFrame:
+def cross_links(names: np.ndarray, sets: list[np.ndarray], root: np.ndarray, probe: np.ndarray, own: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Similar pairs of sets in different components, one of which probes and the other of
+    which is in its own context: for each probing set one of each component that it has a
+    link to. ``side``: only pairs of both sides, if given. Each probing set counts its
+    shingles' other holders."""
+    size = np.array([len(x) for x in sets])
+    holder = np.repeat(np.arange(len(sets)), size)
+    words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    holders, start = holder[order], np.searchsorted(at[order], np.arange(len(words) + 1))
+    cut = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for a in np.flatnonzero(probe).tolist():
+        mine = at[cut[a] : cut[a + 1]]
+        n = start[mine + 1] - start[mine]
+        found = holders[np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        common = np.bincount(found, minlength=len(sets))
+        ok = own & (root != root[a]) & (common * WHOLE >= (size + size[a] - common) * SHARE)
+        if side is not None:
+            ok &= side != side[a]
+        hits = np.flatnonzero(ok)
+        for b in hits[np.unique(root[hits], return_index=True)[1]].tolist():  # one link to a component is enough
+            out.append((int(max(names[a], names[b])), int(min(names[a], names[b]))))
+    return out
+
+
+def links_between(live: DataFrame, roots: DataFrame, sets: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) of classes in different components, those that join any two of them.
+
+    Sets of a context that share probed keys, directly or over others, are a family. Its
+    probes are compared with all its sets, in blocks of bounded size, and only links leave
+    the task: pairs aren't listed, and each set is sent once a pair of blocks it's in, however
+    many keys it shares.
+    """
+    labelled = live.join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    several = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("probed")).where("r0 < r1 AND probed").select("key")
+    rest = labelled.join(several.hint("merge"), "key").select("key", "c", "n", "below", "probe", "root", F.xxhash64("c", "context").alias("v"))
+    rest = stored(rest, "jaccard-rest", small=True)
+    stars = rest.join(rest.groupBy("key").agg(F.min("v").alias("m")).hint("merge"), "key").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    family = components(stars).withColumnRenamed("root", "family")
+    nodes = rest.groupBy("v").agg(F.max("probe").alias("probe"), F.min("below").alias("below"), *(F.first(x).alias(x) for x in ("c", "n", "root")))
+    nodes = stored(nodes.join(family.hint("merge"), "v"), "jaccard-nodes", small=True)
+    blocks = nodes.groupBy("family").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    block, other = F.pmod(F.xxhash64("c"), "blocks").cast("int"), F.col("other")
+    dealt = nodes.join(blocks.hint("merge"), "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), "block", "c", "root", "probe", "below")
+    rows = dealt.join(sets.select("c", "w").hint("merge"), "c").select("family", "i", "j", "block", "c", "root", "probe", "below", "w")
+
+    def solve(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(group)
+        block, names, root, probe, below = (t[x].to_numpy() for x in ("block", "c", "root", "probe", "below"))
+        w = [x.values.to_numpy() for x in t["w"]]
+        side = None if t["i"][0].as_py() == t["j"][0].as_py() else block
+        found = cross_links(names, w, root, probe, below == 0, side)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cut, cut[1:], strict=False):
+                mine = tuple(key[:, s].tolist())
+                if mine != now and held:
+                    yield solve(held)
+                    held = []
+                now = mine
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield solve(held)
+
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, least_segments: int = LEAST_SEGMENTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each document: id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -333,29 +414,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not short:
             break
         seed += 1
-    classes = known.where("n > 0").groupBy("c").agg(F.min("d").alias("d"), *(F.first(x).alias(x) for x in ("n", "held0", "need0", "most", "small", "held1", "need1")))
+    classes = known.where("n > 0").groupBy("c").agg(F.min("d").alias("d"), *(F.first(x).alias(x) for x in ("n", "held0", "need0", "band", "most", "small", "held1", "need1")))
     classes = stored(classes, "jaccard-classes", small=True)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // BUCKET)
     entries = stored(allocate(repeated(index_rows(rows, min(buckets, 1 << 23), seed, least_segments, narrow)), classes, narrow), "jaccard-entries", small=True)
-    # One hub for each probed key; all other sets of the key are paired with it.
-    hubs = entries.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last"), F.max("probe").alias("probed")).where("probed AND hub < last").select("key", "hub")
-    live = stored(entries.join(hubs.hint("merge"), "key"), "jaccard-live", small=True)
-    first = stored(live.where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct(), "jaccard-pairs", small=True)
-    wanted = first.select(F.col("a").alias("c")).unionByName(first.select(F.col("b").alias("c"))).distinct()
-    sets = stored(sets_of(rows, classes.select("c", "d").join(wanted.hint("merge"), "c")), "jaccard-sets")
+    keys = entries.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("probe").alias("probed")).where("probed AND c0 < c1").select("key")
+    live = stored(entries.join(keys.hint("merge"), "key"), "jaccard-live", small=True)
+    wanted = classes.select("c", "d").join(live.select("c").distinct().hint("merge"), "c")
+    sets = stored(sets_of(rows, wanted), "jaccard-sets")
+    # Each key names a hub, the set that others have most of; its other sets are paired with it.
+    hubs = live.groupBy("key").agg(F.max(F.struct("rank", "c")).alias("h")).select("key", F.col("h.c").alias("hub"))
+    first = live.join(hubs.hint("merge"), "key").where("c <> hub").select(F.greatest("c", "hub").alias("a"), F.least("c", "hub").alias("b")).distinct()
     links = stored(verify(first, sets), "jaccard-links", small=True)
     roots = components(links)
-    # Probes against the sets of their keys in other components.
-    labelled = live.join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    labelled = labelled.join(labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key").hint("merge"), "key")
-    labelled = stored(labelled.select("key", "c", "n", "kind", "below", "probe", "root"), "jaccard-rest", small=True)
-    here = labelled.where("probe").select("key", "root", F.col("c").alias("a"), F.col("n").alias("na"), F.col("kind").alias("ka"))
-    parts = labelled.where("below = 0").select("key", F.col("root").alias("other")).distinct()
-    across = labelled.where("probe").select("key", "root").distinct().join(parts.hint("merge"), "key").where("root <> other")
-    there = labelled.where("below = 0").select("key", F.col("root").alias("other"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("kind").alias("kb"))
-    met = across.join(here.hint("merge"), ["key", "root"]).join(there.hint("merge"), ["key", "other"]).where("(ka = 0 OR kb = 0) AND na >= nb AND nb * 4 >= na * 3")
-    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
-    more = stored(verify(met, sets), "jaccard-more", small=True)
+    more = stored(links_between(live, roots, sets, block_shingles), "jaccard-more", small=True)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     named = known.select("id", "d", "n", "c").join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
