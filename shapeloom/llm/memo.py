@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 
 class Memo:
@@ -12,19 +12,24 @@ class Memo:
     def __init__(self, size: int = 400_000):
         self.size, self.young, self.old, self.cost = size, {}, {}, 0
 
-    def fill(self, keys: Iterable[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """A dict that has all ``keys``; missing values are made together."""
+    def look_up(self, lists: list[list[str]], make: Callable[[list[str]], list[bytes]]) -> list[list[bytes]]:
+        """The values of lists of keys; missing ones are made together."""
         if self.cost > self.size:
             self.old, self.young, self.cost = self.young, {}, 0
-        missing = set(keys).difference(self.young)
+        get = self.young.get
+        out = [list(map(get, keys)) for keys in lists]
+        some = [(keys, values, [j for j, v in enumerate(values) if v is None]) for keys, values in zip(lists, out, strict=True) if None in values]
+        missing = list({keys[j] for keys, _, at in some for j in at})
         if missing:
-            old = self.old
-            back = {k: old[k] for k in missing if k in old}
-            fresh = [k for k in missing if k not in back]
-            self.young.update(back)
+            old = list(map(self.old.get, missing))
+            fresh = [k for k, v in zip(missing, old, strict=True) if v is None]
+            self.young.update((k, v) for k, v in zip(missing, old, strict=True) if v is not None)
             self.young.update(zip(fresh, make(fresh), strict=True))
             self.cost += len(missing) + sum(map(len, fresh)) // 64
-        return self.young
+            for keys, values, at in some:
+                for j in at:
+                    values[j] = get(keys[j])
+        return out
 
 
 _memos: dict[object, Memo] = {}

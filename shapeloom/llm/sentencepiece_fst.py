@@ -193,8 +193,7 @@ class Transducer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
         split = [self._split(t) for t in texts]
-        known = self.memo.fill({u for units in split for u in units}, self._make)
-        return [b"".join([known[u] for u in units]) for units in split]
+        return [b"".join(x) for x in self.memo.look_up(split, self._make)]
 
     def decode(self, ids: list[int]) -> str:
         """The text: pieces joined, runs of byte pieces as UTF-8, the prefix taken off."""

@@ -19,11 +19,13 @@ an empty table has shards without documents.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,17 @@ from pyspark.sql import functions as F
 
 from shapeloom.llm.memo import memo
 from shapeloom.llm.words import chunked
-from shapeloom.shared import shared_path
+from shapeloom.shared import TOGETHER, shared_path
 
 LENGTH, ROWS = 1024, 256
 END_ID = 1
+#: Pieces that are one word to the tokenizer: letters, or marks. A mark after a letter and
+#: before a blank begins a word of its own.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-/:-@\\[-`{-~"
+SIMPLE = re.compile(f"[{LETTERS}]+|[{MARKS}]+")
+MARK_AFTER_LETTER = f"([{LETTERS}])([{MARKS}]+)( |$)"
+#: The strings that stand for special ids begin so; texts with it aren't touched beforehand.
+SPECIAL = "<|"
 TOKENS = pa.schema([("tokens", pa.list_(pa.uint16(), LENGTH)), ("mask", pa.list_(pa.bool_(), LENGTH))])
 
 
@@ -48,14 +57,19 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class Encoder:
     """Texts to little-endian 16-bit ids."""
 
-    #: A symbol whose one id stands between the pieces that are encoded together.
+    #: A symbol whose one id stands between pieces that are encoded together.
     BETWEEN = "¤"
+    #: What the vocabulary's last piece of each word ends in.
+    WORD_END = "</w>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
         self.memo = memo(("ids", path))
         between = self._ids(self.BETWEEN)
         self.between = int(between[0]) if len(between) == 1 else None
@@ -64,6 +78,19 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
+        simple = [SIMPLE.fullmatch(p) is not None for p in pieces]
+        words = iter(self._encode_words([p for p, x in zip(pieces, simple, strict=True) if x]))
+        others = iter(self._encode_others([p for p, x in zip(pieces, simple, strict=True) if not x]))
+        return [next(words) if x else next(others) for x in simple]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Each piece ends where a word ends."""
+        ids = self._ids(" ".join(words))
+        cut = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+
+    def _encode_others(self, pieces: list[str]) -> list[bytes]:
         if self.between is None or any(self.BETWEEN in p for p in pieces):
             return [self._ids(p).tobytes() for p in pieces]
         ids = self._ids(f" {self.BETWEEN} ".join(pieces))
@@ -71,11 +98,22 @@ class Encoder:
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip([0, *(cut + 2).tolist()], [*cut.tolist(), len(flat)], strict=True)] if pieces else []
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.memo.fill({p for pieces in split for p in pieces}, self._encode)
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u2") for pieces in split]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Small letters, which the tokenizer would make as well, and marks
+        apart leave few distinct pieces; these are looked up, and gathered as arrays."""
+        texts = pc.fill_null(texts, "")
+        spaced = pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), MARK_AFTER_LETTER, r"\1 \2\3")
+        split = pc.split_pattern(pc.if_else(pc.match_substring(texts, SPECIAL), pc.replace_substring(texts, "\n", " "), spaced), " ")
+        pieces = split.flatten().dictionary_encode()
+        values = self.memo.look_up([pieces.dictionary.to_pylist()], self._encode)[0]
+        flat = np.frombuffer(b"".join(values), "<u2")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        start, at = np.cumsum(size) - size, pieces.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(start[at] - (end - n), n) + np.arange(n.sum())]
+        cut = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 class ShardWriter:
@@ -179,7 +217,7 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, shards: int |
         encoder, out = Encoder(tokenizer), ShardWriter(root, shard, id_type)
         end = np.array([END_ID], np.uint16)
         for batch in chunked(batches):
-            out.add(batch.column(0).cast(id_type), [np.concatenate([ids, end]) for ids in encoder.encode(batch.column(1).to_pylist())])
+            out.add(batch.column(0).cast(id_type), [np.concatenate([ids, end]) for ids in encoder.encode(batch.column(1))])
         out.close()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [out.n_docs], "n_tokens": [out.total]})
 
@@ -188,7 +226,9 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, shards: int |
     for shard, n_docs, n_tokens in found:
         manifest.append((shard, at, n_docs, n_tokens))
         at += n_tokens
-    return spark.createDataFrame(spark.sparkContext.parallelize(manifest, max(1, len(manifest))), "shard long, start long, n_docs long, n_tokens long")
+    # The index rows read back are small: a task goes through several shards.
+    tasks = min(max(1, len(manifest)), max(len(manifest) // TOGETHER, 2 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(spark.sparkContext.parallelize(manifest, tasks), "shard long, start long, n_docs long, n_tokens long")
 
 
 def read_token_files(manifest: DataFrame, root: str, id_type: str = "bigint") -> DataFrame:
