@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.llm.words import NON_ALNUM, Words, chunked, mix, owner
+from shapeloom.shared import free_name
 
 WINDOW = 8
 LEAST_ITEMS = 2
@@ -189,9 +190,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = LEAST_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` in which fewer than ``least`` items have windows; nothing is
     shuffled. An item lies in one block, so the counts of several blocks add up."""
-    spark, count = docs.sparkSession, "_items"
+    spark, count = docs.sparkSession, free_name(docs, "_items")
     out = docs.withColumn(count, F.lit(0))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     for block in _blocks(benchmark, block_words):
         table = spark.sparkContext.broadcast(Benchmark(block))
 
@@ -202,7 +202,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
                 total = np.asarray(batch.column(at)) + np.array([len(x) for x in items])
                 yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-        out = out.mapInArrow(add, fields)
+        out = out.mapInArrow(add, out.schema)
     return out.where(F.col(count) < least).drop(count)
 
 

@@ -123,20 +123,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     return NeighbourVote(x, np.asarray(got["y"].to_pylist(), np.float32))
 
 
-def score_quality(docs: DataFrame, model: NeighbourVote, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``: how likely label 1 is."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    out = docs.select("*", F.lit(0.0).alias("score")) if "score" not in docs.columns else docs.withColumn("score", F.lit(0.0))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    place = out.columns.index("score")
+def score_quality(docs: DataFrame, model: NeighbourVote, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with one more column: how likely label 1 is."""
+    if score_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {score_col!r} already")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = docs.withColumn(score_col, F.lit(0.0))
+    place = out.columns.index(score_col)
 
     def score(batches):
         for batch in chunked(batches, text_col):
             s = shared.value.score(features(batch.column(batch.schema.get_field_index(text_col))))
             yield pa.RecordBatch.from_arrays([pa.array(s) if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return out.mapInArrow(score, fields)
+    return out.mapInArrow(score, out.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
