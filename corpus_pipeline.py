@@ -16,32 +16,34 @@ from pyspark.sql import functions as F
 from shapeloom.llm import exact_dedup, jaccard_join, quality_knn, sentencepiece_fst
 from shapeloom.llm.decontaminate import keep_clean
 from shapeloom.llm.language_model import held_out
-from shapeloom.shared import stored
+from shapeloom.shared import free_name, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or above."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"), 4, 2))
     model = quality_knn.fit(docs, labels)
-    scored = quality_knn.score_quality(docs, model)
-    return scored.where(F.col("score") >= quality_knn.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    scored = quality_knn.score_quality(docs, model, score_col=score)
+    return scored.where(F.col(score) >= quality_knn.THRESHOLD).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest id (one of several with that id)."""
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     found = exact_dedup.exact_dedup(docs, index)
-    kept = found.where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("text_sha256").alias("_h")).distinct()
-    rows = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(-1)), "_h": exact_dedup.digest(F.col("text"))})
-    return rows.join(kept.hint("merge"), ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*docs.columns)
+    d, h = free_name(docs, "_d"), free_name(docs, "_h")
+    kept = found.where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias(d), F.col("text_sha256").alias(h)).distinct()
+    rows = docs.withColumns({d: F.coalesce("doc_id", F.lit(-1)), h: exact_dedup.digest(F.col("text"))})
+    return rows.join(kept.hint("merge"), [d, h], "left_semi").dropDuplicates([d, h]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the row with the smallest id; rows without words."""
     found = jaccard_join.similar_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("_d")).distinct()
-    rows = docs.withColumn("_d", F.coalesce("doc_id", F.lit(-1)))
-    return rows.join(kept.hint("merge"), "_d", "left_semi").select(*docs.columns)
+    d = free_name(docs, "_d")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias(d)).distinct()
+    return docs.withColumn(d, F.coalesce("doc_id", F.lit(-1))).join(kept.hint("merge"), d, "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
