@@ -132,3 +132,62 @@ def to_java(source: str) -> str:
 
 def to_python(source: str) -> re.Pattern:
     return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), _java(parse(source))))
+
+
+def _ranges(parts: tuple) -> list[tuple[int, int]]:
+    """A class's characters as ordered ranges that don't touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((ord(a), ord(b)) for a, b in parts):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def simplified(tree: tuple) -> tuple:
+    """The same language with nested sequences joined, alternatives of alternatives flat,
+    classes as ordered ranges and classes of one character as that character."""
+    match tree:
+        case ("class", negated, parts):
+            ranges = _ranges(parts)
+            if not negated and len(ranges) == 1 and ranges[0][0] == ranges[0][1]:
+                return ("char", chr(ranges[0][0]))
+            return ("class", negated, tuple((chr(a), chr(b)) for a, b in ranges))
+        case ("seq", parts):
+            flat = [x for p in map(simplified, parts) for x in (p[1] if p[0] == "seq" else (p,))]
+            return flat[0] if len(flat) == 1 else ("seq", tuple(flat))
+        case ("or", options):
+            flat = list(dict.fromkeys(x for o in map(simplified, options) for x in (o[1] if o[0] == "or" else (o,))))
+            return flat[0] if len(flat) == 1 else ("or", tuple(flat))
+        case ("repeat", how, inner):
+            return ("repeat", how, simplified(inner))
+    return tree
+
+
+def show(tree: tuple) -> str:
+    """The expression in the layouts' own dialect."""
+    names = {c: n for n, c in CONTROLS.items()}
+
+    def char(c: str, more: str = "") -> str:
+        return "\\" + names[c] if c in names else "\\" + c if c in "()|[]\\?*+" + more else c
+
+    def span(a: str, b: str) -> str:
+        between = "-" if ord(b) > ord(a) + 1 else ""
+        return char(a, "-^") if a == b else f"{char(a, '-^')}{between}{char(b, '-^')}"
+
+    def of(t: tuple, alone: bool) -> str:
+        match t:
+            case ("char", c):
+                return char(c)
+            case ("class", negated, parts):
+                return f"[{'^' if negated else ''}{''.join(span(a, b) for a, b in parts)}]"
+            case ("seq", parts):
+                shown = "".join(of(p, False) for p in parts)
+            case ("or", options):
+                shown = "|".join(of(o, True) for o in options)
+            case ("repeat", how, inner):
+                return of(inner, False) + how if alone else f"({of(inner, False)}{how})"
+        return shown if alone else f"({shown})"
+
+    return of(simplified(tree), True)

@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -96,6 +99,27 @@ def test_singletons():
     assert [regexp.singleton(regexp.parse(x)) for x in ("abc", "a|a", "[a]b", "a|b", "a?", "")] == ["abc", "a", "ab", None, None, ""]
 
 
+def test_shown_regexps():
+    pairs = (("x*", "x*"), ("x\\*", "x\\*"), ("[zyx]", "[x-z]"), ("[^zyx]", "[^x-z]"), ("(xyz)|uv", "xyz|uv"), ("(x|y)?", "(x|y)?"), ("[K-Mk-m0-23]", "[0-3K-Mk-m]"), ("[x|y]", "[xy\\|]"))
+    for source, shown in pairs:
+        assert regexp.show(regexp.parse(source)) == shown
+        assert regexp.show(regexp.parse(shown)) == shown
+
+
+@given(st.text(alphabet="ab|()*+?[]^-\\", max_size=12))
+def test_shown_regexps_mean_the_same(source):
+    try:
+        tree = regexp.parse(source)
+    except ValueError:
+        return
+    again = regexp.parse(regexp.show(tree))
+    a, b = regexp.to_python(source), re.compile(regexp.to_python(regexp.show(tree)).pattern)
+    assert again is not None
+    for n in range(4):
+        for text in map("".join, itertools.product("ab-", repeat=n)):
+            assert bool(a.fullmatch(text)) == bool(b.fullmatch(text))
+
+
 def test_decimal_digits():
     assert [decimal_digits(1, n) for n in range(1, 10)] == ["1", "0.5", None, "0.25", "0.2", None, None, "0.125", None]
     assert (decimal_digits(-3, 2), decimal_digits(0, 5), decimal_digits(7, -1)) == ("-1.5", "0", "-7")
