@@ -42,8 +42,8 @@ def null(kind: str = "string") -> Column:
 
 
 class Hydration:
-    def __init__(self, layouts: Layouts, quads: DataFrame, assume_unique: bool = False, enforce_patterns: bool = False, max_depth: int = 32):
-        self.layouts, self.quads = layouts, quad_set(quads)
+    def __init__(self, layouts: Layouts, quads: DataFrame, assume_unique: bool = False, enforce_patterns: bool = False, max_depth: int = 32, json: bool = True):
+        self.with_json, self.layouts, self.quads = json, layouts, quad_set(quads)
         self.assume_unique, self.enforce_patterns, self.max_depth = assume_unique, enforce_patterns, max_depth
 
     # Layouts that need no quads.
@@ -240,10 +240,14 @@ class Hydration:
         rows = frames.select(*used)
         rows = match(self.quads, rows if set(used) == set(frames.columns) else rows.distinct(), item.dataset)
         rows, v = self.nested(rows, item.value, "i_", depth)
-        rows = rows.select(*used, v.status.alias("st"), F.struct(v.key.alias("k"), v.value.alias("v"), v.json.alias("j")).alias("x"))
+        rows = rows.select(*used, v.status.alias("st"), F.struct(v.key.alias("k"), v.value.alias("v"), self.shown(v).alias("j")).alias("x"))
         lists = rows.groupBy(*used).agg(F.min("st").alias("l_st"), F.sort_array(F.collect_list("x")).alias("l_x"))
         return frames.join(lists, used, "left"), self.list_value("l_x", F.col("l_st"))
 
+    def shown(self, v: Value) -> Column:
+        """The JSON of a list's item, if it's wanted: what is collected isn't pruned later."""
+        return v.json if self.with_json else null()
+
     def list_value(self, items: str, status: Column) -> Value:
         """Of a column of (k, v, j) items."""
         xs = F.col(items)
@@ -282,7 +286,7 @@ class Hydration:
         walked = seen.join(nodes.withColumnRenamed(var(first), "node"), [*outer, "node"], "left")
         walked, v = self.nested(walked.withColumn(var(first), F.col("node")).withColumn(var(rest), F.col("next")), node.value, "i_", depth, F.col("n") == 1)
         status = F.when(F.col("n").isNull(), "MISSING_DATA").when(F.col("n") > 1, "DATA_AMBIGUITY").otherwise(v.status)
-        rows = walked.select(*outer, "head", "tail", "pos", "node", status.alias("st"), v.key.alias("k"), v.value.alias("v"), v.json.alias("j"))
+        rows = walked.select(*outer, "head", "tail", "pos", "node", status.alias("st"), v.value.alias("v"), v.key.alias("k"), self.shown(v).alias("j"))
         found = rows.groupBy(*outer, "head", "tail").agg(
             F.min("st").alias("l_st"), F.sort_array(F.collect_list(F.struct("pos", "k", "v", "j"))).alias("l_x"), F.count(F.lit(1)).alias("l_n"), F.count_distinct("node").alias("l_d")
         )
@@ -308,13 +312,15 @@ def hydrate(
     assume_unique: bool = False,
     enforce_patterns: bool = False,
     max_depth: int = 32,
+    json: bool = True,
 ) -> DataFrame:
     """The tree of each row of ``roots`` (in0, in1, ...: terms): those columns with status
     (null: success), value (typed) and json.
 
     ``graph``: the current graph, else the default one. ``same_as``: see ``interpret``.
     ``mode``: permissive keeps failed rows with their status, dropmalformed leaves them out,
-    failfast raises. ``assume_unique``: the caller vouches that properties have one value.
+    failfast raises. ``assume_unique``: the caller vouches that properties have one value and
+    that roots don't repeat. ``json=False`` leaves that column null and saves making it.
     """
     if mode not in ("permissive", "dropmalformed", "failfast"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -324,10 +330,12 @@ def hydrate(
     if not isinstance(layout, Never | Always) and len(roots.columns) != layout.inputs:
         raise LayoutError(f"INVALID_INPUT_COUNT: {ref} takes {layout.inputs}, not {len(roots.columns)}")
     call = Call(ref, tuple(range(len(roots.columns))))
-    frames = roots.select(F.lit(graph or "").alias(GRAPH), *(F.col(c).alias(var(i)) for i, c in enumerate(roots.columns))).distinct()
-    out = Hydration(layouts, quads, assume_unique, enforce_patterns, max_depth).call(call, frames)
+    frames = roots.select(F.lit(graph or "").alias(GRAPH), *(F.col(c).alias(var(i)) for i, c in enumerate(roots.columns)))
+    frames = frames if assume_unique else frames.distinct()
+    json = json or any(layouts.recursive(r) for r in {ref} | layouts.reachable(ref))
+    out = Hydration(layouts, quads, assume_unique, enforce_patterns, max_depth, json).call(call, frames)
     status = F.col("st")
-    out = out.select(*(F.col(var(i)).alias(c) for i, c in enumerate(roots.columns)), status.alias("status"), F.when(status.isNull(), F.col("va")).alias("value"), F.when(status.isNull(), F.col("js")).alias("json"))
+    out = out.select(*(F.col(var(i)).alias(c) for i, c in enumerate(roots.columns)), status.alias("status"), F.when(status.isNull(), F.col("va")).alias("value"), F.when(status.isNull() & F.lit(json), F.col("js")).alias("json"))
     if mode == "dropmalformed":
         return out.where("status IS NULL")
     if mode == "failfast":

@@ -241,7 +241,7 @@ def names_of(df: DataFrame, name: str) -> Column:
 def hydrate_set(spark, sf):
     item = {"intro": ["nation", "name"], "dataset": [["_:nation", BASE + "inRegion", "_:self"], ["_:nation", BASE + "n_name", "_:name"]], "value": {"layout": {"type": "string"}, "input": "_:name"}}
     layouts, ref = compiled({"type": "set", "item": item})
-    out = hydrate(layouts, ref, place_quads(spark, sf), roots(table(spark, sf, "region"), "region", "r_regionkey"))
+    out = hydrate(layouts, ref, place_quads(spark, sf), roots(table(spark, sf, "region"), "region", "r_regionkey"), json=False)
     return out.select(key_of().alias("r_regionkey"), F.array_join("value", "|").alias("names"))
 
 
@@ -251,7 +251,7 @@ def hydrate_set_duplicates(spark, sf):
     quads = lift(customer, "customer", ["c_custkey"], ["c_mktsegment"]).unionByName(link(customer, "customer", ["c_custkey"], "inNation", "nation", ["c_nationkey"]))
     item = {"intro": ["customer", "segment"], "dataset": [["_:customer", BASE + "inNation", "_:self"], ["_:customer", BASE + "c_mktsegment", "_:segment"]], "value": {"layout": {"type": "string"}, "input": "_:segment"}}
     layouts, ref = compiled({"type": "set", "item": item})
-    out = hydrate(layouts, ref, quads, roots(table(spark, sf, "nation"), "nation", "n_nationkey"))
+    out = hydrate(layouts, ref, quads, roots(table(spark, sf, "nation"), "nation", "n_nationkey"), json=False)
     return out.select(key_of().alias("n_nationkey"), F.array_join("value", "|").alias("segments"))
 
 
@@ -261,7 +261,7 @@ def hydrate_set_of_records(spark, sf):
     quads = lift(orders, "order", ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).unionByName(link(orders, "order", ["o_orderkey"], "by", "customer", ["o_custkey"]))
     item = {"intro": ["order"], "dataset": [["_:order", BASE + "by", "_:self"]], "value": {"layout": record(price=field("o_totalprice", *DEC), state=field("o_orderstatus")), "input": "_:order"}}
     layouts, ref = compiled({"type": "set", "item": item})
-    out = hydrate(layouts, ref, quads, roots(table(spark, sf, "customer"), "customer", "c_custkey"))
+    out = hydrate(layouts, ref, quads, roots(table(spark, sf, "customer"), "customer", "c_custkey"), json=False)
     total = F.aggregate("value", F.lit(0).cast("decimal(38,18)"), lambda acc, x: (acc + x["price"]).cast("decimal(38,18)"))
     return out.select(key_of().alias("c_custkey"), F.size("value").cast("bigint").alias("n"), F.round(total.cast("double"), 2).alias("total"))
 
@@ -314,7 +314,7 @@ def dehydrate_list(spark, sf):
 def hydrate_ordered_list(spark, sf):
     layouts, ref = compiled(TEXTS)
     heads = roots(table(spark, sf, "conversations").select("conv_id").distinct(), "conv", "conv_id")
-    out = hydrate(layouts, ref, list_quads(spark, sf), heads)
+    out = hydrate(layouts, ref, list_quads(spark, sf), heads, json=False)
     return out.select(key_of().alias("conv_id"), F.array_join("value", "\n").alias("texts"), F.size("value").cast("bigint").alias("n"))
 
 
