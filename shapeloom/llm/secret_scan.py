@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.shared import shared_path
+from shapeloom.shared import fewer_files, shared_path
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def secret_scan(docs: DataFrame, ledger: BlobLedger, id_col: str = "doc_id", tex
     named = docs.select(F.col(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
     ledger.update(named.select("blob", "text"))
     found = named.select("id", "blob").join(ledger.read(RULE_VERSION).hint("merge"), "blob")
-    return found.select(F.col("id").alias(id_col), "blob", "findings")
+    return fewer_files(found.select(F.col("id").alias(id_col), "blob", "findings"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
