@@ -7,10 +7,9 @@ bucketed table in the warehouse, which all executors share; reopened in a later
 dedups new data against all earlier batches.
 
 Defined cases: a null text counts as empty; empty texts are equal to one another; of
-repeated rows with one ``doc_id`` all stay rows of the result and count in ``group_size``;
-a null ``doc_id`` sorts after all others when the row that stays is chosen, and no more than
-one copy of a row that stays is marked kept; other columns are not looked at, an empty table
-gives an empty result.
+repeated rows with one ``doc_id`` all stay rows of the result and count in ``group_size``, and
+all rows with the id that stays are marked kept; a null ``doc_id`` sorts after all others when
+that id is chosen; other columns are not looked at, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.shared import stored
+from shapeloom.shared import fewer_files, stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -70,21 +69,22 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     groups = rows.groupBy("digest").agg(F.min("id").alias("batch_keep"), F.count(F.lit(1)).alias("group_size"))
     if index.exists():
         old = index.read().select("digest", F.col("keep_id").alias("old_keep"))
-        groups = stored(groups.join(old.hint("merge"), "digest", "left").withColumn("seen", F.col("old_keep").isNotNull()), "exact-groups")
+        groups = stored(groups.join(old.hint("merge"), "digest", "left").withColumn("seen", F.col("old_keep").isNotNull()), "exact-groups", small=True)
         fresh = groups.select("digest", "batch_keep").join(old.hint("merge"), "digest", "left_anti")
     else:
         groups = groups.withColumn("seen", F.lit(False)).withColumn("old_keep", F.lit(None).cast(rows.schema["id"].dataType))
-        groups = stored(groups, "exact-groups")
+        groups = stored(groups, "exact-groups", small=True)
         fresh = groups
     index.append(fresh.select("digest", F.col("batch_keep").alias("keep_id")))
     out = rows.join(groups.hint("merge"), "digest")
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col),
         F.coalesce("old_keep", "batch_keep").alias("keep_id"),
         "group_size",
         (~F.col("seen") & F.col("id").eqNullSafe(F.col("batch_keep"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+    return fewer_files(out)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
