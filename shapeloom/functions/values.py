@@ -41,6 +41,12 @@ def canonical_number(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("-")) & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
 
 
+def decimal_text(value: Column) -> Column:
+    """The canonical numeral of a decimal with digits after the point."""
+    shown = F.rtrim(F.rtrim(value.cast("string"), F.lit("0")), F.lit("."))
+    return F.when(value == 0, F.lit("0")).otherwise(shown)
+
+
 def number_key(canonical: Column) -> Column:
     """Sorts canonical numerals of any length as their values."""
     size = F.regexp_replace(canonical, "^-", "")

@@ -50,15 +50,20 @@ class Typed(Tree):
     def is_null(self) -> Column:
         return self.col.isNull()
 
+    def has(self, kind: str) -> Column:
+        """Whether there is a value of this kind of literal."""
+        fits = {"boolean": S.BooleanType, "number": S.NumericType, "bytes": S.BinaryType, "string": S.StringType | S.DateType | S.TimestampType | S.TimestampNTZType}[kind]
+        return self.col.isNotNull() if isinstance(self.kind, fits) else F.lit(False)
+
     def boolean(self) -> Column:
         return self.col if isinstance(self.kind, S.BooleanType) else _none("boolean")
 
     def number(self) -> Column:
         if isinstance(self.kind, S.FloatType | S.DoubleType):
-            return V.canonical_number(self.col.cast("decimal(38,18)").cast("string"))
-        if isinstance(self.kind, S.IntegralType):
+            return V.decimal_text(self.col.cast("decimal(38,18)"))
+        if isinstance(self.kind, S.IntegralType) or isinstance(self.kind, S.DecimalType) and self.kind.scale == 0:
             return self.col.cast("string")
-        return V.canonical_number(self.col.cast("string")) if isinstance(self.kind, S.DecimalType) else _none()
+        return V.decimal_text(self.col) if isinstance(self.kind, S.DecimalType) else _none()
 
     def text(self) -> Column:
         if isinstance(self.kind, S.TimestampType | S.TimestampNTZType):
@@ -130,6 +135,11 @@ class Json(Tree):
     def is_null(self) -> Column:
         return F.is_variant_null(self.col)
 
+    def has(self, kind: str) -> Column:
+        if kind == "bytes":
+            return self.binary().isNotNull()
+        return F.coalesce(self.kind().rlike({"boolean": "^BOOLEAN", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "string": "^STRING"}[kind]), F.lit(False))
+
     def boolean(self) -> Column:
         return F.when(self.kind() == "BOOLEAN", F.try_variant_get(self.col, "$", "boolean"))
 
@@ -208,7 +218,8 @@ class Dehydration:
         else:
             how = {T.XSD + "hexBinary": F.hex, T.XSD + "base64Binary": F.base64}.get(layout.datatype)
             term = T.plain_literal_col(how(v.binary()), layout.datatype) if how else _none()
-        status = F.when(term.isNull(), "INCOMPATIBLE_LAYOUT")
+        known = layout.kind != "bytes" or layout.datatype in (T.XSD + "hexBinary", T.XSD + "base64Binary")
+        status = F.when(~v.has(layout.kind) if known else F.lit(True), "INCOMPATIBLE_LAYOUT")
         if layout.pattern is not None and self.enforce_patterns and layout.kind == "string":
             status = V.first_status(status, F.when(~v.text().rlike(to_java(layout.pattern)), "PATTERN_MISMATCH"))
         return term, status
@@ -279,8 +290,10 @@ class Dehydration:
         size = len(env) + len(more)
         env = [*env, *more]
         clash = [s for k, (_, s) in given.items() if k >= size]
+        sure = isinstance(self.layouts.call(p.value), Data | Id)  # a value without a term fails
         for k in range(size, size + p.intro):
-            env.append(F.coalesce(given[k][0], self.blank(F.concat(path, F.lit(f"#{k}")))) if k in given else self.blank(F.concat(path, F.lit(f"#{k}"))))
+            blank = self.blank(F.concat(path, F.lit(f"#{k}")))
+            env.append(blank if k not in given else given[k][0] if sure else F.coalesce(given[k][0], blank))
         own = self.instance(p.dataset, env, graph)
         inner = self.value(p.value, v, env, graph, path, depth + 1)
         several = reduce(lambda a, b: a | b, clash, F.lit(False))
@@ -446,7 +459,8 @@ def dehydrate(layouts: Layouts, ref: str, rows: DataFrame, key: list[str], mode:
     if mode == "failfast":
         got = got.withColumn("status", F.when(F.col("status").isNotNull(), F.raise_error(F.concat(F.lit("dehydration failed: "), F.col("status")))))
         got = got.where(F.coalesce(F.col("status"), F.lit("")) == "")
-    quads = got.select(F.inline("quads"))
+    # The outer form, as the other one makes Spark repeat the whole expression in a filter.
+    quads = got.select(F.inline_outer("quads")).where("s IS NOT NULL")
     quads = quads.dropDuplicates(["s", "p", "o", "g"]) if distinct else quads
     heads = got.drop("quads")
     return Dehydrated(quads, heads if mode == "permissive" else heads.where("status IS NULL"), heads.where("status IS NOT NULL"))

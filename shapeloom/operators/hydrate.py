@@ -97,8 +97,10 @@ class Hydration:
             shown = value.cast("string")
         elif layout.kind == "number":
             shown = V.canonical_number(text)
-            value = F.when(right & V.is_number(text), shown.try_cast(V.NUMBER_TYPES.get(layout.datatype, V.DECIMAL)))
-            bad = F.when(right & ~V.is_number(text), "INVALID_LITERAL")
+            kind, ok = V.NUMBER_TYPES.get(layout.datatype, V.DECIMAL), V.is_number(text)
+            # Most numerals are canonical: only others are rewritten before they are cast.
+            value = F.when(right & ok, F.coalesce(text.try_cast(kind), shown.try_cast(kind)))
+            bad = F.when(right & ~ok, "INVALID_LITERAL")
             return Value(V.first_status(wrong, bad), value, shown, F.concat(F.lit(V.NUMBER), V.number_key(shown)))
         else:
             how = {T.XSD + "hexBinary": "hex", T.XSD + "base64Binary": "base64"}.get(layout.datatype)

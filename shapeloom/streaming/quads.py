@@ -21,7 +21,7 @@ from shapeloom.plans.layouts import Layouts
 def dehydrate_stream(layouts: Layouts, ref: str, rows: DataFrame, key: list[str], **options) -> DataFrame:
     """A stream of quads. Rows that fail emit nothing; quads aren't made distinct, as that
     would need state without bound (use ``dropDuplicatesWithinWatermark`` where time allows)."""
-    return dehydrate_rows(layouts, ref, rows, key, **options).select(F.inline("quads"))
+    return dehydrate_rows(layouts, ref, rows, key, **options).select(F.inline_outer("quads")).where("s IS NOT NULL")
 
 
 def hydrate_stream(layouts: Layouts, ref: str, quads: DataFrame, table: str, sink: Callable[[DataFrame, int], None], checkpoint: str, **options) -> StreamingQuery:
