@@ -38,7 +38,8 @@ def canonical_number(text: Column) -> Column:
     whole = F.regexp_replace(F.regexp_extract(text, r"^[+-]?0*([0-9]*)", 1), "^$", "0")
     part = F.regexp_replace(F.regexp_extract(text, r"[.]([0-9]*)$", 1), "0+$", "")
     size = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
-    return F.when(F.startswith(text, F.lit("-")) & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
+    changed = F.when(F.startswith(text, F.lit("-")) & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
+    return F.when(text.rlike(r"^(0|-?[1-9][0-9]*+|-?(0|[1-9][0-9]*+)[.][0-9]*[1-9])$"), text).otherwise(changed)
 
 
 def decimal_text(value: Column) -> Column:
@@ -49,7 +50,7 @@ def decimal_text(value: Column) -> Column:
 
 def number_key(canonical: Column) -> Column:
     """Sorts canonical numerals of any length as their values."""
-    size = F.regexp_replace(canonical, "^-", "")
+    size = F.ltrim(canonical, F.lit("-"))
     whole = F.substring_index(size, ".", 1)
     shown = F.concat(F.lpad(F.length(whole).cast("string"), 8, "0"), size)
     negative = F.startswith(canonical, F.lit("-"))
@@ -57,7 +58,9 @@ def number_key(canonical: Column) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    return F.concat(F.regexp_replace(text, "([\x00-\x02])", "\x02$1"), F.lit(END))
+    for c in "\x02\x01\x00":
+        text = F.replace(text, F.lit(c), F.lit("\x02" + c))
+    return F.concat(text, F.lit(END))
 
 
 def json_text(text: Column) -> Column:
