@@ -255,7 +255,7 @@ def hydrate_set_duplicates(spark, sf):
     return out.select(key_of().alias("n_nationkey"), F.array_join("value", "|").alias("segments"))
 
 
-@query("SELECT c_custkey, count(o_orderkey) AS n, coalesce(sum(o_totalprice), 0) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0)::DOUBLE, 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def hydrate_set_of_records(spark, sf):
     orders = table(spark, sf, "orders")
     quads = lift(orders, "order", ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).unionByName(link(orders, "order", ["o_orderkey"], "by", "customer", ["o_custkey"]))
