@@ -8,10 +8,11 @@ back by probing level after level until one is missing, which gives the count's
 two; its estimate is the middle of that range. The filter is blocked: an n-gram's probes
 lie in the one page that its hash names, so each page is built whole by one task.
 
-The filter is broadcast; it has at most ``MAX_BITS`` bits (32 MB) at any corpus size, with
-``BITS_PER_ENTRY`` bits an entry or more. Where all n-grams would not fit, the least counts
-of pairs (then of words) are raised by powers of two until they do. Counting itself covers
-every n-gram, and pairs seen once are counted but not entered.
+The number of pages grows with the entries, ``BITS_PER_ENTRY`` bits an entry or more, so no
+level is left out at any corpus size. A filter of at most ``MAX_BITS`` bits (32 MB) is
+broadcast. A larger one stays a table of pages: each chunk of documents sends its distinct
+n-grams to their pages (in ``GROUPS`` groups at most), and the levels found there are joined with the chunk again. Both forms read the same bits and give the same scores.
+Pairs seen once are counted but not entered.
 
 Probability of a word after another, with Dirichlet smoothing:
 (c(h w) + MU p(w)) / (c(h) + MU), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
@@ -26,6 +27,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import os
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +39,15 @@ from pyspark.sql import functions as F
 from shapeloom.llm.words import BLANK, Words, chunked, mix
 from shapeloom.shared import fewer_files, stored
 
+#: Bits of the largest filter that is broadcast.
 MAX_BITS = 1 << 28
 PAGE_BITS = 1 << 20
 BITS_PER_ENTRY = 10
 PROBES = 3
+#: Groups of pages that a chunk's n-grams are sent to where the filter is a table (each 4 MB
+#: when there are 4 GB), and rows of an Arrow batch there, as a chunk is one row.
+GROUPS = 1024
+BATCH = 32
 MU = 100.0
 HOT = 1_000_000
 HELD_OUT_OF = 10
@@ -69,20 +79,26 @@ def pairs(t: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def positions(x: np.ndarray, level: int) -> list[np.ndarray]:
-    """Bit places within its page of each n-gram at a level."""
-    y = mix(x + np.uint64((0xD1B54A32D192ED03 * level) & (2**64 - 1)))
+    """Bit places within its page of each n-gram, known by its upper 48 bits, at a level."""
+    y = mix((x >> np.uint64(16)) + np.uint64((0xD1B54A32D192ED03 * level) & (2**64 - 1)))
     return [((y >> np.uint64(20 * i)) & np.uint64(PAGE_BITS - 1)).astype(np.int64) for i in range(PROBES)]
 
 
+def page_of(x: np.ndarray, pages: int) -> np.ndarray:
+    """The first bits of the hash, for a power of two of pages."""
+    return ((x >> np.uint64(1)) >> np.uint64(64 - pages.bit_length())).astype(np.int64)
+
+
 class LogFrequencyFilter:
-    """``bits``: all pages, one after another."""
+    """``bits``: all pages, one after another, or a group of neighbours out of ``total``."""
 
-    def __init__(self, bits: np.ndarray):
+    def __init__(self, bits: np.ndarray, total: int | None = None):
         self.bits = bits
         self.pages = len(bits) * 8 // PAGE_BITS
+        self.total = total or self.pages
 
     def page(self, x: np.ndarray) -> np.ndarray:
-        return ((x >> np.uint64(40)) & np.uint64(self.pages - 1)).astype(np.int64)
+        return page_of(x, self.total) & (self.pages - 1)
 
     def levels(self, x: np.ndarray) -> np.ndarray:
         """The number of levels at which each n-gram is found."""
@@ -100,9 +116,12 @@ class LogFrequencyFilter:
         return out
 
     def counts(self, x: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of 2^(l-1) .. 2^l - 1."""
-        level = self.levels(x)
-        return np.where(level > 0, (1.5 * 2.0 ** np.maximum(level - 1, 0) - 0.5), 0.0)
+        return counts_of(self.levels(x))
+
+
+def counts_of(level: np.ndarray) -> np.ndarray:
+    """Estimated counts: the middle of 2^(l-1) .. 2^l - 1."""
+    return np.where(level > 0, (1.5 * 2.0 ** np.maximum(level - 1, 0) - 0.5), 0.0)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -135,43 +154,137 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return partial.repartition("n", "x").groupBy("n", "x").agg(F.sum("c").alias("c"))
 
 
-def build_filter(grams: DataFrame) -> LogFrequencyFilter:
-    """The filter of (n, x, c) rows; its size and least levels follow from a histogram."""
+def build_filter(grams: DataFrame) -> tuple[int, DataFrame]:
+    """The number of pages for (n, x, c) rows, and those with entries as (page, bits) rows."""
     grams = grams.withColumn("level", F.floor(F.log2("c")).cast("int") + 1)
-    hist = {(r.n, r.level): r["count"] for r in grams.groupBy("n", "level").count().collect()}
-    least = {1: 1, 2: 1}
-
-    def entries() -> int:
-        return sum(k * count for (n, k), count in hist.items() if k >= least[n])
-
-    for n in (2, 1):
-        while entries() * BITS_PER_ENTRY > MAX_BITS and any(k >= least[n] for m, k in hist if m == n):
-            least[n] += 1
+    entries = grams.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
     pages = 1
-    while pages * PAGE_BITS < min(MAX_BITS, entries() * BITS_PER_ENTRY):
+    while pages * PAGE_BITS < entries * BITS_PER_ENTRY:
         pages *= 2
-    chosen = grams.where(((F.col("n") == 1) & (F.col("level") >= least[1])) | ((F.col("n") == 2) & (F.col("level") >= least[2])))
-    chosen = chosen.select(F.shiftrightunsigned("x", 40).bitwiseAND(F.lit(pages - 1)).cast("int").alias("page"), "x", "level")
+    chosen = grams.select(F.shiftrightunsigned(F.shiftrightunsigned("x", 1), 64 - pages.bit_length()).cast("int").alias("page"), "x", "level")
 
     def build(batches):
         maps: dict[int, np.ndarray] = {}
         for batch in batches:
             page, x, level = (np.asarray(c) for c in batch.columns)
-            x = x.view(np.uint64)
-            for p in np.unique(page).tolist():
-                bits = maps.setdefault(p, np.zeros(PAGE_BITS // 8, np.uint8))
-                own, up_to = x[page == p], level[page == p]
+            order = np.argsort(page, kind="stable")
+            page, x, level = page[order], x[order].view(np.uint64), level[order]
+            starts = np.flatnonzero(np.diff(page, prepend=-1))
+            for i, to in zip(starts.tolist(), [*starts[1:].tolist(), len(page)], strict=True):
+                bits = maps.setdefault(int(page[i]), np.zeros(PAGE_BITS // 8, np.uint8))
+                own, up_to = x[i:to], level[i:to]
                 for k in range(1, int(up_to.max()) + 1):
                     for at in positions(own[up_to >= k], k):
                         np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for p, bits in maps.items():
             yield pa.RecordBatch.from_pydict({"page": [p], "bits": [bits.tobytes()]}, pa.schema([("page", pa.int32()), ("bits", pa.binary())]))
 
-    bits = np.zeros(pages * PAGE_BITS // 8, np.uint8)
+    return pages, chosen.repartition("page").mapInArrow(build, "page int, bits binary")
+
+
+def released(spark: SparkSession) -> None:
+    """What was shuffled for tables that are stored by now is of no more use; Spark deletes
+    such files when the driver's collector finds that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What is run inside hands Python at most ``BATCH`` rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def collected(pages: int, table: DataFrame) -> bytes:
+    """All bits of a filter of ``MAX_BITS`` at most."""
     step = PAGE_BITS // 8
-    for r in chosen.repartition("page").mapInArrow(build, "page int, bits binary").collect():  # MAX_BITS at most
+    bits = np.zeros(pages * step, np.uint8)
+    for r in table.collect():
         bits[r.page * step : (r.page + 1) * step] = np.frombuffer(r.bits, np.uint8)
-    return LogFrequencyFilter(bits)
+    return bits.tobytes()
+
+
+class Grams:
+    """The n-grams of a chunk of texts: of each token, the place of its word in ``words`` and
+    of its pair in ``pairs``. ``all``: the end, the words and the pairs."""
+
+    def __init__(self, text: pa.Array):
+        t, self.first = tokens(text)
+        self.words, self.at = np.unique(t, return_inverse=True)
+        self.pairs, self.pair_at = np.unique(pairs(t, self.first), return_inverse=True)
+        self.all = np.concatenate([np.array([END], np.uint64), self.words, self.pairs])
+
+
+def to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Ascending n-grams as the bytes of the differences of their upper 48 bits, all first
+    bytes first: most of the upper bytes are 0 and leave little for the shuffle."""
+    d = np.diff(x >> np.uint64(16), prepend=np.uint64(0)).astype("<u8")
+    return d.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def spread(data: bytes) -> np.ndarray:
+    """What was packed, without the lower bits."""
+    d = np.zeros((len(data) // 6, 8), np.uint8)
+    d[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    return np.cumsum(d.reshape(-1).view("<u8"), dtype=np.uint64) << np.uint64(16)
+
+
+
+def found_levels(chunks: DataFrame, pages: int, together: int, table: DataFrame) -> DataFrame:
+    """(chunk, group, levels): the levels of each chunk's n-grams, found by joining them with
+    the pages, one row for each group of pages."""
+    step = PAGE_BITS // 8
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, docs in zip(*batch.columns, strict=True):
+                x = np.sort(Grams(from_bytes(docs.as_py()).column(1)).all)
+                group = page_of(x, pages) // together
+                starts = np.flatnonzero(np.diff(group, prepend=-1))
+                data = [packed(own) for own in np.split(x, starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int32()), pa.array([chunk.as_py()] * len(starts), pa.int64()), pa.array(data, pa.binary())], ["group", "chunk", "data"])
+
+    asked = chunks.select("chunk", "docs").mapInArrow(ask, "group int, chunk long, data binary")
+    held = table.select(F.floor(F.col("page") / together).cast("int").alias("group"), "page", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("data"))
+    met = held.unionByName(asked.withColumn("page", F.lit(None).cast("int"))).repartition("group")
+    met = met.sortWithinPartitions("group", F.col("page").asc_nulls_last())  # a group's pages, then what asks for them
+
+    def probe(batches):
+        now, lff = None, None
+        for batch in batches:
+            group, page = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            for i, to in zip(starts, [*starts[1:], len(group)], strict=True):
+                if group[i] != now:
+                    now, lff = group[i], LogFrequencyFilter(np.zeros(together * step, np.uint8), pages)
+                while i < to and batch.column(1)[i].is_valid:
+                    at = int(page[i]) % together * step
+                    lff.bits[at : at + step] = np.frombuffer(batch.column(3)[i].as_py(), np.uint8)
+                    i += 1
+                if i == to:
+                    continue
+                own = [spread(d) for d in batch.column(3).slice(i, to - i).to_pylist()]
+                levels = np.split(lff.levels(np.concatenate(own)).astype(np.uint8), np.cumsum([len(x) for x in own])[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, to - i), batch.column(0).slice(i, to - i), pa.array([x.tobytes() for x in levels], pa.binary())], ["chunk", "group", "levels"])
+
+    return met.select("group", "page", "chunk", "data").mapInArrow(probe, "chunk long, group int, levels binary")
 
 
 def hot_words(words: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,51 +308,88 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     learning from the rows of ``train``."""
     spark = docs.sparkSession
     grams = stored(count_grams(train.select(F.col(text_col).alias("text"))).where((F.col("n") == 1) | (F.col("c") > 1)), "lm-grams", small=True)
+    released(spark)
     words = grams.where("n = 1")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     norm = total + 0.1 * (distinct + 1)
-    # Lists, as each worker would get an array's class in another way.
-    table = spark.sparkContext.broadcast((build_filter(grams).bits.tobytes(), *(x.tobytes() for x in hot_words(words, hot))))
+    pages, pages_table = build_filter(grams)
+    in_memory, together = pages * PAGE_BITS <= MAX_BITS, max(1, pages // GROUPS)
+    # Bytes, as each worker would get an array's class in another way.
+    table = spark.sparkContext.broadcast((collected(pages, pages_table) if in_memory else b"", *(x.tobytes() for x in hot_words(words, hot))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    def scored_chunk(ids: pa.Array, grams: Grams, levels: np.ndarray, hot_x: np.ndarray, hot_c: np.ndarray) -> pa.RecordBatch:
+        u, at, first = grams.words, grams.at, grams.first
+        lengths = np.diff(first)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        counts = counts_of(levels)
+        of_end, of_word, of_pair = counts[0], counts[1 : 1 + len(u)], counts[1 + len(u) :]
+        p1 = (of_word + 0.1) / norm
+        before = np.empty(len(at), np.float64)
+        before[1:] = of_word[at][:-1]
+        before[first[:-1]] = of_end  # texts begin as often as they end
+        c2 = np.minimum(of_pair[grams.pair_at], before)
+        model = np.log10(np.minimum(1.0, (c2 + MU * p1[at]) / (before + MU)))
+        place = np.minimum(np.searchsorted(hot_x, u), max(0, len(hot_x) - 1))
+        is_hot = hot_x[place] == u if len(hot_x) else np.zeros(len(u), bool)
+        c = np.where(is_hot, hot_c[place] if len(hot_x) else 0, 0)
+        base = np.where(is_hot, np.log10((c + 0.1) / norm), 0.0)
+        cold = ~is_hot[at]
+        cu, ct = np.unique(np.stack([doc[cold].astype(np.uint64), u[at[cold]]]), axis=1, return_counts=True) if cold.any() else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
+        offsets = np.searchsorted(cu[0], np.arange(len(lengths) + 1, dtype=np.uint64)).astype(np.int32)
+        add = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))
+        return pa.RecordBatch.from_arrays(
+            [
+                ids,
+                pa.array(lengths, pa.int64()),
+                pa.array(add(is_hot[at]).astype(np.int64)),
+                pa.array(add(base[at])),
+                pa.array(add(model)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(cu[1].view(np.int64) if len(ct) else np.empty(0, np.int64))),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(ct.astype(np.int32))),
+            ],
+            ["id", "n_tokens", "hot_known", "hot_base", "score", "cold", "cold_n"],
+        )
+
     def score(batches):
         bits, hot_x, hot_c = table.value
         lff, hot_x, hot_c = LogFrequencyFilter(np.frombuffer(bits, np.uint8)), np.frombuffer(hot_x, np.uint64), np.frombuffer(hot_c, np.int64)
         for batch in chunked(batches):
-            t, first = tokens(batch.column(1))
-            lengths = np.diff(first)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            u, at = np.unique(t, return_inverse=True)
-            p1 = (lff.counts(u) + 0.1) / norm
-            before = np.empty(len(t), np.float64)
-            before[1:] = lff.counts(u)[at][:-1]
-            before[first[:-1]] = lff.counts(np.array([END]))[0]  # texts begin as often as they end
-            pair, pair_at = np.unique(pairs(t, first), return_inverse=True)
-            c2 = np.minimum(lff.counts(pair)[pair_at], before)
-            model = np.log10(np.minimum(1.0, (c2 + MU * p1[at]) / (before + MU)))
-            place = np.minimum(np.searchsorted(hot_x, u), max(0, len(hot_x) - 1))
-            is_hot = hot_x[place] == u if len(hot_x) else np.zeros(len(u), bool)
-            c = np.where(is_hot, hot_c[place] if len(hot_x) else 0, 0)
-            base = np.where(is_hot, np.log10((c + 0.1) / norm), 0.0)
-            cold = ~is_hot[at]
-            cu, ct = np.unique(np.stack([doc[cold].astype(np.uint64), t[cold]]), axis=1, return_counts=True) if cold.any() else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
-            offsets = np.searchsorted(cu[0], np.arange(len(lengths) + 1, dtype=np.uint64)).astype(np.int32)
-            add = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(lengths, pa.int64()),
-                    pa.array(add(is_hot[at]).astype(np.int64)),
-                    pa.array(add(base[at])),
-                    pa.array(add(model)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(cu[1].view(np.int64) if len(ct) else np.empty(0, np.int64))),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(ct.astype(np.int32))),
-                ],
-                ["id", "n_tokens", "hot_known", "hot_base", "score", "cold", "cold_n"],
-            )
-
-    scored = stored(rows.mapInArrow(score, f"id {kind}, n_tokens long, hot_known long, hot_base double, score double, cold array<long>, cold_n array<int>"), "lm-scores")
+            grams = Grams(batch.column(1))
+            yield scored_chunk(batch.column(0), grams, lff.levels(grams.all), hot_x, hot_c)
+
+    def pack(batches):
+        for batch in chunked(batches):
+            chunk = int.from_bytes(os.urandom(8), "little", signed=True)  # kept, as the chunks are stored
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([to_bytes(batch)], pa.binary())], ["chunk", "docs"])
+
+    def score_found(batches):
+        _, hot_x, hot_c = table.value
+        hot_x, hot_c = np.frombuffer(hot_x, np.uint64), np.frombuffer(hot_c, np.int64)
+        for batch in batches:
+            for docs, found in zip(*batch.columns, strict=True):
+                docs = from_bytes(docs.as_py())
+                grams = Grams(docs.column(1))
+                levels = np.empty(len(grams.all), np.int64)
+                levels[np.argsort(grams.all)] = np.frombuffer(b"".join(f["levels"] for f in found.as_py()), np.uint8)
+                yield scored_chunk(docs.column(0), grams, levels, hot_x, hot_c)
+
+    shape = f"id {kind}, n_tokens long, hot_known long, hot_base double, score double, cold array<long>, cold_n array<int>"
+    if in_memory:
+        scored = stored(rows.mapInArrow(score, shape), "lm-scores")
+    else:
+        pages_table = stored(pages_table, "lm-pages", small=True)
+        released(spark)
+        chunks = stored(rows.mapInArrow(pack, "chunk long, docs binary"), "lm-chunks")
+        with small_batches(spark):
+            found = stored(found_levels(chunks, pages, together, pages_table), "lm-levels", small=True)
+        released(spark)
+        found = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("group", "levels"))).alias("found"))
+        joined = chunks.join(found.hint("merge"), "chunk")
+        with small_batches(spark):
+            scored = stored(joined.select("docs", "found").mapInArrow(score_found, shape), "lm-scores")
+        released(spark)
     key = F.struct("id", "score", "n_tokens", F.xxhash64("cold", "cold_n").alias("h"))  # equal rows have equal cold words
     scored = scored.withColumn("key", F.xxhash64(key)).withColumn("key2", F.hash(key))
     cold = scored.where(F.size("cold") > 0).select("key", "key2", F.explode(F.arrays_zip(F.col("cold").alias("x"), F.col("cold_n").alias("m"))).alias("w")).select("key", "key2", "w.x", "w.m")

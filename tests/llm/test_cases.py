@@ -296,6 +296,21 @@ def test_filter_counts():
     assert (f.counts(mix(np.arange(10**6, 10**6 + 10_000, dtype=np.uint64))) > 0).mean() < 0.1
 
 
+def test_large_filter_keeps_all_levels(spark, monkeypatch):
+    from shapeloom.llm import language_model
+
+    rng = random.Random(5)
+    rows = [(None if i == 7 else i, None if i == 9 else " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(300)))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scores = lambda: sorted(map(tuple, language_model.score_texts(docs, docs, hot=100).collect()), key=repr)
+    want = scores()
+    monkeypatch.setattr(language_model, "MAX_BITS", 1 << 20)
+    monkeypatch.setattr(language_model, "GROUPS", 2, raising=False)
+    got = scores()
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
+
+
 # Jaccard join.
 
 
