@@ -11,8 +11,9 @@ lie in the one page that its hash names, so each page is built whole by one task
 The number of pages grows with the entries, ``BITS_PER_ENTRY`` bits an entry or more, so no
 level is left out at any corpus size. A filter of at most ``MAX_BITS`` bits (32 MB) is
 broadcast. A larger one stays a table of pages: each chunk of documents sends its distinct
-n-grams to their pages (in ``GROUPS`` groups at most), and the levels found there are joined with the chunk again. Both forms read the same bits and give the same scores.
-Pairs seen once are counted but not entered.
+n-grams to their pages (in ``GROUPS`` groups at most), and the levels found there are joined
+with the chunk again. Both forms read the same bits and give the same scores.
+Pairs seen once are entered at level 1 like words.
 
 Probability of a word after another, with Dirichlet smoothing:
 (c(h w) + MU p(w)) / (c(h) + MU), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
@@ -307,7 +308,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``,
     learning from the rows of ``train``."""
     spark = docs.sparkSession
-    grams = stored(count_grams(train.select(F.col(text_col).alias("text"))).where((F.col("n") == 1) | (F.col("c") > 1)), "lm-grams", small=True)
+    grams = stored(count_grams(train.select(F.col(text_col).alias("text"))), "lm-grams", small=True)
     released(spark)
     words = grams.where("n = 1")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()

@@ -311,6 +311,16 @@ def test_large_filter_keeps_all_levels(spark, monkeypatch):
     assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
 
 
+def test_pairs_seen_once_count(spark):
+    from shapeloom.llm.language_model import score_texts
+
+    train = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b"), (2, "a d")], "doc_id long, text string")
+    got = {r.doc_id: r for r in score_texts(docs, train).collect()}
+    assert abs(got[1].base_score - got[2].base_score) < 1e-9  # the words are as frequent
+    assert got[1].score > got[2].score  # the pairs are not
+
+
 # Jaccard join.
 
 
