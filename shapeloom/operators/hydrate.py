@@ -261,7 +261,8 @@ class Hydration:
 
     def ordered(self, frames: DataFrame, layout: Ordered, bound: int, depth: int) -> tuple[DataFrame, Value]:
         """All nodes are matched once. The nodes of a list are then found by doubling: after
-        round k each list knows its first 2^k nodes and each node the one 2^k further on."""
+        round k each list knows its first 2^k nodes and each node the one 2^k further on. A
+        list that came to a node again is cyclic and grows no further; the others go on."""
         node, first, rest = layout.node, bound, bound + 1
         col = lambda x: F.col(var(x)) if isinstance(x, int) else F.lit(x)
         outer = [GRAPH, *(var(i) for i in range(bound) if i in variables(node.dataset) or i in node.value.inputs or i == node.value.graph or i == layout.tail)]
@@ -274,15 +275,15 @@ class Hydration:
         jump = nodes.where("n = 1").select(*outer, F.col(var(first)).alias("node"), F.col("next").alias("to"))
         seen = stored(lists.where("head <> tail").select(*outer, "head", "tail", F.col("head").alias("node"), F.lit(0).cast("long").alias("pos")), "list-seen")
         total, step = seen.count(), 1
+        going = seen
         while True:
-            more = seen.join(jump, [*outer, "node"]).select(*outer, "head", "tail", F.col("to").alias("node"), (F.col("pos") + step).alias("pos")).where("node <> tail")
+            more = going.join(jump, [*outer, "node"]).select(*outer, "head", "tail", F.col("to").alias("node"), (F.col("pos") + step).alias("pos")).where("node <> tail")
             grown = stored(seen.unionByName(more), "list-seen")
             now = grown.count()
             seen = grown
             if now == total:
                 break
-            if step > 1 << 40 or not self._finite(seen, outer):
-                break
+            going = self._acyclic(seen, outer)
             total, step = now, step * 2
             jump = stored(jump.join(jump.select(*outer, F.col("node").alias("to"), F.col("to").alias("far")), [*outer, "to"]).select(*outer, "node", F.col("far").alias("to")), "list-jumps")
         walked = seen.join(nodes.withColumnRenamed(var(first), "node"), [*outer, "node"], "left")
@@ -297,10 +298,11 @@ class Hydration:
         return frames, self.list_value("l_x", V.first_status(cyclic, F.col("l_st")))
 
     @staticmethod
-    def _finite(seen: DataFrame, outer: list[str]) -> bool:
-        """False once a list has come to a node again."""
-        again = seen.groupBy(*outer, "head", "tail").agg(F.count(F.lit(1)).alias("a"), F.count_distinct("node").alias("b")).where("a > b")
-        return again.isEmpty()
+    def _acyclic(seen: DataFrame, outer: list[str]) -> DataFrame:
+        """The rows of the lists that haven't come to a node again."""
+        lists = [*outer, "head", "tail"]
+        once = seen.groupBy(*lists).agg(F.count(F.lit(1)).alias("a"), F.count_distinct("node").alias("b")).where("a = b").select(*lists)
+        return seen.join(once, lists)
 
 
 def hydrate(
