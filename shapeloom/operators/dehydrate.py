@@ -224,10 +224,14 @@ class Dehydration:
             status = V.first_status(status, F.when(~v.text().rlike(to_java(layout.pattern)), "PATTERN_MISMATCH"))
         return term, status
 
+    def too_deep(self, layout: Layout, depth: int) -> bool:
+        """Where a recursive layout ends: it has no terms there and writes RECURSION_LIMIT."""
+        return depth > 2 * self.max_depth and self.layouts.recursive(layout.id)
+
     def terms(self, call: Call, v: Tree, depth: int) -> dict[int, tuple[Column, Column]]:
         """The terms that a call gives to variables of the caller."""
         layout = self.layouts.call(call)
-        own = self.scope_terms(layout, v, depth) if depth <= self.max_depth else {}
+        own = {} if self.too_deep(layout, depth) else self.scope_terms(layout, v, depth)
         return _union([{x: own[i]} for i, x in enumerate(call.inputs) if isinstance(x, int) and i in own])
 
     def scope_terms(self, layout: Layout, v: Tree, depth: int) -> dict[int, tuple[Column, Column]]:
@@ -262,7 +266,8 @@ class Dehydration:
 
     def _outer(self, size: int, parts: list[tuple[Part, Tree]], depth: int, shift: int = 0) -> dict[int, tuple[Column, Column]]:
         """Terms that parts give to the ``size`` variables outside of them."""
-        return {k: t for k, t in _union([{k: t for k, t in self.terms(p.value, v, depth + 1).items() if k < size} for p, v in parts]).items()}
+        outside = [(p, v) for p, v in parts if any(isinstance(x, int) and x < size for x in p.value.inputs)]  # others give none
+        return _union([{k: t for k, t in self.terms(p.value, v, depth + 1).items() if k < size} for p, v in outside])
 
     def fits(self, layout: Sum, i: int, v: Tree, depth: int) -> tuple[Column, Tree]:
         """Whether variant i takes the value."""
@@ -301,7 +306,7 @@ class Dehydration:
 
     def value(self, call: Call, v: Tree, env: list[Column], graph: Column, path: Column, depth: int) -> Result:
         layout = self.layouts.call(call)
-        if depth > 2 * self.max_depth and self.layouts.recursive(layout.id):
+        if self.too_deep(layout, depth):
             return Result([], F.when(~v.absent(), "RECURSION_LIMIT"), {})
         put = lambda x: F.lit(x) if isinstance(x, str) else env[x]
         graph = graph if call.graph is KEEP else _none() if call.graph is None else put(call.graph)
