@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 from contextlib import contextmanager
 
 import numpy as np
@@ -185,9 +186,12 @@ def build_filter(grams: DataFrame) -> tuple[int, DataFrame]:
 
 def released(spark: SparkSession) -> None:
     """What was shuffled for tables that are stored by now is of no more use; Spark deletes
-    such files when the driver's collector finds that nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    such files when the driver's collector finds that nothing refers to them. What ran last is
+    held a little longer, so one collection isn't enough."""
+    for wait in (1, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 @contextmanager
