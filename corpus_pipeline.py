@@ -7,16 +7,16 @@ result is written as Parquet and reread as the next one's ``docs``.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.llm import exact_dedup, jaccard_join, quality_knn, sentencepiece_fst
 from shapeloom.llm.decontaminate import keep_clean
+from shapeloom.llm.ids import LAST
 from shapeloom.llm.language_model import held_out
-from shapeloom.shared import free_name, stored
+from shapeloom.llm.runs import halves
+from shapeloom.shared import delete, free_name, shared_path, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest id (one of several with that id)."""
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    found = exact_dedup.exact_dedup(docs, index)
+    index = exact_dedup.DigestIndex(spark, shared_path(spark, "digest-index"))
+    found = exact_dedup.exact_dedup(halves(docs), index)
+    index.drop()
     d, h = free_name(docs, "_d"), free_name(docs, "_h")
     kept = found.where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias(d), F.col("text_sha256").alias(h)).distinct()
     rows = docs.withColumns({d: F.coalesce("doc_id", F.lit(-1)), h: exact_dedup.digest(F.col("text"))})
@@ -39,16 +40,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the row with the smallest id; rows without words."""
-    found = jaccard_join.similar_components(docs)
-    d = free_name(docs, "_d")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias(d)).distinct()
-    return docs.withColumn(d, F.coalesce("doc_id", F.lit(-1))).join(kept.hint("merge"), d, "left_semi").select(*docs.columns)
+    """Of each group of near duplicates one row: of those with the smallest id, the one with the
+    least digest. Rows without words are a group each, of equal ones one stays.
+
+    Ids may repeat or be null, so a row is known by its id and its text's digest; a null id
+    counts as larger than all others.
+    """
+    d, h = free_name(docs, "_d"), free_name(docs, "_h")
+    name = {d: F.coalesce("doc_id", F.lit(LAST)), h: F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)}
+    found = jaccard_join.similar_components(docs.withColumns(name), keep=[h])
+    found = found.select(F.coalesce("doc_id", F.lit(LAST)).alias(d), h, "n_shingles", "class_id")
+    own = F.concat_ws(":", d, h)  # of a row without words
+    first = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("class_id").cast("string")).otherwise(own)).agg(F.min(F.struct(d, h)).alias("k"))
+    kept = first.select(f"k.{d}", f"k.{h}")
+    return docs.withColumns(name).join(kept.hint("merge"), [d, h], "left_semi").dropDuplicates([d, h]).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by benchmark items."""
-    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents in which no window of any benchmark item occurs: one leaked passage is enough."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=1)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each batch of documents is reduced to digests of its normalised texts, grouped (a partial
 aggregate runs before the shuffle, so a text of many copies sends one row a task), and
-sort-merge anti-joined with the index; unseen digests are appended to it. The index is a
-bucketed table in the warehouse, which all executors share; reopened in a later session, it
+sort-merge anti-joined with the index; unseen digests are appended to it as a run of its own.
+The index is a folder that all executors share (``runs``); opened again in a later session, it
 dedups new data against all earlier batches.
 
 Defined cases: a null text counts as empty; empty texts are equal to one another; of
@@ -14,12 +14,11 @@ that id is chosen; other columns are not looked at, an empty table gives an empt
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.shared import fewer_files, stored
+from shapeloom.llm.runs import RunStore, halves
+from shapeloom.shared import shared_path, stored, tidy
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -34,62 +33,61 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Table of (digest, keep_id, batch), bucketed and sorted by digest."""
-
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
-        self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Runs of (digest, keep_id), bucketed and sorted by digest, in the folder ``path``: one row
+    for each text that any batch has had."""
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", buckets: int | None = None):
+        self.store = RunStore(spark, path, f"digest string, keep_id {id_type}", "digest", buckets)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+        return self.store.read()
 
-    def append(self, new: DataFrame) -> None:
-        """Adds (digest, keep_id) rows as one batch."""
-        rows = new.select("digest", "keep_id", F.lit(uuid.uuid4().hex).alias("batch"))
-        (
-            rows.repartition(self.buckets, "digest").write.mode("append").format("parquet")
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
-        )
+    def add(self, groups: DataFrame) -> DataFrame:
+        """Appends those (digest, keep_id) rows whose digest no run has, and returns them."""
+        for run in self.store.runs:
+            groups = groups.join(self.store.table(run).select("digest").hint("merge"), "digest", "left_anti")
+        return self.store.table(self.store.append(groups.select("digest", "keep_id")))
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.store.drop()
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, keep_id, group_size (in this batch), kept, text_sha256.
+@tidy
+def exact_dedup(batches: DataFrame | list[DataFrame], index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id, keep_id, group_size, kept, text_sha256.
 
-    ``keep_id`` is the smallest id of the batch with an equal text, or, if an earlier batch
-    has the text, the id that stayed there; then no row of this batch is kept. Digests not
-    in the index are appended to it.
+    The batches go through the index one after another. ``keep_id`` is the smallest id of the
+    first batch that has the text, in this call or an earlier one; only rows of that batch are
+    kept, and ``group_size`` counts the rows of this call. Digests not in the index are
+    appended to it.
     """
-    rows = stored(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")), "exact-digests")
-    groups = rows.groupBy("digest").agg(F.min("id").alias("batch_keep"), F.count(F.lit(1)).alias("group_size"))
-    if index.exists():
-        old = index.read().select("digest", F.col("keep_id").alias("old_keep"))
-        groups = stored(groups.join(old.hint("merge"), "digest", "left").withColumn("seen", F.col("old_keep").isNotNull()), "exact-groups", small=True)
-        fresh = groups.select("digest", "batch_keep").join(old.hint("merge"), "digest", "left_anti")
-    else:
-        groups = groups.withColumn("seen", F.lit(False)).withColumn("old_keep", F.lit(None).cast(rows.schema["id"].dataType))
-        groups = stored(groups, "exact-groups", small=True)
-        fresh = groups
-    index.append(fresh.select("digest", F.col("batch_keep").alias("keep_id")))
+    rows = fresh = None
+    for batch in [batches] if isinstance(batches, DataFrame) else batches:
+        own = stored(batch.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")), "exact-digests")
+        new = index.add(own.groupBy("digest").agg(F.min("id").alias("keep_id"))).select("digest")
+        fresh = new if fresh is None else fresh.unionByName(new)
+        rows = own if rows is None else rows.unionByName(own)
+    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    kept = index.read().join(groups.hint("merge"), "digest").join(fresh.withColumn("fresh", F.lit(True)).hint("merge"), "digest", "left")
+    groups = stored(kept, "exact-groups", small=True)
+    index.store.settle()
     out = rows.join(groups.hint("merge"), "digest")
-    out = out.select(
+    return out.select(
         F.col("id").alias(id_col),
-        F.coalesce("old_keep", "batch_keep").alias("keep_id"),
+        "keep_id",
         "group_size",
-        (~F.col("seen") & F.col("id").eqNullSafe(F.col("batch_keep"))).alias("kept"),
+        (F.coalesce("fresh", F.lit(False)) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
-    return fewer_files(out)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch, against an index that starts empty."""
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
+    """All documents in two batches by ascending id, the second against the index that the
+    first one left."""
+    index = DigestIndex(spark, shared_path(spark, "digest-index"))
+    out = exact_dedup(halves(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), index)
+    index.drop()
+    return out
 
 
 OP4_SQL = r"""

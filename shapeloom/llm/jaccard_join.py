@@ -9,26 +9,30 @@ in at most H = floor((|r| + min(|r|, U)) / 7) elements if they are that similar.
 * Pigeonhole. Give segment i of r a threshold v_i of -1, 0 or 1. If the v_i + 1 sum up to
   H + 1 or more, then some segment has r_i and s_i differing in at most v_i elements. Each set
   indexes its non-empty segment subsets in its own context and in the one below. Threshold 0
-  is met by equal subsets, threshold 1 also by one-deletion neighbours. Sets of the small
-  bands whose non-empty segments are fewer than H + 1 use threshold 1; if there is one such
-  set, all small sets index their neighbours. Larger sets have so many segments that 0 is
-  enough (a set for which it isn't makes the driver deal the universe by another seed).
-* Cost-based allocation. A subset that only r holds costs nothing and already counts, as no
-  s can match it. So r probes only the missing number of segments, those with the fewest
-  other sets. A set with H + 1 segments of its own has no similar partner at all. All sets
-  order subsets alike, so only the first ones of the smaller set need be met either.
+  is met by equal subsets, threshold 1 also by one-deletion neighbours, which sets index in the
+  contexts of small bands. In those of larger bands a set has so many segments that -1 and 0
+  are enough.
+* Cost-based allocation, set by set. The first unit of a segment costs the other sets with the
+  same subset, the second one those that are one deletion away. Units that no other set meets
+  cost nothing, need no probe and already count; of the others r takes the cheapest until they
+  are H + 1. A set with H + 1 units of no cost has no similar partner at all. In larger bands all
+  sets order subsets alike, so only the first ones of the smaller set need be met either.
+* A set whose units don't reach H + 1 (all its shingles in one or two segments: of seven
+  shingles once in 16 million) is paired with all sets that share a shingle with it.
 * Candidates. In each probed segment, all sets are first paired with one of them. Links
-  found give components; then, where a segment has sets of several components, its probes
-  are compared with those of the others in blocks (``links_between``), so no link between
-  components is missed and pairs within a group of copies are not listed.
-* Verification counts the shingles that both sets have.
+  found give components; then, where a segment has sets of several components, those of a
+  segment of up to ``LIGHT`` sets are paired, and those of more are compared in blocks
+  (``links_between``), so no link between components is missed and pairs within a group of
+  copies are not listed.
+* Verification counts the shingles that both sets have, by their names of 128 bits.
 
 Documents with equal sets are one class from the start and share its component. Component
 ids are the smallest document id in the component.
 
 Defined cases: a text of one to four words has its whole sequence as its one shingle; null
-and wordless texts have the empty set, which is linked with nothing; a null id is never the
-smallest unless all are null; repeated rows are one class; other columns are ignored.
+and wordless texts have the empty set, which is linked with nothing; ids that are no integers
+are compared as texts; a null id is never the smallest unless all are null; repeated rows are
+one class; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,13 +43,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.llm.components import components
+from shapeloom.llm.ids import LAST, last_id, ordered_id
 from shapeloom.llm.words import Words, chunked, mix, owner, windows
-from shapeloom.shared import fewer_files, stored
+from shapeloom.shared import stored, tidy
 
 WORDS = 5
 #: Similarity of 3/4: 100 times the intersection against 75 times the union.
 SHARE, WHOLE = 75, 100
-LEAST_SEGMENTS = 96
+#: Segments of the smallest bands; larger ones have 9/20 of their largest size.
+LEAST_SEGMENTS = 16
 #: Bands with a largest size up to this index one-deletion neighbours.
 SMALL = 128
 #: Index entries a packed row may hold, and entries a bucket shall have.
@@ -53,7 +59,8 @@ PACK = 1 << 20
 BUCKET = 500_000
 #: Shingles of a block of a family.
 BLOCK_SHINGLES = 1_000_000
-LAST = (1 << 63) - 1
+#: Sets of a segment that are paired one by one.
+LIGHT = 16
 
 #: The least sizes of the bands.
 FLOORS = [1]
@@ -62,30 +69,49 @@ while FLOORS[-1] < 1 << 40:
 FLOORS = np.array(FLOORS, np.int64)
 
 
-def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of all distinct shingles, ordered by document and hash."""
+def shingles(column: pa.Array, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(document, hash, second hash if ``check``) of all distinct shingles, ordered by document
+    and hash. Both hashes together are a shingle's name."""
     words = Words(column, lower=True)
-    h = words.hashes()
-    w, at = windows(h, words.first, WORDS, 1)
     n = np.diff(words.first)
-    doc = owner(at, words.first)
-    for k in range(1, WORDS):
-        if (few := np.flatnonzero(n == k)).size:
-            x = np.zeros(len(few), np.uint64)
+    few = [np.flatnonzero(n == k) for k in range(1, WORDS)]
+
+    def hashed(salt: int) -> tuple[np.ndarray, np.ndarray]:
+        h = words.hashes(salt)
+        w, at = windows(h, words.first, WORDS, salt + 1)
+        out = [w]
+        for k, own in enumerate(few, 1):
+            x = np.full(len(own), k, np.uint64)
             for j in range(k):
-                x = mix(x * np.uint64(31) + h[words.first[few] + j] + np.uint64(k))
-            w, doc = np.concatenate([w, x]), np.concatenate([doc, few])
+                x = mix(x ^ mix(h[words.first[own] + j] + np.uint64(salt)))
+            out.append(x)
+        return np.concatenate(out), at
+
+    w, at = hashed(0)
+    doc = np.concatenate([owner(at, words.first), *few])
     order = np.lexsort((w, doc))
-    w, doc = w[order], doc[order]
+    second = hashed(2)[0] if check else None
     new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], w[new]
 
+    def marked() -> np.ndarray:
+        new[1:] = (w[order][1:] != w[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+        return new
+
+    if not check:
+        marked()
+        return doc[order][new], w[order][new], None
+    x = second[order]
+    if ((x[1:] != x[:-1]) & ~marked()[1:]).any():  # equal hashes of different shingles
+        order = np.lexsort((second, w, doc))
+        x = second[order]
+    new[1:] = marked()[1:] | (x[1:] != x[:-1])
+    return doc[order][new], w[order][new], x[new]
 
-def class_ids(doc: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+
+def class_ids(doc: np.ndarray, w: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """A hash of each set: equal sets have equal ones."""
     total = np.zeros(n, np.uint64)
-    np.add.at(total, doc, mix(w ^ np.uint64(0x7F4A7C159E3779B9)))
+    np.add.at(total, doc, mix(w ^ np.uint64((0x7F4A7C159E3779B9 * (2 * seed + 1)) & (2**64 - 1))))
     return mix(total + np.bincount(doc, minlength=n).astype(np.uint64)).view(np.int64)
 
 
@@ -104,8 +130,8 @@ class Partition:
         self.most = (sizes + sizes * 4 // 3) // 7
 
     def subsets(self, doc: np.ndarray, w: np.ndarray, seed: int):
-        """(key, document, size) of the non-empty subsets, and (key, document) of their
-        one-deletion neighbours."""
+        """(key, document, segment, size) of the non-empty subsets, and (key, document, segment) of
+        their one-deletion neighbours."""
         use = self.ok[doc]
         doc, w = doc[use], w[use]
         place = mix(w + np.uint64(0x632BE59BD9B4E019 * (seed + 1) & (2**64 - 1)))
@@ -113,7 +139,7 @@ class Partition:
         order = np.lexsort((seg, doc))
         doc, seg, x = doc[order], seg[order], mix(w[order] + np.uint64(0x1234567))
         if not len(doc):
-            return np.empty(0, np.uint64), doc, doc, np.empty(0, np.uint64), doc
+            return (np.empty(0, np.uint64), doc, doc, doc), (np.empty(0, np.uint64), doc, doc)
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (seg[1:] != seg[:-1])
         start = np.flatnonzero(new)
@@ -122,75 +148,82 @@ class Partition:
         salt = mix((self.band[doc[start]].astype(np.uint64) << np.uint64(40)) + seg[start])
         of = np.cumsum(new) - 1
         drop = self.deletions[doc] & (size[of] >= 2)
-        return mix(total + salt), doc[start], size, mix((total[of] - x + salt[of])[drop]), doc[drop]
+        seg = seg.astype(np.int64)
+        return (mix(total + salt), doc[start], seg[start], size), (mix((total[of] - x + salt[of])[drop]), doc[drop], seg[drop])
 
 
-def profile(docs: DataFrame, seed: int, least: int) -> DataFrame:
-    """(d, id, text) -> (d, id, n, c: its class, of both contexts: held (non-empty segments),
-    need (H + 1); most: one more than it and a larger partner may differ in; narrow: it
-    needs thresholds of 1; short: its segments don't suffice even so)."""
-    kind = docs.schema["id"].dataType.simpleString()
+def profile(docs: DataFrame, seed: int, least: int, keep: list[str]) -> DataFrame:
+    """(d, id, text) and ``keep`` -> (d, id, n, c: its class, c2: another hash of it, of both
+    contexts: held (segments that aren't empty), able (units), need (H + 1), small (one-deletion
+    neighbours are indexed); band; most: one more than it and a larger partner may differ in;
+    short: its units don't suffice) and ``keep``."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("d", "id", *keep)}
+    names = ["d", "id", "n", "c", "c2", "band", "most", *(f"{x}{k}" for k in (0, 1) for x in ("held", "able", "need", "small")), "short", *keep]
 
     def run(batches):
         for batch in chunked(batches):
-            doc, w = shingles(batch.column(2))
+            doc, w, x = shingles(batch.column(2), check=True)
             n = np.bincount(doc, minlength=batch.num_rows)
-            out = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(class_ids(doc, w, len(n)))]
-            short, narrow = np.zeros(len(n), bool), np.zeros(len(n), bool)
+            short, out = np.zeros(len(n), bool), []
             for below in (False, True):
                 p = Partition(n, below, least)
-                _, of, size, _, _ = p.subsets(doc, w, seed)
+                (_, of, _, size), _ = p.subsets(doc, w, seed)
                 held = np.bincount(of, minlength=len(n))
-                able = np.bincount(of, weights=np.minimum(size, 2), minlength=len(n))
-                narrow |= p.ok & (held < p.need)
-                short |= p.ok & (np.where(p.deletions, able, held) < p.need)
-                out += [pa.array(np.where(p.ok, x, 0), pa.int64()) for x in (held, p.need)]
+                able = np.where(p.deletions, np.bincount(of, weights=np.minimum(size, 2), minlength=len(n)).astype(np.int64), held)
+                short |= p.ok & (able < p.need)
+                out += [pa.array(np.where(p.ok, v, 0), pa.int64()) for v in (held, able, p.need)] + [pa.array(p.deletions & p.ok)]
                 if not below:
-                    out += [pa.array(p.band, pa.int32()), pa.array(p.most + 1, pa.int64()), pa.array(p.deletions & p.ok)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(narrow), pa.array(short)], names)
+                    own = [pa.array(p.band, pa.int32()), pa.array(p.most + 1, pa.int64())]
+            head = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(class_ids(doc, w, len(n), seed)), pa.array(class_ids(doc, x, len(n), seed + 1))]
+            yield pa.RecordBatch.from_arrays([*head, *own, *out, pa.array(short), *batch.columns[3:]], names)
 
-    names = ["d", "id", "n", "c", "held0", "need0", "band", "most", "small", "held1", "need1", "narrow", "short"]
-    return docs.mapInArrow(run, f"d long, id {kind}, n long, c long, held0 long, need0 long, band int, most long, small boolean, held1 long, need1 long, narrow boolean, short boolean")
+    shape = ", ".join(f"{x}{k} {'boolean' if x == 'small' else 'long'}" for k in (0, 1) for x in ("held", "able", "need", "small"))
+    more = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return docs.select("d", "id", "text", *keep).mapInArrow(run, f"d {kinds['d']}, id {kinds['id']}, n long, c long, c2 long, band int, most long, {shape}, short boolean{more}")
 
 
-def index_rows(docs: DataFrame, buckets: int, seed: int, least: int, deletions: bool) -> DataFrame:
-    """Packed index entries: (bucket, sets, keys, at). An entry is the 40 key bits below
-    those that name the bucket, and the place of its set in ``sets`` with flags for its kind:
-    a deletion neighbour, the context below."""
+def index_rows(docs: DataFrame, buckets: int, seed: int, least: int) -> DataFrame:
+    """Packed index entries: (bucket, sets, keys, at, segs). An entry is the 40 key bits below
+    those that name the bucket, the place of its set in ``sets`` with flags for its kind (a
+    deletion neighbour, the context below), and of small contexts the segment, with a flag for
+    subsets of two or more."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         sets: list[np.ndarray] = []
         n_sets = n = 0
 
         def flush():
-            key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, at, seg = (np.concatenate(x) for x in zip(*held, strict=True))
             names = np.concatenate(sets)
             bucket = bucket_of(key, buckets)
             order = np.argsort(bucket, kind="stable")
-            key, at, bucket = key[order], at[order], bucket[order]
+            key, at, seg, bucket = key[order], at[order], seg[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own, place = np.unique(at[a:b] >> 2, return_inverse=True)
                 packed = (place.astype(np.uint32) << np.uint32(2)) | (at[a:b] & 3).astype(np.uint32)
                 packed = packed.astype(np.uint16) if len(own) < 1 << 14 else packed
                 low = np.ascontiguousarray(key[a:b, None].view(np.uint8)[:, :5])
-                yield int(bucket[a]), names[own].tobytes(), low.tobytes(), packed.tobytes()
+                yield int(bucket[a]), names[own].tobytes(), low.tobytes(), packed.tobytes(), seg[a:b].tobytes()
 
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sets", "keys", "at"])
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "sets", "keys", "at", "segs"])
 
         for batch in chunked(batches):
-            doc, w = shingles(batch.column(0))
+            doc, w, _ = shingles(batch.column(0))
             sizes = np.bincount(doc, minlength=batch.num_rows)
-            names = class_ids(doc, w, len(sizes))
+            names = class_ids(doc, w, len(sizes), seed)
             keep = np.zeros(len(sizes), bool)  # one of the equal sets of a chunk
             keep[np.unique(names, return_index=True)[1]] = True
             doc, w = doc[keep[doc]], w[keep[doc]]
             for below in (0, 1):
-                key, of, _, dkey, dof = Partition(sizes, bool(below), least).subsets(doc, w, seed)
-                for k, o, kind in ((key, of, 0), (dkey, dof, 1))[: 1 + deletions]:
-                    held.append((k, ((o + n_sets) << 2) | (2 * below + kind)))
+                p = Partition(sizes, bool(below), least)
+                (key, of, seg, size), (dkey, dof, dseg) = p.subsets(doc, w, seed)
+                seg = np.where(p.deletions[of], seg << 1 | (size >= 2), 0)
+                for k, o, g, kind in ((key, of, seg, 0), (dkey, dof, dseg << 1 | 1, 1)):
+                    held.append((k, ((o + n_sets) << 2) | (2 * below + kind), g.astype(np.uint8)))
                     n += len(k)
             sets.append(names)
             n_sets += len(names)
@@ -200,7 +233,7 @@ def index_rows(docs: DataFrame, buckets: int, seed: int, least: int, deletions:
         if n:
             yield batch_of(list(flush()))
 
-    return docs.select("text").mapInArrow(run, "bucket int, sets binary, keys binary, at binary")
+    return docs.select("text").mapInArrow(run, "bucket int, sets binary, keys binary, at binary, segs binary")
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -208,19 +241,20 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(c, below, others, kind, key): the entries whose key another set has too, and how many
-    sets have this subset."""
+    """(c, below, kind, key, seg, full, near): the entries whose key another set has too, and how
+    many sets have it as their subset and as a neighbour of it."""
 
-    def solve(bucket: int, packs: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, ...]:
-        keys, sets, flags = [], [], []
-        for names, low, at in packs:
+    def solve(bucket: int, packs: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, ...]:
+        keys, sets, flags, segs = [], [], [], []
+        for names, low, at, seg in packs:
             key = np.zeros((len(low) // 5, 8), np.uint8)
             key[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
             place = np.frombuffer(at, np.uint16 if len(at) * 5 == len(low) * 2 else np.uint32).astype(np.int64)
             keys.append(key.view(np.uint64)[:, 0] | np.uint64(bucket << 40))
             sets.append(np.frombuffer(names, np.int64)[place >> 2])
             flags.append(place & 3)
-        key, c, flag = (np.concatenate(x) for x in (keys, sets, flags))
+            segs.append(np.frombuffer(seg, np.uint8))
+        key, c, flag, seg = (np.concatenate(x) for x in (keys, sets, flags, segs))
         # Most keys have one entry: they go before the costly sort by set.
         order = np.argsort(key, kind="stable")
         sk = key[order]
@@ -229,29 +263,32 @@ def repeated(rows: DataFrame) -> DataFrame:
         alone[1:] &= ~same
         alone[:-1] &= ~same
         order = order[~alone]
-        key, c, flag = key[order], c[order], flag[order]
+        key, c, flag, seg = key[order], c[order], flag[order], seg[order]
         order = np.lexsort((flag, c, key))
-        key, c, flag = key[order], c[order], flag[order]
+        key, c, flag, seg = key[order], c[order], flag[order], seg[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (flag[1:] != flag[:-1])
-        key, c, flag = key[new], c[new], flag[new]
+        key, c, flag, seg = key[new], c[new], flag[new], seg[new]
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         group = np.cumsum(first) - 1
         distinct = np.ones(len(key), bool)
         distinct[1:] = first[1:] | (c[1:] != c[:-1])
-        full = np.bincount(group, weights=(flag & 1) == 0).astype(np.int64) if len(key) else np.empty(0, np.int64)
-        several = np.bincount(group, weights=distinct)[group] > 1 if len(key) else np.empty(0, bool)
-        # A subset that no other set has as a whole costs nothing, but its neighbours may be met.
-        return key[several], c[several], flag[several], full[group][several]
+        whole = (flag & 1) == 0
+        count = lambda x: np.bincount(group, weights=x)[group].astype(np.int64) if len(key) else np.empty(0, np.int64)
+        full, near, several = count(whole), count(~whole), count(distinct) > 1
+        # Neighbours alone meet nothing.
+        use = several & (full > 0)
+        return tuple(x[use] for x in (key, c, flag, seg, full, near))
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         now, packs, n = None, [], 0
 
         def out():
-            key, c, flag, others = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c), pa.array((flag >> 1).astype(np.int32)), pa.array(others.astype(np.int32)), pa.array((flag & 1).astype(np.int32)), pa.array(key.view(np.int64))], ["c", "below", "others", "kind", "key"])
+            key, c, flag, seg, full, near = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [(c, pa.int64()), (flag >> 1, pa.int32()), (flag & 1, pa.int32()), (key.view(np.int64), pa.int64()), (seg, pa.int32()), (full, pa.int64()), (near, pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in columns], ["c", "below", "kind", "key", "seg", "full", "near"])
 
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -270,63 +307,119 @@ def repeated(rows: DataFrame) -> DataFrame:
         if n:
             yield out()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "c long, below int, others int, kind int, key long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "c long, below int, kind int, key long, seg int, full long, near long")
 
 
-def allocate(found: DataFrame, classes: DataFrame, deletions: bool) -> DataFrame:
-    """(key, c, n, context, rank, below, probe): the entries that can still lead to a pair, and
-    whether their set probes them; rank: how much of the set other sets have too.
+def rank_in(group: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """The place of each row in its group, ordered by ``by``."""
+    order = np.lexsort((*reversed(by), group))
+    first = np.ones(len(order), bool)
+    first[1:] = group[order][1:] != group[order][:-1]
+    start = np.flatnonzero(first)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return out
+
 
-    All sets order subsets alike, by the number of sets and the key. In that order the first
-    H + 1 of r and the first of s, as many as s and a partner of it may differ in and one
-    more, share a subset if the two are similar; a set's own subsets come first and are no
-    entries.
+def chosen(group: np.ndarray, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries of sets' contexts (``group``, from 0 on) are kept and which are probed.
+
+    Large contexts: a set's subsets in the order of the number of sets and the key, which is
+    the same for all sets. The first H + 1 of r and the first of s, as many as s and a partner of
+    it may differ in and one more, share a subset if the two are similar. Small contexts: the
+    cheapest units; r probes a subset for a segment's first unit, its neighbours too for the
+    second, and s is met in all its entries.
     """
-    ks = F.collect_list(F.struct("others", "kind", "key")).alias("ks")
-    own = found.repartition("c", "below").groupBy("c", "below").agg(ks).join(classes.hint("merge"), "c")
-    whole = F.array_sort(F.filter("ks", lambda x: x["kind"] == 0))
-    own = own.withColumn("whole", whole).withColumn("near", F.filter("ks", lambda x: x["kind"] == 1))
+    n = int(group[-1]) + 1 if len(group) else 0
+    whole, small, own = x["kind"] == 0, x["small"], x["below"] == 0
+    per = lambda weights: np.bincount(group, weights=weights, minlength=n).astype(np.int64)[group]
+    # Large contexts.
+    free = x["held"] - per(whole)
+    missing = x["need"] - free
+    rank = rank_in(group, ~whole, x["full"], x["key"])
+    probe = ~small & (rank < missing)
+    keep = ~small & (rank < np.where(own, np.maximum(missing, x["most"] - free), missing))
+    if not small.any():
+        return keep, probe
+    # Small contexts: a row for each segment of a set, its two units, and their costs.
+    at = np.flatnonzero(small)
+    place = group[at] * 256 + x["seg"][at]
+    segment, of = np.unique(place, return_inverse=True)
+    sums = lambda weights: np.bincount(of, weights=weights, minlength=len(segment)).astype(np.int64)
+    is_whole = whole[at]
+    first = np.maximum(sums(np.where(is_whole, x["full"][at] - 1, 0)), 0)
+    second = np.maximum(first, sums(np.where(is_whole, x["near"][at], x["full"][at])))
+    two = (segment & 1) == 1
+    unit_segment = np.concatenate([np.arange(len(segment)), np.flatnonzero(two)])
+    cost = np.concatenate([first, second[two]])
+    number = np.concatenate([np.zeros(len(segment), np.int64), np.ones(int(two.sum()), np.int64)])
+    unit_group = segment[unit_segment] // 256
+    some = np.zeros(n, np.int64)
+    some[group[at]] = x["need"][at] - x["able"][at]
+    left = some + np.bincount(unit_group, minlength=n)  # units to be taken from those that others meet
+    taken = rank_in(unit_group, cost, number, unit_segment) < left[unit_group]
+    threshold = np.bincount(unit_segment[taken], minlength=len(segment)) - 1
+    v = threshold[of]
+    probe[at] = v >= np.where(is_whole, 0, 1)
+    keep[at] = own[at] | probe[at]
+    return keep, probe
+
+
+def allocate(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, c, n, context, rank, below, probe, kind): the entries that can still lead to a pair,
+    and whether their set probes them; rank: how much of the set other sets have too."""
     below = F.col("below") == 1
-    held, need = F.when(below, F.col("held1")).otherwise(F.col("held0")), F.when(below, F.col("need1")).otherwise(F.col("need0"))
-    free = held - F.size("whole")
-    missing = (need - free).cast("int")
-    narrow = held < need  # then thresholds of 1 are needed as well, and small sets can be met in any subset
-    whole_set = narrow | (F.col("small") & ~below & F.lit(deletions))
-    kept = F.when(below, missing).otherwise(F.greatest(missing, (F.col("most") - free).cast("int")))
-    first = F.when(whole_set, F.col("whole")).otherwise(F.slice("whole", 1, F.greatest(kept, F.lit(0))))
-    marked = lambda xs, probe: F.transform(xs, lambda x, i: F.struct(x["key"].alias("key"), probe(i).alias("probe")))
-    entries = F.concat(marked(first, lambda i: narrow | (i < missing)), marked(F.when(whole_set, F.col("near")).otherwise(F.slice("near", 1, 0)), lambda i: narrow))
-    rank = (F.size("whole") * 1000 / F.greatest(held, F.lit(1))).cast("int").alias("rank")
-    return own.select("c", "n", (F.col("band") - F.col("below")).alias("context"), rank, "below", F.explode(entries).alias("e")).select("e.key", "c", "n", "context", "rank", "below", "e.probe")
-
-
-def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(c, n, w): the shingles of the classes (c, d), from the text of document d."""
+    named = lambda x: F.when(below, F.col(f"{x}1")).otherwise(F.col(f"{x}0")).alias(x)
+    # One row a set and context before the join, so that a set's entries stay together.
+    lists = found.groupBy("c", "below").agg(F.collect_list(F.struct("kind", "key", "seg", "full", "near")).alias("es"))
+    rows = lists.join(classes.hint("merge"), "c").select("c", "n", (F.col("band") - F.col("below")).alias("context"), "below", "most", *(named(x) for x in ("held", "able", "need", "small")), "es")
+
+    def run(batches):
+        for batch in batches:
+            size = np.asarray(pa.compute.list_value_length(batch.column(9)))
+            group = np.repeat(np.arange(len(size)), size)
+            es = batch.column(9).flatten()
+            x = {k: es.field(k).to_numpy(zero_copy_only=False) for k in ("kind", "key", "seg", "full", "near")}
+            head = {k: np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i, k in enumerate(("c", "n", "context", "below", "most", "held", "able", "need", "small"))}
+            x |= {k: v[group] for k, v in head.items()}
+            keep, probe = chosen(group, x)
+            shared = np.bincount(group, weights=x["kind"] == 0, minlength=len(size)) * 1000 // np.maximum(head["held"], 1)
+            out = [(x["key"], pa.int64()), (x["c"], pa.int64()), (x["n"], pa.int64()), (x["context"], pa.int32()), (shared[group].astype(np.int32), pa.int32()), (x["below"], pa.int32()), (probe, pa.bool_()), (x["kind"], pa.int32())]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(v[keep], t) for v, t in out], ["key", "c", "n", "context", "rank", "below", "probe", "kind"])
+
+    return rows.mapInArrow(run, "key long, c long, n long, context int, rank int, below int, probe boolean, kind int")
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """(c, n, w, x): the shingles of the classes (c, d), from the text of document d, and their
+    second hashes."""
 
     def run(batches):
         for batch in chunked(batches):
-            doc, w = shingles(batch.column(0))
+            doc, w, x = shingles(batch.column(0), check=True)
             sizes = np.bincount(doc, minlength=batch.num_rows)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            same = class_ids(doc, w, len(sizes)) == np.asarray(batch.column(1))  # of documents with one id, the right one
-            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(w.view(np.int64)))], ["c", "n", "w"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            same = class_ids(doc, w, len(sizes), seed) == np.asarray(batch.column(1))  # of documents with one id, the right one
+            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(v.view(np.int64))) for v in (w, x))], ["c", "n", "w", "x"])
             yield out.filter(pa.array(same))
 
     texts = docs.select("d", "text").join(classes.select("d", "c").hint("merge"), "d").select("text", "c")
-    return texts.mapInArrow(run, "c long, n long, w array<long>").dropDuplicates(["c"])
+    return texts.mapInArrow(run, "c long, n long, w array<long>, x array<long>").dropDuplicates(["c"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes that are similar enough."""
-    a = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"))
-    b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"))
-    both = pairs.join(b.drop("wb").hint("merge"), "b").join(a.hint("merge"), "a").where((F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3))
+    """Those pairs (a, b) of classes that are similar enough. Shingles are equal if both of
+    their hashes are, so the fewer common ones count."""
+    a = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("x").alias("xa"))
+    b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("x").alias("xb"))
+    both = pairs.join(b.select("b", "nb").hint("merge"), "b").join(a.hint("merge"), "a").where((F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3))
     both = both.join(b.drop("nb").hint("merge"), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common * WHOLE >= (F.col("na") + F.col("nb") - common) * SHARE).select("a", "b")
+    enough = lambda common: common * WHOLE >= (F.col("na") + F.col("nb") - common) * SHARE
+    return both.where(enough(F.size(F.array_intersect("wa", "wb")))).where(enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
 
 
-def cross_links(names: np.ndarray, sets: list[np.ndarray], root: np.ndarray, probe: np.ndarray, own: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+def cross_links(names: np.ndarray, sets: list[np.ndarray], second: list[np.ndarray], root: np.ndarray, probe: np.ndarray, own: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
     """Similar pairs of sets in different components, one of which probes and the other of
     which is in its own context: for each probing set one of each component that it has a
     link to. ``side``: only pairs of both sides, if given. Each probing set counts its
@@ -347,6 +440,9 @@ def cross_links(names: np.ndarray, sets: list[np.ndarray], root: np.ndarray, pro
         if side is not None:
             ok &= side != side[a]
         hits = np.flatnonzero(ok)
+        if len(hits):  # by the second hashes as well
+            both = np.array([len(np.intersect1d(second[a], second[b])) for b in hits.tolist()])
+            hits = hits[both * WHOLE >= (size[hits] + size[a] - both) * SHARE]
         for b in hits[np.unique(root[hits], return_index=True)[1]].tolist():  # one link to a component is enough
             out.append((int(max(names[a], names[b])), int(min(names[a], names[b]))))
     return out
@@ -355,15 +451,22 @@ def cross_links(names: np.ndarray, sets: list[np.ndarray], root: np.ndarray, pro
 def links_between(live: DataFrame, roots: DataFrame, sets: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) of classes in different components, those that join any two of them.
 
-    Sets of a context that share probed keys, directly or over others, are a family. Its
-    probes are compared with all its sets, in blocks of bounded size, and only links leave
-    the task: pairs aren't listed, and each set is sent once a pair of blocks it's in, however
-    many keys it shares.
+    A key of up to ``LIGHT`` entries lists its pairs of a probe and another component's set of
+    like size. Sets of a context that share keys of more entries, directly or over others, are
+    a family. Its probes are compared with all its sets, in blocks of bounded size, and only
+    links leave the task: each set is sent once a pair of blocks it's in, however many keys it
+    shares.
     """
     labelled = live.join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    several = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("probed")).where("r0 < r1 AND probed").select("key")
-    rest = labelled.join(several.hint("merge"), "key").select("key", "c", "n", "below", "probe", "root", F.xxhash64("c", "context").alias("v"))
+    several = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("probed"), F.count(F.lit(1)).alias("entries")).where("r0 < r1 AND probed").select("key", "entries")
+    rest = labelled.join(several.hint("merge"), "key").select("key", "entries", "c", "n", "below", "probe", "kind", "root", F.xxhash64("c", "context").alias("v"))
     rest = stored(rest, "jaccard-rest", small=True)
+    few = rest.where(F.col("entries") <= LIGHT)
+    r = few.where("probe").select("key", F.col("c").alias("r"), F.col("n").alias("nr"), F.col("kind").alias("kr"), F.col("root").alias("rr"))
+    s = few.where("below = 0").select("key", F.col("c").alias("s"), F.col("n").alias("ns"), F.col("kind").alias("ks"), F.col("root").alias("rs"))
+    listed = r.join(s.hint("merge"), "key").where("rr <> rs AND kr + ks < 2 AND 4 * ns >= 3 * nr AND 4 * nr >= 3 * ns")
+    listed = verify(listed.select(F.greatest("r", "s").alias("a"), F.least("r", "s").alias("b")).distinct(), sets)
+    rest = rest.where(F.col("entries") > LIGHT)
     stars = rest.join(rest.groupBy("key").agg(F.min("v").alias("m")).hint("merge"), "key").select(F.col("v").alias("a"), F.col("m").alias("b"))
     family = components(stars).withColumnRenamed("root", "family")
     nodes = rest.groupBy("v").agg(F.max("probe").alias("probe"), F.min("below").alias("below"), *(F.first(x).alias(x) for x in ("c", "n", "root")))
@@ -372,14 +475,14 @@ def links_between(live: DataFrame, roots: DataFrame, sets: DataFrame, block_shin
     block, other = F.pmod(F.xxhash64("c"), "blocks").cast("int"), F.col("other")
     dealt = nodes.join(blocks.hint("merge"), "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), "block", "c", "root", "probe", "below")
-    rows = dealt.join(sets.select("c", "w").hint("merge"), "c").select("family", "i", "j", "block", "c", "root", "probe", "below", "w")
+    rows = dealt.join(sets.select("c", "w", "x").hint("merge"), "c").select("family", "i", "j", "block", "c", "root", "probe", "below", "w", "x")
 
     def solve(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group)
         block, names, root, probe, below = (t[x].to_numpy() for x in ("block", "c", "root", "probe", "below"))
-        w = [x.values.to_numpy() for x in t["w"]]
+        w, second = ([x.values.to_numpy() for x in t[k]] for k in ("w", "x"))
         side = None if t["i"][0].as_py() == t["j"][0].as_py() else block
-        found = cross_links(names, w, root, probe, below == 0, side)
+        found = cross_links(names, w, second, root, probe, below == 0, side)
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -401,45 +504,64 @@ def links_between(live: DataFrame, roots: DataFrame, sets: DataFrame, block_shin
         if held:
             yield solve(held)
 
-    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    found = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
+    return found.unionByName(listed).distinct()
+
+
+def pairs_of_short(docs: DataFrame, short: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """(a, b): the classes ``short`` (c, d, n) with all classes of like size that share a shingle
+    with them."""
+    low, high = short.agg(F.min("n"), F.max("n")).first()
+    near = classes.where((F.col("n") * 4 >= low * 3) & (F.col("n") * 3 <= high * 4))
+    own = sets_of(docs, short, seed).select(F.col("c").alias("s"), F.explode("w").alias("e"))
+    others = sets_of(docs, near, seed).select("c", F.explode("w").alias("e"))
+    return others.join(own.hint("merge"), "e").where("c <> s").select(F.greatest("c", "s").alias("a"), F.least("c", "s").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, least_segments: int = LEAST_SEGMENTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row for each document: id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+@tidy
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, least_segments: int = LEAST_SEGMENTS, block_shingles: int = BLOCK_SHINGLES, keep: list[str] | None = None) -> DataFrame:
+    """One row for each document: id, n_shingles, component_id, class_id (a number of its
+    component, also where ids are null or repeated), and the columns ``keep``."""
+    spark, keep = docs.sparkSession, keep or []
+    rows = docs.select(ordered_id(docs, id_col).alias("d"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
+    facts = ("n", "c2", "band", "most", "short", *(f"{x}{k}" for k in (0, 1) for x in ("held", "able", "need", "small")))
     while True:
-        known = stored(profile(rows, seed, least_segments), "jaccard-profiles")
-        short, narrow, total = known.agg(*(F.coalesce(F.max(x), F.lit(False)) for x in ("short", "narrow")), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not short:
+        known = stored(profile(rows, seed, least_segments, keep), "jaccard-profiles")
+        classes = known.where("n > 0").groupBy("c").agg(F.min("d").alias("d"), F.max("c2").alias("other"), F.min("c2").alias("c2"), *(F.first(x).alias(x) for x in facts if x != "c2"))
+        classes = stored(classes, "jaccard-classes", small=True)
+        total, short, clash = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("short"), F.lit(False)), F.coalesce(F.max(F.col("c2") != F.col("other")), F.lit(False))).first()
+        if not clash:
             break
-        seed += 1
-    classes = known.where("n > 0").groupBy("c").agg(F.min("d").alias("d"), *(F.first(x).alias(x) for x in ("n", "held0", "need0", "band", "most", "small", "held1", "need1")))
-    classes = stored(classes, "jaccard-classes", small=True)
+        seed += 2  # two sets of one name: all get others
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // BUCKET)
-    entries = stored(allocate(repeated(index_rows(rows, min(buckets, 1 << 23), seed, least_segments, narrow)), classes, narrow), "jaccard-entries", small=True)
+    entries = stored(allocate(repeated(index_rows(rows, min(buckets, 1 << 23), seed, least_segments)), classes), "jaccard-entries", small=True)
     keys = entries.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("probe").alias("probed")).where("probed AND c0 < c1").select("key")
     live = stored(entries.join(keys.hint("merge"), "key"), "jaccard-live", small=True)
-    wanted = classes.select("c", "d").join(live.select("c").distinct().hint("merge"), "c")
-    sets = stored(sets_of(rows, wanted), "jaccard-sets")
     # Each key names a hub, the set that others have most of; its other sets are paired with it.
     hubs = live.groupBy("key").agg(F.max(F.struct("rank", "c")).alias("h")).select("key", F.col("h.c").alias("hub"))
     first = live.join(hubs.hint("merge"), "key").where("c <> hub").select(F.greatest("c", "hub").alias("a"), F.least("c", "hub").alias("b")).distinct()
+    wanted = live.select("c").distinct()
+    if short:
+        more = stored(pairs_of_short(rows, classes.where("short"), classes, seed), "jaccard-short", small=True)
+        first = first.unionByName(more).distinct()
+        wanted = wanted.unionByName(more.select(F.col("a").alias("c"))).unionByName(more.select(F.col("b").alias("c"))).distinct()
+    sets = stored(sets_of(rows, classes.select("c", "d").join(wanted.hint("merge"), "c"), seed), "jaccard-sets")
     links = stored(verify(first, sets), "jaccard-links", small=True)
     roots = components(links)
     more = stored(links_between(live, roots, sets, block_shingles), "jaccard-more", small=True)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    named = known.select("id", "d", "n", "c").join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = known.select("id", "n", "c", "d", *keep).join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = classes.select("c", "d").join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("d").alias("least"))
     out = named.join(least.hint("merge"), "root", "left")
     found = F.when(F.col("n") == 0, F.col("d")).otherwise(F.col("least"))
-    return fewer_files(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(found < LAST, found).alias("component_id")))
+    component = F.when(found < last_id(docs, id_col), found).cast(docs.schema[id_col].dataType)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("class_id"), *keep)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
-    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 _T = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

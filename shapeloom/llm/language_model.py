@@ -1,36 +1,32 @@
 """LM scoring with a log-frequency Bloom filter.
 
 All training n-grams (words and pairs of words, with a start and an end) are counted over
-the whole corpus; partial counts are made in each task before the shuffle, whose rows are
-therefore not put into a second table on that side. An n-gram of
-count c is entered into the filter at the levels 1 .. 1 + floor(log2 c). A count is read
-back by probing level after level until one is missing, which gives the count's power of
-two; its estimate is the middle of that range. The filter is blocked: an n-gram's probes
-lie in the one page that its hash names, so each page is built whole by one task.
-
-The number of pages grows with the entries, ``BITS_PER_ENTRY`` bits an entry or more, so no
-level is left out at any corpus size. A filter of at most ``MAX_BITS`` bits (32 MB) is
-broadcast. A larger one stays a table of pages: each chunk of documents sends its distinct
-n-grams to their pages (in ``GROUPS`` groups at most), and the levels found there are joined
-with the chunk again. Both forms read the same bits and give the same scores.
-Pairs seen once are entered at level 1 like words.
+the whole corpus. N-grams are dealt to buckets by the first bits of their hash; a task sends
+each bucket its distinct n-grams in order, as packed differences, with their counts. One bucket
+makes one page of the filter: an n-gram of count c is entered at the levels 1 .. 1 + floor(log2 c),
+and the page has ``BITS_PER_ENTRY`` bits for each entry, so the filter grows with the corpus
+and no n-gram or level is left out. A count is read back by probing level after level until one
+is missing, which gives the count's power of two; its estimate is the middle of that range.
+
+A filter that grows with the corpus has no bound that would let it be broadcast, so its pages
+are sent to workers one by one, and each chunk of documents sends its distinct n-grams to their
+pages. The levels found there, and the exact counts of the words for the base score, come back
+to the chunk. This is the one way at every size.
 
 Probability of a word after another, with Dirichlet smoothing:
 (c(h w) + MU p(w)) / (c(h) + MU), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 
-The base score is exact: counts of the ``HOT`` most frequent words are broadcast, the other
-words of each document are joined with the count table.
+Words are known by 64-bit hashes of their bytes (``words``), pairs by 48 bits and those of their
+bucket, which is far rarer to fail than the filter's own probes.
 
 Defined cases: a null or empty text has the end only; a null id is never held out; repeated
 rows each count and each have their row; with no training rows all counts, N and V are 0;
-other columns are ignored.
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 from contextlib import contextmanager
 
 import numpy as np
@@ -39,19 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.llm.words import BLANK, Words, chunked, mix
-from shapeloom.shared import fewer_files, stored
+from shapeloom.shared import stored, tidy
 
-#: Bits of the largest filter that is broadcast.
-MAX_BITS = 1 << 28
-PAGE_BITS = 1 << 20
 BITS_PER_ENTRY = 10
 PROBES = 3
-#: Groups of pages that a chunk's n-grams are sent to where the filter is a table (each 4 MB
-#: when there are 4 GB), and rows of an Arrow batch there, as a chunk is one row.
-GROUPS = 1024
-BATCH = 32
+#: Buckets for each shuffle partition, at least.
+SPREAD = 4
+#: Bytes of text of a chunk, and packed rows that Python is handed at once.
+CHUNK = 4 << 20
+BATCH = 256
 MU = 100.0
-HOT = 1_000_000
 HELD_OUT_OF = 10
 #: Entries of a task's partial counts before they are handed on.
 PARTIAL = 1 << 20
@@ -68,7 +61,7 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = first[1:] - 1
     inside = np.ones(len(out), bool)
     inside[ends] = False
-    out[inside], out[ends] = h, END
+    out[inside], out[ends] = h, mix(np.array([END]))[0]
     return out, first
 
 
@@ -80,36 +73,46 @@ def pairs(t: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + (t ^ np.uint64(0x2545F4914F6CDD1D)))
 
 
-def positions(x: np.ndarray, level: int) -> list[np.ndarray]:
-    """Bit places within its page of each n-gram, known by its upper 48 bits, at a level."""
-    y = mix((x >> np.uint64(16)) + np.uint64((0xD1B54A32D192ED03 * level) & (2**64 - 1)))
-    return [((y >> np.uint64(20 * i)) & np.uint64(PAGE_BITS - 1)).astype(np.int64) for i in range(PROBES)]
+def bucket_of(x: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of the hash."""
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def page_of(x: np.ndarray, pages: int) -> np.ndarray:
-    """The first bits of the hash, for a power of two of pages."""
-    return ((x >> np.uint64(1)) >> np.uint64(64 - pages.bit_length())).astype(np.int64)
+def cuts(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending hashes, the buckets and where each begins (with one entry more)."""
+    bucket = bucket_of(x, bits)
+    start = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[start], np.append(start, len(x))
 
 
-class LogFrequencyFilter:
-    """``bits``: all pages, one after another, or a group of neighbours out of ``total``."""
+class Page:
+    """One bucket's part of the filter, ``size`` bits."""
 
-    def __init__(self, bits: np.ndarray, total: int | None = None):
-        self.bits = bits
-        self.pages = len(bits) * 8 // PAGE_BITS
-        self.total = total or self.pages
+    def __init__(self, bits: np.ndarray, size: int):
+        self.bits, self.size = bits, size
 
-    def page(self, x: np.ndarray) -> np.ndarray:
-        return page_of(x, self.total) & (self.pages - 1)
+    def places(self, x: np.ndarray, level: int) -> list[np.ndarray]:
+        y = mix(x ^ np.uint64((0xD1B54A32D192ED03 * level) & (2**64 - 1)))
+        step = mix(y) | np.uint64(1)
+        return [((y + np.uint64(i) * step) % np.uint64(self.size)).astype(np.int64) for i in range(PROBES)]
+
+    @classmethod
+    def of(cls, x: np.ndarray, count: np.ndarray) -> Page:
+        """The page with these n-grams, which all have been seen."""
+        level = levels_of(count)
+        size = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 8) * 8)
+        page = cls(np.zeros(-(-size // 8), np.uint8), size)
+        for k in range(1, int(level.max(initial=0)) + 1):
+            for at in page.places(x[level >= k], k):
+                np.bitwise_or.at(page.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return page
 
     def levels(self, x: np.ndarray) -> np.ndarray:
         """The number of levels at which each n-gram is found."""
-        out, base = np.zeros(len(x), np.int64), self.page(x) * PAGE_BITS
-        live = np.arange(len(x))
+        out, live = np.zeros(len(x), np.uint8), np.arange(len(x))
         for level in range(1, 64):
             hit = np.ones(len(live), bool)
-            for p in positions(x[live], level):
-                at = base[live] + p
+            for at in self.places(x[live], level):
                 hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             live = live[hit]
             if not len(live):
@@ -117,81 +120,128 @@ class LogFrequencyFilter:
             out[live] = level
         return out
 
-    def counts(self, x: np.ndarray) -> np.ndarray:
-        return counts_of(self.levels(x))
+
+def levels_of(count: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 c) of counts from 1 on."""
+    return np.frexp(count.astype(np.float64))[1].astype(np.int64)
 
 
 def counts_of(level: np.ndarray) -> np.ndarray:
     """Estimated counts: the middle of 2^(l-1) .. 2^l - 1."""
-    return np.where(level > 0, (1.5 * 2.0 ** np.maximum(level - 1, 0) - 0.5), 0.0)
+    return np.where(level > 0, (1.5 * 2.0 ** np.maximum(level.astype(np.int64) - 1, 0) - 0.5), 0.0)
+
+
+def packed(x: np.ndarray, width: int) -> bytes:
+    """Ascending numbers as the last ``width`` bytes of their differences, all first bytes
+    first: most of the upper bytes are 0 and leave little for the shuffle."""
+    d = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    return d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def spread(data: bytes, width: int) -> np.ndarray:
+    d = np.zeros((len(data) // width, 8), np.uint8)
+    d[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return np.cumsum(d.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def short_pairs(x: np.ndarray, bits: int) -> np.ndarray:
+    """The 48 bits of pairs after those of their bucket."""
+    return (x << np.uint64(bits)) >> np.uint64(16)
+
+
+def small_counts(c: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest one needs; the number of them tells how many."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(c.max(initial=0)) <= np.iinfo(k).max)
+    return c.astype(kind).tobytes()
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(n, x, c): the counts of all words and pairs in the column ``text``."""
+def large_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def bucket_rows(words: np.ndarray, wc: np.ndarray | None, two: np.ndarray, pc: np.ndarray | None, bits: int) -> pa.RecordBatch:
+    """(bucket, words, wc, pairs, pc) of ascending n-grams and their counts, if any."""
+    wb, ws = cuts(words, bits)
+    pb, ps = cuts(two, bits)
+    w_at, p_at = dict(zip(wb.tolist(), range(len(wb)), strict=True)), dict(zip(pb.tolist(), range(len(pb)), strict=True))
+    rows = []
+    for b in sorted(w_at.keys() | p_at.keys()):
+        i, j = w_at.get(b), p_at.get(b)
+        w = slice(ws[i], ws[i + 1]) if i is not None else slice(0, 0)
+        p = slice(ps[j], ps[j + 1]) if j is not None else slice(0, 0)
+        rows.append((b, packed(words[w], 8), b"" if wc is None else small_counts(wc[w]), packed(short_pairs(two[p], bits), 6), b"" if pc is None else small_counts(pc[p])))
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "words", "wc", "pairs", "pc"])
+
+
+def partial_counts(texts: DataFrame, bits: int) -> DataFrame:
+    """The counts of all n-grams of the column ``text``, in part, by bucket."""
 
     def count(batches):
-        held: dict[int, list] = {1: [], 2: []}
+        held: tuple[list, list] = ([], [])
         size = 0
 
         def flush():
-            for n in (1, 2):
-                if held[n]:
-                    x, c = (np.concatenate(z) for z in zip(*held[n], strict=True))
-                    u, at = np.unique(x, return_inverse=True)
-                    total = np.bincount(at, weights=c, minlength=len(u)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), n, np.int32)), pa.array(u.view(np.int64)), pa.array(total)], ["n", "x", "c"])
+            out = []
+            for rows in held:
+                x, c = (np.concatenate(z) for z in zip(*rows, strict=True))
+                u, at = np.unique(x, return_inverse=True)
+                out += [u, np.bincount(at, weights=c, minlength=len(u)).astype(np.int64)]
+            return bucket_rows(*out, bits)
 
         for batch in chunked(batches):
             t, first = tokens(batch.column(0))
-            for n, x in ((1, t), (2, pairs(t, first))):
+            for rows, x in zip(held, (t, pairs(t, first)), strict=True):
                 u, c = np.unique(x, return_counts=True)
-                held[n].append((u, c))
+                rows.append((u, c))
                 size += len(u)
             if size >= PARTIAL:
-                yield from flush()
-                held, size = {1: [], 2: []}, 0
-        yield from flush()
+                yield flush()
+                held, size = ([], []), 0
+        if size:
+            yield flush()
+
+    return texts.mapInArrow(count, "bucket int, words binary, wc binary, pairs binary, pc binary")
 
-    partial = docs.select("text").mapInArrow(count, "n int, x long, c long")
-    return partial.repartition("n", "x").groupBy("n", "x").agg(F.sum("c").alias("c"))
 
+def summed(packs: list[tuple[bytes, bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending n-grams and their counts over all (n-grams, counts) packs."""
+    xs = [spread(x, width) for x, _ in packs]
+    cs = [large_counts(c, len(x)) for x, (_, c) in zip(xs, packs, strict=True)]
+    u, at = np.unique(np.concatenate(xs), return_inverse=True)
+    return u, np.bincount(at, weights=np.concatenate(cs), minlength=len(u)).astype(np.int64)
 
-def build_filter(grams: DataFrame) -> tuple[int, DataFrame]:
-    """The number of pages for (n, x, c) rows, and those with entries as (page, bits) rows."""
-    grams = grams.withColumn("level", F.floor(F.log2("c")).cast("int") + 1)
-    entries = grams.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    pages = 1
-    while pages * PAGE_BITS < entries * BITS_PER_ENTRY:
-        pages *= 2
-    chosen = grams.select(F.shiftrightunsigned(F.shiftrightunsigned("x", 1), 64 - pages.bit_length()).cast("int").alias("page"), "x", "level")
+
+def by_bucket(batches):
+    """(bucket, its rows) of batches that are sorted by their first column."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != now and held:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row[1:])
+    if held:
+        yield now, held
+
+
+def build_model(train: DataFrame, bits: int) -> DataFrame:
+    """(bucket, words, wc, size, page, tokens) for the column ``text`` of ``train``: the exact counts of
+    the bucket's words, and its page of the filter with words and pairs."""
 
     def build(batches):
-        maps: dict[int, np.ndarray] = {}
-        for batch in batches:
-            page, x, level = (np.asarray(c) for c in batch.columns)
-            order = np.argsort(page, kind="stable")
-            page, x, level = page[order], x[order].view(np.uint64), level[order]
-            starts = np.flatnonzero(np.diff(page, prepend=-1))
-            for i, to in zip(starts.tolist(), [*starts[1:].tolist(), len(page)], strict=True):
-                bits = maps.setdefault(int(page[i]), np.zeros(PAGE_BITS // 8, np.uint8))
-                own, up_to = x[i:to], level[i:to]
-                for k in range(1, int(up_to.max()) + 1):
-                    for at in positions(own[up_to >= k], k):
-                        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for p, bits in maps.items():
-            yield pa.RecordBatch.from_pydict({"page": [p], "bits": [bits.tobytes()]}, pa.schema([("page", pa.int32()), ("bits", pa.binary())]))
-
-    return pages, chosen.repartition("page").mapInArrow(build, "page int, bits binary")
-
-
-def released(spark: SparkSession) -> None:
-    """What was shuffled for tables that are stored by now is of no more use; Spark deletes
-    such files when the driver's collector finds that nothing refers to them. What ran last is
-    held a little longer, so one collection isn't enough."""
-    for wait in (1, 0):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(wait)
+        for bucket, rows in by_bucket(batches):
+            words, wc = summed([r[0:2] for r in rows], 8)
+            two, pc = summed([r[2:4] for r in rows], 6)
+            page = Page.of(np.concatenate([words, ~two]), np.concatenate([wc, pc]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), pa.array([packed(words, 8)], pa.binary()), pa.array([small_counts(wc)], pa.binary()), pa.array([page.size], pa.int64()), pa.array([page.bits.tobytes()], pa.binary()), pa.array([int(wc.sum())], pa.int64()), pa.array([len(words)], pa.int64())],
+                ["bucket", "words", "wc", "size", "page", "tokens", "distinct"],
+            )
+
+    dealt = partial_counts(train.select("text"), bits).repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(build, "bucket int, words binary, wc binary, size long, page binary, tokens long, distinct long")
 
 
 @contextmanager
@@ -206,24 +256,14 @@ def small_batches(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def collected(pages: int, table: DataFrame) -> bytes:
-    """All bits of a filter of ``MAX_BITS`` at most."""
-    step = PAGE_BITS // 8
-    bits = np.zeros(pages * step, np.uint8)
-    for r in table.collect():
-        bits[r.page * step : (r.page + 1) * step] = np.frombuffer(r.bits, np.uint8)
-    return bits.tobytes()
-
-
 class Grams:
     """The n-grams of a chunk of texts: of each token, the place of its word in ``words`` and
-    of its pair in ``pairs``. ``all``: the end, the words and the pairs."""
+    of its pair in ``pairs``, which both ascend."""
 
     def __init__(self, text: pa.Array):
         t, self.first = tokens(text)
         self.words, self.at = np.unique(t, return_inverse=True)
         self.pairs, self.pair_at = np.unique(pairs(t, self.first), return_inverse=True)
-        self.all = np.concatenate([np.array([END], np.uint64), self.words, self.pairs])
 
 
 def to_bytes(batch: pa.RecordBatch) -> bytes:
@@ -237,179 +277,101 @@ def from_bytes(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Ascending n-grams as the bytes of the differences of their upper 48 bits, all first
-    bytes first: most of the upper bytes are 0 and leave little for the shuffle."""
-    d = np.diff(x >> np.uint64(16), prepend=np.uint64(0)).astype("<u8")
-    return d.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """(id, text) -> (chunk, docs): Arrow batches under numbers of their own."""
 
+    def pack(batches):
+        for batch in chunked(batches, limit=CHUNK):
+            chunk = int.from_bytes(os.urandom(8), "little", signed=True)  # kept, as the chunks are stored
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([to_bytes(batch)], pa.binary())], ["chunk", "docs"])
 
-def spread(data: bytes) -> np.ndarray:
-    """What was packed, without the lower bits."""
-    d = np.zeros((len(data) // 6, 8), np.uint8)
-    d[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
-    return np.cumsum(d.reshape(-1).view("<u8"), dtype=np.uint64) << np.uint64(16)
-
+    return rows.mapInArrow(pack, "chunk long, docs binary")
 
 
-def found_levels(chunks: DataFrame, pages: int, together: int, table: DataFrame) -> DataFrame:
-    """(chunk, group, levels): the levels of each chunk's n-grams, found by joining them with
-    the pages, one row for each group of pages."""
-    step = PAGE_BITS // 8
+def answers(chunks: DataFrame, model: DataFrame, bits: int) -> DataFrame:
+    """(chunk, bucket, counts, word_levels, pair_levels): of each chunk's n-grams in a bucket the
+    exact counts of words and the levels of words and pairs."""
 
     def ask(batches):
         for batch in batches:
             for chunk, docs in zip(*batch.columns, strict=True):
-                x = np.sort(Grams(from_bytes(docs.as_py()).column(1)).all)
-                group = page_of(x, pages) // together
-                starts = np.flatnonzero(np.diff(group, prepend=-1))
-                data = [packed(own) for own in np.split(x, starts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int32()), pa.array([chunk.as_py()] * len(starts), pa.int64()), pa.array(data, pa.binary())], ["group", "chunk", "data"])
+                grams = Grams(from_bytes(docs.as_py()).column(1))
+                rows = bucket_rows(grams.words, None, grams.pairs, None, bits)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([chunk.as_py()] * rows.num_rows, pa.int64()), rows.column(1), rows.column(3)], ["bucket", "chunk", "words", "pairs"])
 
-    asked = chunks.select("chunk", "docs").mapInArrow(ask, "group int, chunk long, data binary")
-    held = table.select(F.floor(F.col("page") / together).cast("int").alias("group"), "page", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("data"))
-    met = held.unionByName(asked.withColumn("page", F.lit(None).cast("int"))).repartition("group")
-    met = met.sortWithinPartitions("group", F.col("page").asc_nulls_last())  # a group's pages, then what asks for them
+    asked = chunks.select("chunk", "docs").mapInArrow(ask, "bucket int, chunk long, words binary, pairs binary")
+    none = F.lit(None)
+    asked = asked.select("bucket", "chunk", "words", "pairs", none.cast("binary").alias("wc"), none.cast("long").alias("size"))
+    held = model.select("bucket", none.cast("long").alias("chunk"), "words", F.col("page").alias("pairs"), "wc", "size")
+    met = held.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())  # a page, then what asks for it
 
     def probe(batches):
-        now, lff = None, None
+        now, page = None, None
         for batch in batches:
-            group, page = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
-            for i, to in zip(starts, [*starts[1:], len(group)], strict=True):
-                if group[i] != now:
-                    now, lff = group[i], LogFrequencyFilter(np.zeros(together * step, np.uint8), pages)
-                while i < to and batch.column(1)[i].is_valid:
-                    at = int(page[i]) % together * step
-                    lff.bits[at : at + step] = np.frombuffer(batch.column(3)[i].as_py(), np.uint8)
-                    i += 1
-                if i == to:
+            out = []
+            for bucket, chunk, words, two, wc, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    now, page, known, counts = bucket, None, np.empty(0, np.uint64), np.empty(0, np.int64)
+                if chunk is None:
+                    page, known = Page(np.frombuffer(two, np.uint8), size), spread(words, 8)
+                    counts = large_counts(wc, len(known))
                     continue
-                own = [spread(d) for d in batch.column(3).slice(i, to - i).to_pylist()]
-                levels = np.split(lff.levels(np.concatenate(own)).astype(np.uint8), np.cumsum([len(x) for x in own])[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, to - i), batch.column(0).slice(i, to - i), pa.array([x.tobytes() for x in levels], pa.binary())], ["chunk", "group", "levels"])
-
-    return met.select("group", "page", "chunk", "data").mapInArrow(probe, "chunk long, group int, levels binary")
-
-
-def hot_words(words: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of all words above the least count that ``limit`` allows."""
-    hist = sorted(((r.level, r["count"]) for r in words.groupBy(F.floor(F.log2("c") * 8).alias("level")).count().collect()), reverse=True)
-    total, least = 0, None
-    for level, count in hist:
-        if total + count > limit:
-            break
-        total, least = total + count, level
-    if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    t = words.where(F.floor(F.log2("c") * 8) >= least).select("x", "c").toArrow()
-    x, c = np.asarray(t["x"]).view(np.uint64), np.asarray(t["c"])
-    order = np.argsort(x)
-    return x[order], c[order]
-
-
-def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+                w, p = spread(words, 8), spread(two, 6)
+                at = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
+                c = np.where(known[at] == w, counts[at], 0) if len(known) else np.zeros(len(w), np.int64)
+                levels = page.levels(np.concatenate([w, ~p])) if page else np.zeros(len(w) + len(p), np.uint8)
+                out.append((chunk, bucket, c.astype("<i8").tobytes(), levels[: len(w)].tobytes(), levels[len(w) :].tobytes()))
+            if out:
+                kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["chunk", "bucket", "counts", "word_levels", "pair_levels"])
+
+    return met.mapInArrow(probe, "chunk long, bucket int, counts binary, word_levels binary, pair_levels binary")
+
+
+@tidy
+def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``,
     learning from the rows of ``train``."""
     spark = docs.sparkSession
-    grams = stored(count_grams(train.select(F.col(text_col).alias("text"))), "lm-grams", small=True)
-    released(spark)
-    words = grams.where("n = 1")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = max(1, (SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    with small_batches(spark):
+        model = stored(build_model(train.select(F.col(text_col).alias("text")), bits), "lm-model")
+    total, distinct = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     norm = total + 0.1 * (distinct + 1)
-    pages, pages_table = build_filter(grams)
-    in_memory, together = pages * PAGE_BITS <= MAX_BITS, max(1, pages // GROUPS)
-    # Bytes, as each worker would get an array's class in another way.
-    table = spark.sparkContext.broadcast((collected(pages, pages_table) if in_memory else b"", *(x.tobytes() for x in hot_words(words, hot))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def scored_chunk(ids: pa.Array, grams: Grams, levels: np.ndarray, hot_x: np.ndarray, hot_c: np.ndarray) -> pa.RecordBatch:
-        u, at, first = grams.words, grams.at, grams.first
-        lengths = np.diff(first)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        counts = counts_of(levels)
-        of_end, of_word, of_pair = counts[0], counts[1 : 1 + len(u)], counts[1 + len(u) :]
-        p1 = (of_word + 0.1) / norm
-        before = np.empty(len(at), np.float64)
-        before[1:] = of_word[at][:-1]
-        before[first[:-1]] = of_end  # texts begin as often as they end
-        c2 = np.minimum(of_pair[grams.pair_at], before)
-        model = np.log10(np.minimum(1.0, (c2 + MU * p1[at]) / (before + MU)))
-        place = np.minimum(np.searchsorted(hot_x, u), max(0, len(hot_x) - 1))
-        is_hot = hot_x[place] == u if len(hot_x) else np.zeros(len(u), bool)
-        c = np.where(is_hot, hot_c[place] if len(hot_x) else 0, 0)
-        base = np.where(is_hot, np.log10((c + 0.1) / norm), 0.0)
-        cold = ~is_hot[at]
-        cu, ct = np.unique(np.stack([doc[cold].astype(np.uint64), u[at[cold]]]), axis=1, return_counts=True) if cold.any() else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
-        offsets = np.searchsorted(cu[0], np.arange(len(lengths) + 1, dtype=np.uint64)).astype(np.int32)
-        add = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))
-        return pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array(lengths, pa.int64()),
-                pa.array(add(is_hot[at]).astype(np.int64)),
-                pa.array(add(base[at])),
-                pa.array(add(model)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(cu[1].view(np.int64) if len(ct) else np.empty(0, np.int64))),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(ct.astype(np.int32))),
-            ],
-            ["id", "n_tokens", "hot_known", "hot_base", "score", "cold", "cold_n"],
-        )
-
     def score(batches):
-        bits, hot_x, hot_c = table.value
-        lff, hot_x, hot_c = LogFrequencyFilter(np.frombuffer(bits, np.uint8)), np.frombuffer(hot_x, np.uint64), np.frombuffer(hot_c, np.int64)
-        for batch in chunked(batches):
-            grams = Grams(batch.column(1))
-            yield scored_chunk(batch.column(0), grams, lff.levels(grams.all), hot_x, hot_c)
-
-    def pack(batches):
-        for batch in chunked(batches):
-            chunk = int.from_bytes(os.urandom(8), "little", signed=True)  # kept, as the chunks are stored
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([to_bytes(batch)], pa.binary())], ["chunk", "docs"])
-
-    def score_found(batches):
-        _, hot_x, hot_c = table.value
-        hot_x, hot_c = np.frombuffer(hot_x, np.uint64), np.frombuffer(hot_c, np.int64)
+        end = mix(np.array([END]))[0]
         for batch in batches:
             for docs, found in zip(*batch.columns, strict=True):
-                docs = from_bytes(docs.as_py())
+                docs, found = from_bytes(docs.as_py()), found.as_py()
                 grams = Grams(docs.column(1))
-                levels = np.empty(len(grams.all), np.int64)
-                levels[np.argsort(grams.all)] = np.frombuffer(b"".join(f["levels"] for f in found.as_py()), np.uint8)
-                yield scored_chunk(docs.column(0), grams, levels, hot_x, hot_c)
-
-    shape = f"id {kind}, n_tokens long, hot_known long, hot_base double, score double, cold array<long>, cold_n array<int>"
-    if in_memory:
-        scored = stored(rows.mapInArrow(score, shape), "lm-scores")
-    else:
-        pages_table = stored(pages_table, "lm-pages", small=True)
-        released(spark)
-        chunks = stored(rows.mapInArrow(pack, "chunk long, docs binary"), "lm-chunks")
-        with small_batches(spark):
-            found = stored(found_levels(chunks, pages, together, pages_table), "lm-levels", small=True)
-        released(spark)
-        found = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("group", "levels"))).alias("found"))
-        joined = chunks.join(found.hint("merge"), "chunk")
-        with small_batches(spark):
-            scored = stored(joined.select("docs", "found").mapInArrow(score_found, shape), "lm-scores")
-        released(spark)
-    key = F.struct("id", "score", "n_tokens", F.xxhash64("cold", "cold_n").alias("h"))  # equal rows have equal cold words
-    scored = scored.withColumn("key", F.xxhash64(key)).withColumn("key2", F.hash(key))
-    cold = scored.where(F.size("cold") > 0).select("key", "key2", F.explode(F.arrays_zip(F.col("cold").alias("x"), F.col("cold_n").alias("m"))).alias("w")).select("key", "key2", "w.x", "w.m")
-    found = cold.join(words.select("x", "c").hint("merge"), "x", "left").dropDuplicates(["x", "key", "key2"])
-    value = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(norm)) * F.col("m")
-    sums = found.groupBy("key", "key2").agg(F.sum(value).alias("cold_base"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("cold_known"))
-    out = scored.join(sums.hint("merge"), ["key", "key2"], "left").select(
-        F.col("id").alias(id_col),
-        "n_tokens",
-        (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + F.coalesce("cold_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
-    return fewer_files(out)
+                at, first = grams.at, grams.first
+                lengths = np.diff(first)
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                exact, word_level, pair_level = (np.frombuffer(b"".join(f[k] for f in found), t) for k, t in (("counts", "<i8"), ("word_levels", np.uint8), ("pair_levels", np.uint8)))
+                of_word, of_pair = counts_of(word_level), counts_of(pair_level)
+                p1 = (of_word + 0.1) / norm
+                before = np.empty(len(at), np.float64)
+                before[1:] = of_word[at][:-1]
+                before[first[:-1]] = of_word[np.searchsorted(grams.words, end)]  # texts begin as often as they end
+                both = np.minimum(of_pair[grams.pair_at], before)
+                log_p = np.log10(np.minimum(1.0, (both + MU * p1[at]) / (before + MU)))
+                base = np.log10((exact + 0.1) / norm)
+                add = lambda x, doc=doc, n=len(lengths): np.bincount(doc, weights=x, minlength=n)
+                yield pa.RecordBatch.from_arrays(
+                    [docs.column(0), pa.array(lengths, pa.int64()), pa.array(add(exact[at] > 0).astype(np.int64)), pa.array(np.full(len(lengths), total), pa.int64()), pa.array(add(base[at])), pa.array(add(log_p))],
+                    ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    chunks = stored(in_chunks(rows), "lm-chunks")
+    with small_batches(spark):
+        found = stored(answers(chunks, model, bits), "lm-answers")
+        found = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", "word_levels", "pair_levels"))).alias("found"))
+        joined = chunks.join(found.hint("merge"), "chunk").select("docs", "found")
+        scored = stored(joined.mapInArrow(score, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    return scored.withColumnRenamed("id", id_col)
 
 
 def held_out(id_col, of: int, remainder: int):

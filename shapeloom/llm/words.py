@@ -1,4 +1,10 @@
-"""Words of whole Arrow text columns as numpy arrays: spans, 64-bit hashes, window hashes.
+"""Words of whole Arrow text columns as numpy arrays: spans, names, hashes, window hashes.
+
+A word's name of 128 bits says which word it is; its 64-bit hash is made of it by a mixing
+function, and the hash of a run of words by mixing those of its halves. No sum of powers is
+involved, so texts of a regular build (as the Thue-Morse word, on which polynomials modulo
+2^64 agree) collide no more than others. Hashes find candidates; operators whose results would
+be wrong on a collision verify by names or by the words themselves.
 
 All work is vectorised over a chunk of documents of bounded size; a document larger than
 the bound is a chunk by itself, so no text is ever cut.
@@ -6,6 +12,7 @@ the bound is a chunk by itself, so no text is ever cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,26 +30,10 @@ for _a, _b in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-#: Odd multipliers of the polynomial hashes; each (salt) gives an independent hash.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(salt: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """b^i and b^-i modulo 2^64 for i < n."""
-    have = _powers.get(salt)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        base = BASES[salt]
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            out.append(np.cumprod(x, dtype=np.uint64))
-        have = out[0], out[1]
-        if size <= 4 * CHUNK_BYTES:
-            _powers[salt] = have
-    return have[0][:n], have[1][:n]
+#: Words of at most so many bytes are named by their bytes, longer ones by a digest of them.
+PLAIN = 15
+#: Odd multipliers, one for each salt.
+ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,34 +102,64 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each word, as two halves: of a word of ``PLAIN`` bytes or fewer its
+        bytes and their number, of a longer one a digest. Different words have different ones."""
+        if self._names is None:
+            n = len(self.data)
+            padded = np.zeros(n + 16, np.uint8)
+            padded[:n] = self.data
+            at_every_byte = np.ndarray((n + 9,), "<u8", padded, strides=(1,))
+            size = self.ends - self.starts
+            low, high = at_every_byte[self.starts], at_every_byte[self.starts + 8]
+            for half, left in ((low, size), (high, size - 8)):
+                few = left < 8
+                half[few] &= (np.uint64(1) << (np.maximum(left[few], 0).astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            high &= np.uint64((1 << 56) - 1)
+            high |= np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+            long = np.flatnonzero(size > PLAIN)
+            if len(long):
+                view, known = memoryview(padded), {}
+                for i, a, b in zip(long.tolist(), self.starts[long].tolist(), self.ends[long].tolist(), strict=True):
+                    word = bytes(view[a:b])
+                    name = known.get(word)
+                    if name is None:
+                        name = known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=16).digest(), "little")
+                    low[i] = name & (1 << 64) - 1
+                    high[i] = name >> 64 | 0xFF << 56
+            self._names = low, high
+        return self._names
+
+    _names: tuple[np.ndarray, np.ndarray] | None = None
+
     def hashes(self, salt: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
-        up, down = powers(salt, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        x = self.data.astype(np.uint64)
-        x += np.uint64(1)
-        x *= up[:n]
-        np.cumsum(x, out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(h ^ ((self.ends - self.starts).astype(np.uint64) << np.uint64(40)))
+        """A 64-bit hash of each word's name."""
+        low, high = self.names()
+        return mix(low ^ mix(high + np.uint64(ODD[salt])))
+
+
+def join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """The hash of two neighbours by theirs."""
+    return mix(a * np.uint64(ODD[salt]) + mix(b ^ np.uint64(ODD[salt - 1])))
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, length: int, salt: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``length`` words inside one document, and the index of the
-    first word of each."""
+    first word of each. Runs of 2, 4, 8 ... words are made of two halves; one of another length
+    of two such runs that overlap."""
     n = len(hashes)
     if n < length:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    up, down = powers(salt, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=total[1:])
-    h = (total[length:] - total[:-length]) * down[: n - length + 1]
+    h, span = hashes, 1
+    while span * 2 <= length:
+        h, span = join(h[:-span], h[span:], salt), span * 2
+    if span < length:
+        h = join(h[: n - length + 1], h[length - span :], salt)
     ok = np.ones(n - length + 1, bool)
     for cut in np.unique(first[(first > 0) & (first < n)]):
         ok[max(0, cut - length + 1) : cut] = False
     at = np.flatnonzero(ok)
-    return mix(h[at]), at
+    return h[at], at
 
 
 def owner(index: np.ndarray, first: np.ndarray) -> np.ndarray:
