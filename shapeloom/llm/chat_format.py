@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shapeloom.llm.secret_scan import running_sums
+
 #: Tokens of one unit of an attachment.
 EXPANSION = {"image": 576, "audio": 50, "document": 1024}
 PARTS = "array<struct<type:string,text:string,uri:string,units:int>>"
@@ -77,18 +79,16 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     kind, uri, at, tokens>>, attachment_tokens); ``at`` counts in the formatted string."""
     seen = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("v"))
     row = seen.select("conv", F.struct("turn", "role", F.col("v.content").alias("content"), F.col("v.attachments").alias("attachments")).alias("t"))
-    chat = row.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    chat = row.groupBy("conv").agg(F.collect_list("t").alias("ts"))
+    # In the order of turn, role and text; the text is what was escaped, not its escaped form.
+    keyed = F.transform("ts", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), unescape(t["content"]).alias("text"), t.alias("t")))
+    chat = chat.select("conv", F.transform(F.array_sort(keyed), lambda k: k["t"]).alias("ts"))
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MID))
     sized = F.transform("ts", lambda t: F.struct(t["turn"].alias("turn"), (t["role"] == "assistant").alias("loss"), F.length(head(t)).cast("long").alias("head"), F.length(t["content"]).cast("long").alias("body"), t["attachments"].alias("attachments"), F.concat(head(t), t["content"], F.lit(CLOSE)).alias("shown")))
     chat = chat.select("conv", sized.alias("ts"))
-    # The place where each turn's content begins: a running sum over the turns.
-    ends = F.aggregate(
-        "ts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, t: F.struct((acc["at"] + t["head"] + t["body"] + len(CLOSE)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + t["head"])).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    chat = chat.withColumn("starts", ends)
+    # The place where each turn's content begins: what is before it, less what follows it.
+    ends = running_sums(F.transform("ts", lambda t: t["head"] + t["body"] + len(CLOSE)))
+    chat = chat.withColumn("starts", F.zip_with("ts", ends, lambda t, e: e - t["body"] - len(CLOSE)))
     placed = F.zip_with("ts", "starts", lambda t, s: F.struct(t.alias("t"), s.alias("s")))
     chat = chat.withColumn("placed", placed)
     loss = F.transform(F.filter("placed", lambda x: x["t"]["loss"]), lambda x: F.struct(x["s"].alias("start"), (x["s"] + x["t"]["body"]).alias("end")))

@@ -1,21 +1,22 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-A text becomes counts of hashed terms: the shapes of its words (letters, capitals and digits
-as classes, other bytes as they are, runs taken together), neighbouring shapes, and marks
-for a word that repeats the one or two before it. Counts are damped, weighted by rarity and
-reduced by a truncated SVD. The labelled vectors are broadcast, each document's cosine with
-every one of them is computed in blocks, and the ``NEIGHBOURS`` nearest vote with weights
-that grow with the similarity.
+A text becomes counts of hashed terms: its words and their first and last three bytes, and in a
+part of their own the shapes of its words (letters, capitals and digits as classes, other bytes
+as they are, runs taken together), neighbouring shapes, and marks for a word that repeats the
+one or two before it. Counts are damped, weighted by rarity and reduced by a truncated SVD,
+which puts terms that occur in the same texts together. The labelled vectors are broadcast,
+each document's cosine with every one of them is computed in blocks, and the ``NEIGHBOURS``
+nearest vote with weights that grow with the similarity.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of
-their id: the bound on what is collected and broadcast (``SAMPLE`` rows of ``RANK`` floats,
-1 MB). All documents are scored on their whole texts. Labels, language, source and ids are
-no inputs of a score.
+their id: the bound on what is collected (``SAMPLE`` vectors of term counts, 16 MB) and
+broadcast (``SAMPLE`` rows of ``RANK`` floats, 1 MB). All documents are scored on their whole
+texts. Labels, language, source and ids are no inputs of a score.
 
 Defined cases: null and empty texts, and texts without any known term, get the share of
-label 1 in the sample; a document labelled several times counts with each label; without
-labelled rows every score is 0.5; null ids and repeated rows are scored like others; other
-columns are ignored.
+label 1 in the sample; a document labelled several times counts with each label; of documents
+with one id one is learnt from; without labelled rows every score is 0.5; null ids and repeated
+rows are scored like others; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from shapeloom.llm.language_model import held_out
 from shapeloom.llm.words import BLANK, Words, chunked, mix, owner, text_bytes
 
-TERMS = 1024
+#: Terms of shapes, and of words and subwords; how much the latter weigh beside the former.
+SHAPES, WORDS = 1024, 1024
+TERMS = SHAPES + WORDS
+WORD_WEIGHT = 0.5
 RANK = 64
 SAMPLE = 4000
 NEIGHBOURS = 32
@@ -43,7 +47,7 @@ SHAPE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
 
 
 def features(text: pa.Array) -> np.ndarray:
-    """(rows, TERMS) damped term shares, 32-bit floats."""
+    """(rows, TERMS) damped term shares, 32-bit floats: shapes, then words."""
     n = len(text)
     data, offsets = text_bytes(text)
     shapes = SHAPE[data]
@@ -54,24 +58,40 @@ def features(text: pa.Array) -> np.ndarray:
     short = Words((shapes[keep], kept[offsets]), BLANK)
     words = Words((data, offsets), BLANK, lower=True)
     doc = owner(np.arange(len(short)), short.first)
-    terms, docs = [], []
+    n_words = np.maximum(np.diff(short.first), 1)[:, None].astype(np.float32)
 
-    def add(h: np.ndarray, of: np.ndarray) -> None:
-        terms.append((mix(h) % np.uint64(TERMS)).astype(np.int64))
-        docs.append(of)
+    def damped(terms: list[np.ndarray], docs: list[np.ndarray], size: int) -> np.ndarray:
+        at = (mix(np.concatenate(terms)) % np.uint64(size)).astype(np.int64)
+        counts = np.bincount(np.concatenate(docs) * size + at, minlength=n * size).reshape(n, size).astype(np.float32)
+        return np.log1p(100 * counts / n_words)
 
     s = short.hashes()
-    add(s, doc)
     same = doc[1:] == doc[:-1]
-    add((s[1:] * np.uint64(3) + s[:-1] + np.uint64(7))[same], doc[1:][same])
+    terms, docs = [s, (s[1:] * np.uint64(3) + s[:-1] + np.uint64(7))[same]], [doc, doc[1:][same]]
     h, of = words.hashes(), owner(np.arange(len(words)), words.first)
     for back in (1, 2):
-        again = (h[back:] == h[:-back]) & (of[back:] == of[:-back])
+        again = of[back:][(h[back:] == h[:-back]) & (of[back:] == of[:-back])]
         for k in range(4):  # a mark is some terms, so that it weighs more than one shape
-            add(np.full(int(again.sum()), 1000 * back + k, np.uint64), of[back:][again])
-    counts = np.bincount(np.concatenate(docs) * TERMS + np.concatenate(terms), minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
-    total = np.maximum(np.diff(short.first), 1)[:, None].astype(np.float32)
-    return np.log1p(100 * counts / total)
+            terms.append(np.full(len(again), 1000 * back + k, np.uint64))
+            docs.append(again)
+    shown = damped(terms, docs, SHAPES)
+    long = np.flatnonzero(words.ends - words.starts > 3)
+    terms, docs = [h], [of]
+    for edge, at in ((1, words.starts[long]), (2, words.ends[long] - 3)):
+        part = words.data[at[:, None] + np.arange(3)].astype(np.uint64)
+        terms.append(part @ np.array([1, 1 << 8, 1 << 16], np.uint64) + np.uint64(edge << 32))
+        docs.append(of[long])
+    return np.concatenate([shown, np.float32(WORD_WEIGHT) * damped(terms, docs, WORDS)], axis=1)
+
+
+def leading(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
+    """The right singular vectors of the largest singular values, by subspace iteration from a
+    fixed start."""
+    rank = min(rank, *x.shape)
+    q = np.random.default_rng(0).standard_normal((x.shape[1], min(rank + 16, x.shape[1]))).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    return q @ np.linalg.svd(x @ q, full_matrices=False)[2][:rank].T
 
 
 class NeighbourVote:
@@ -82,8 +102,7 @@ class NeighbourVote:
             return
         self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
         x = unit(x * self.idf)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.basis = vectors[:, np.argsort(-values)[:RANK]].astype(np.float32)
+        self.basis = leading(x, RANK)
         self.labelled = unit(x @ self.basis)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -118,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary()), batch.column(2)], ["id", "v", "y"])
 
-    got = rows.select("id", "text", "y").mapInArrow(vectors, f"id {kind}, v binary, y int").orderBy("id", "y", "v").limit(2 * sample).toArrow()
+    got = rows.select("id", "text", "y").mapInArrow(vectors, f"id {kind}, v binary, y int").groupBy("id", "y").agg(F.min("v").alias("v")).orderBy("id", "y").toArrow()
     x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     return NeighbourVote(x, np.asarray(got["y"].to_pylist(), np.float32))
 

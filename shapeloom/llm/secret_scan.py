@@ -108,7 +108,7 @@ class BlobLedger:
         # and the runs are met in the partitions that it deals.
         blobs = rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", F.array().cast("array<string>"))
         for run in self.store.runs:
-            old = self.store.table(run).select("blob", F.col("rules").alias("more"))
+            old = self.store.table(run).groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("more"))  # a merged run has several rows of a blob
             blobs = blobs.join(old.hint("merge"), "blob", "left").withColumn("seen", F.when(F.col("more").isNull(), F.col("seen")).otherwise(F.concat("seen", "more"))).drop("more")
         self.store.append(scan(blobs.where(F.size(F.array_except(wanted, "seen")) > 0), rules))
         self.store.settle()

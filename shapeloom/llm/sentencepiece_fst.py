@@ -1,22 +1,30 @@
 r"""SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled into three machines:
-
-* the normaliser, which maps blanks to U+2581 and puts one before the text;
-* the pieces: a machine from characters to piece ids, one path a piece, with the model's
-  scores as weights, and byte fallback: a character that is no piece goes to the ids of its
-  UTF-8 bytes;
-* for BPE models, an acceptor over piece ids that weighs a pair of neighbours 0 if the
-  merges of their joined text give back just these two pieces, else infinity. A segmentation
-  is the one that merging gives if and only if all its neighbours are such pairs, so the
-  shortest path through the composition is the BPE result. (Scores of a BPE model are merge
-  ranks, not costs; adding them up would give other segmentations.)
-
-Each input is composed with them lazily and its shortest path taken in the tropical
-semiring (sums of weights along a path, least over paths). No piece goes on after a
-character before U+2581, nor over a character that is in no longer piece, so an input falls
-apart there into units whose paths are independent; paths of units are kept in a bounded
-memo. Each worker builds the machine from the model file's bytes (0.5 MB).
+A model file is compiled into machines:
+
+* ``Normaliser``, from the model's character map (longest match), its rules for blanks, and
+  the U+2581 that stands for a blank and is put before the text;
+* ``Pieces``, from characters to piece ids, one path a piece, and byte fallback: a character
+  that is no piece goes to the ids of its UTF-8 bytes. An arc's weight is the negative score of
+  its piece in unigram models, where scores are log probabilities, and 0 in BPE models, where
+  they are ranks of merges: adding these up would give other segmentations;
+* for BPE models ``Neighbours``, an acceptor over piece ids, whose state is the last piece. It
+  weighs a piece after another 0 if the merges of their joined text give back just these two,
+  else infinity. A segmentation is the one that merging gives if and only if all its
+  neighbours are such pairs, so the path of finite weight is the BPE result.
+
+Each input is composed with them lazily, arc by arc from the states that are reached, and the
+path of least weight is taken in the tropical semiring (weights add up along a path, the
+least one counts). No piece goes on after a character before U+2581, nor over a character that is
+in no longer piece, so an input falls apart there into units whose paths are independent;
+paths of units are kept in a bounded memo. Each worker builds the machines from the model file's
+bytes (0.5 MB).
+
+One case is no path: pieces of several blanks have equal ranks, so how a run of blanks is merged
+depends on its length and not on neighbours alone. In BPE models such runs, with the word
+behind them, go through the merges themselves, by an agenda in order of rank and place. Where
+all pieces of blanks have one rank, behind all others, merging works at the leftmost place until
+no blank can be added there, so a long run begins with equal pieces and only its end is merged.
 
 Defined cases: null and empty texts give no ids and decode to ""; U+2581 in a text reads as
 a blank, as in the library, so such texts aren't decoded to themselves; texts of any length
@@ -28,6 +36,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,133 +50,215 @@ SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-INF = float("inf")
+INF, NEW = float("inf"), float("nan")
+#: The piece of a fallback, and the state behind it and at the start.
+BYTES = -1
 #: Weight of a byte fallback beside log probabilities.
 FALLBACK = 1e6
 
 
+class Normaliser:
+    """Text to normalised text, by the rules of a model's normaliser."""
+
+    def __init__(self, spec):
+        self.prefix = SPACE if spec.add_dummy_prefix else ""
+        self.trim = spec.remove_extra_whitespaces
+        self.blank = SPACE if spec.escape_whitespaces else " "
+        blob = spec.precompiled_charsmap
+        self.units = None
+        if blob:  # a double-array trie of 32-bit units, then the texts that its values point to
+            size = int.from_bytes(blob[:4], "little")
+            self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+            self.texts = blob[4 + size :]
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """The end of the longest entry of the character map at a place, and what it becomes."""
+        units, found = self.units, None
+        offset = lambda u: (u >> 10) << ((u >> 6) & 8)
+        node = offset(units[0])
+        for i in range(at, len(data)):
+            node ^= data[i]
+            if node >= len(units) or units[node] & 0x800000FF != data[i]:
+                break
+            unit = units[node]
+            node ^= offset(unit)
+            if unit >> 8 & 1:
+                start = units[node] & 0x7FFFFFFF
+                found = i + 1, self.texts[start : self.texts.index(0, start)]
+        return found
+
+    def __call__(self, text: str) -> str:
+        if self.units is not None:
+            data, out, at = text.encode(), [], 0
+            while at < len(data):
+                hit = self._longest(data, at)
+                if hit is None:
+                    end = at + 1
+                    while end < len(data) and data[end] & 0xC0 == 0x80:
+                        end += 1
+                    hit = end, data[at:end]
+                out.append(hit[1])
+                at = hit[0]
+            text = b"".join(out).decode()
+        if self.trim:
+            text = re.sub(" +", " ", text).strip(" ")
+        return self.prefix.replace(SPACE, self.blank) + text.replace(" ", self.blank) if text or not self.trim else ""
+
+
+class Pieces:
+    """A trie from characters to piece ids, with byte fallback."""
+
+    def __init__(self, ids: dict[str, int], weight: dict[int, float]):
+        self.weight, self.trie = weight, {}
+        for p, i in ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
+
+    def arcs(self, text: str, at: int) -> list[tuple[int, int, float]]:
+        """(place, piece, weight) of the arcs from a place; the piece ``BYTES`` is the fallback."""
+        node, out, j = self.trie, [], at
+        while j < len(text):
+            node = node.get(text[j])
+            if node is None:
+                break
+            j += 1
+            piece = node.get("")
+            if piece is not None:
+                out.append((j, piece, self.weight[piece]))
+        if not out or out[0][0] != at + 1:
+            out.append((at + 1, BYTES, FALLBACK))
+        return out
+
+
+class Neighbours:
+    """Of BPE models: which pieces may stand beside each other."""
+
+    def __init__(self, pieces: list[str], ids: dict[str, int], score: dict[str, float]):
+        self.pieces, self.ids, self.score, self.known = pieces, ids, score, {}
+
+    def merge(self, text: str) -> list[str]:
+        """The pieces that merging gives, best pair first, leftmost of equals."""
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        agenda: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if 0 <= i and after[i] < len(parts):
+                both = parts[i] + parts[after[i]]
+                if both in self.ids:
+                    heappush(agenda, (-self.score[both], i, both))
+
+        for i in range(len(parts)):
+            offer(i)
+        while agenda:
+            _, i, both = heappop(agenda)
+            j = after[i] if parts[i] is not None else len(parts)
+            if j >= len(parts) or len(parts[i]) + len(parts[j]) != len(both) or parts[i] + parts[j] != both:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = both, None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
+
+    def merge_blanks(self, text: str) -> list[str]:
+        """The same for a run of blanks and what follows."""
+        if self._block is None:
+            blanks = [p for p in self.ids if len(p) > 1 and not p.strip(SPACE)]
+            rank = {self.score[p] for p in blanks}
+            least = min((x for p, x in self.score.items() if len(p) > 1 and p.strip(SPACE)), default=INF)
+            self._rest = 4 * max(map(len, blanks), default=0)
+            self._block = self.merge(SPACE * self._rest)[0] if len(rank) == 1 and rank.pop() < least else ""
+        run = len(text) - len(text.lstrip(SPACE))
+        k = max(0, run - self._rest) // len(self._block) if self._block else 0
+        return [self._block] * k + self.merge(text[k * len(self._block) :])
+
+    _block: str | None = None
+    _rest = 0
+
+    def weight(self, state: int, piece: int) -> float:
+        """Of a piece after the last one; behind the start or a fallback any may stand."""
+        if state < 0 or piece < 0:
+            return 0.0
+        pair = state << 20 | piece
+        found = self.known.get(pair)
+        if found is None:
+            x, y = self.pieces[state], self.pieces[piece]
+            found = self.known[pair] = 0.0 if self.merge(x + y) == [x, y] else INF
+        return found
+
+
 class Transducer:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
         m.ParseFromString(model)
-        if m.normalizer_spec.precompiled_charsmap or m.normalizer_spec.remove_extra_whitespaces or m.trainer_spec.treat_whitespace_as_suffix or not m.trainer_spec.byte_fallback:
-            raise ValueError("only models with the identity normaliser and byte fallback are supported")
+        kinds = {p.type for p in m.pieces}
+        if m.trainer_spec.treat_whitespace_as_suffix or not m.trainer_spec.byte_fallback or not m.normalizer_spec.escape_whitespaces or USER in kinds:
+            raise ValueError("models without byte fallback, with blanks as suffixes or as they are, or with symbols of a user are not supported")
         self.bpe = m.trainer_spec.model_type == BPE
-        self.prefix = SPACE if m.normalizer_spec.add_dummy_prefix else ""
+        self.normalise = Normaliser(m.normalizer_spec)
+        self.plain = self.normalise.units is None and not self.normalise.trim
+        self.prefix = self.normalise.prefix
         self.pieces = [p.piece for p in m.pieces]
         self.kinds = [p.type for p in m.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (NORMAL, USER)}
-        self.score = {p.piece: p.score for p in m.pieces}
+        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
         longer = [p for p in self.ids if len(p) > 1]
-        self.longest = max(map(len, longer), default=1)
         joined = set("".join(longer))
         if any(SPACE in p.lstrip(SPACE) for p in longer):
             raise ValueError("a piece goes on over a blank")
         # Units: blanks and what follows, up to the next blank; characters of no longer piece alone.
         inner = "".join(re.escape(c) for c in joined if c != SPACE)
         self.unit = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|.", re.S)
-        self.trie: dict = {}
-        for p, i in self.ids.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
-        self.pair_weight: dict[int, bool] = {}
+        self.machine = Pieces(self.ids, {i: 0.0 if self.bpe else -m.pieces[i].score for i in self.ids.values()})
+        self.neighbours = Neighbours(self.pieces, self.ids, {p: m.pieces[i].score for p, i in self.ids.items()}) if self.bpe else None
         self.memo = Memo()
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces that merging gives, best pair first, leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = -INF, -1
-            for i in range(len(parts) - 1):
-                both = parts[i] + parts[i + 1]
-                if both in self.ids and self.score[both] > best:
-                    best, at = self.score[both], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def allowed(self, a: int, b: int) -> bool:
-        """Whether the acceptor weighs piece b after piece a 0."""
-        x, y = self.pieces[a], self.pieces[b]
-        ok = self.pair_weight[a << 20 | b] = self.merge(x + y) == [x, y]
-        return ok
-
     def path(self, unit: str) -> list[int]:
-        """Ids on the shortest path."""
-        if not self.bpe:
-            return self._least(unit)
-        if SPACE * 2 in unit:
-            return self._ids(self.merge(unit))  # runs of blanks have equal ranks: the order of merging decides
-        # All finite weights are 0, and no place is reached by two paths of finite weight: the
-        # result of merging is one. So a place has one state, the piece that ends there.
-        n = len(unit)
-        last, back = [None] * (n + 1), [0] * (n + 1)
-        last[0] = -1
-        trie, known = self.trie, self.pair_weight
+        """Ids on the path of least weight through the composition."""
+        if self.bpe and SPACE * 2 in unit:
+            return self._ids(self.neighbours.merge_blanks(unit))
+        n, arcs, neighbours = len(unit), self.machine.arcs, self.neighbours
+        # Of each place the states that are reached: weight, the place and the state before.
+        reached: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+        reached[0][BYTES] = 0.0, 0, BYTES
         for i in range(n):
-            state = last[i]
-            if state is None:
+            here = reached[i]
+            if not here:
                 continue
-            node, j, alone = trie, i, True
-            while j < n:
-                node = node.get(unit[j])
-                if node is None:
-                    break
-                j += 1
-                piece = node.get("")
-                if piece is not None:
-                    if j == i + 1:
-                        alone = False
-                    if last[j] is None:
-                        ok = True
-                        if state >= 0:
-                            ok = known.get(state << 20 | piece)
-                            if ok is None:
-                                ok = self.allowed(state, piece)
-                        if ok:
-                            last[j], back[j] = piece, i
-            if alone and last[i + 1] is None:
-                last[i + 1], back[i + 1] = -1, i
-        out, j = [], n
-        while j:
-            i = back[j]
-            out.append([last[j]] if last[j] >= 0 else self._bytes(unit[i]))
-            j = i
-        return [x for ids in reversed(out) for x in ids]
-
-    def _least(self, unit: str) -> list[int]:
-        """The same for models whose scores are log probabilities."""
-        best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(INF, 0, -1)] * len(unit)
-        for i in range(len(unit)):
-            node, j, arcs = self.trie, i, []
-            while j < len(unit) and unit[j] in node:
-                node, j = node[unit[j]], j + 1
-                if "" in node:
-                    arcs.append((j, node[""], -self.score[unit[i:j]]))
-            if not any(j == i + 1 for j, _, _ in arcs):
-                arcs.append((i + 1, -1, FALLBACK))
-            for j, piece, w in arcs:
-                if best[i][0] + w < best[j][0]:
-                    best[j] = (best[i][0] + w, i, piece)
+            out = arcs(unit, i)
+            for state, (so_far, _, _) in here.items():
+                for j, piece, weight in out:
+                    total = so_far + weight
+                    if neighbours is not None:
+                        total += neighbours.known.get(state << 20 | piece, NEW) if state >= 0 <= piece else 0.0
+                        if total != total:
+                            total = so_far + weight + neighbours.weight(state, piece)
+                    if total < INF:
+                        there, last = reached[j], piece if neighbours is not None else BYTES
+                        old = there.get(last)
+                        if old is None or total < old[0]:
+                            there[last] = total, i, state if neighbours is not None else piece
+        return self._ids(self._back(unit, reached))
+
+    def _back(self, unit: str, reached: list[dict[int, tuple[float, int, int]]]) -> list[str]:
         out, j = [], len(unit)
+        state = min(reached[j], key=lambda q: reached[j][q][0]) if j else BYTES
         while j:
-            _, i, piece = best[j]
-            out.append([piece] if piece >= 0 else self._bytes(unit[i]))
-            j = i
-        return [x for ids in reversed(out) for x in ids]
-
-    def _bytes(self, c: str) -> list[int]:
-        return [self.bytes[b] for b in c.encode()]
+            _, i, before = reached[j][state]
+            out.append(unit[i:j])
+            j, state = i, before if self.neighbours is not None else BYTES
+        return out[::-1]
 
     def _ids(self, parts: list[str]) -> list[int]:
-        return [i for p in parts for i in ([self.ids[p]] if p in self.ids else self._bytes(p))]
+        return [i for p in parts for i in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
 
     def _make(self, units: list[str]) -> list[bytes]:
         find, path = self.unit.findall, self.path
@@ -178,14 +269,15 @@ class Transducer:
         if not text:
             return []
         out: list[str] = []
-        for k, line in enumerate((self.prefix + text.replace(" ", SPACE)).split("\n")):
+        text = self.prefix + text.replace(" ", SPACE) if self.plain else self.normalise(text)
+        for k, line in enumerate(text.split("\n") if text else []):
             if k:
                 out.append("\n")
             head, *rest = line.split(SPACE)
             if "" in rest:  # runs of blanks
                 out += re.findall(f"^[^{SPACE}]+|{SPACE}+[^{SPACE}]*", line)
                 continue
-            if head:
+            if head:  # of a text that doesn't begin with U+2581
                 out.append(head)
             out += [SPACE + w for w in rest]
         return out

@@ -18,6 +18,7 @@ an empty table has shards without documents.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -68,12 +69,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) > 0xFFFF:
+            raise ValueError("ids of more than 16 bits are not supported")
+        self.by_word = self._splits_at_blanks(json.loads(self.tokenizer.to_str()))
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
         self.memo = memo(("ids", path))
         between = self._ids(self.BETWEEN)
         self.between = int(between[0]) if len(between) == 1 else None
 
+    def _splits_at_blanks(self, spec: dict) -> bool:
+        """Whether words are encoded each by itself and end in ``WORD_END``, blanks are dropped
+        and capitals count as small letters. Whole texts are encoded otherwise."""
+        kinds = str(spec.get("normalizer"))
+        return spec["model"].get("end_of_word_suffix") == self.WORD_END and "Lowercase" in kinds and spec["pre_tokenizer"] is not None and not self._ids(" \n ").size
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
@@ -102,6 +112,8 @@ class Encoder:
         """The ids of each text. Small letters, which the tokenizer would make as well, and marks
         apart leave few distinct pieces; these are looked up, and gathered as arrays."""
         texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         spaced = pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), MARK_AFTER_LETTER, r"\1 \2\3")
         split = pc.split_pattern(pc.if_else(pc.match_substring(texts, SPECIAL), pc.replace_substring(texts, "\n", " "), spaced), " ")
         pieces = split.flatten().dictionary_encode()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -40,12 +41,12 @@ def run(name, df, spark):
     if name == "secret_scan":
         out = secret_scan.secret_scan(df, secret_scan.BlobLedger(spark, shared_path(spark, "ledger")))
     elif name == "substring_dedup":
-        out = substring_dedup.substring_dedup(df, substring_dedup.FingerprintIndex(spark, "w"))
+        out = substring_dedup.substring_dedup(df, substring_dedup.FingerprintIndex(spark, shared_path(spark, "w")))
     elif name == "chat_format":
         rows = df.withColumn("parts", chat_format.text_part(F.col("text"))).withColumns({"turn": F.col("doc_id"), "role": F.lit("assistant")})
         out = chat_format.read_back(chat_format.format_chats(rows, conv="doc_id"), "doc_id")
     elif name == "exact_dedup":
-        out = exact_dedup.exact_dedup(df, exact_dedup.DigestIndex(spark, f"i{random.getrandbits(60)}"))
+        out = exact_dedup.exact_dedup(df, exact_dedup.DigestIndex(spark, shared_path(spark, "i")))
     elif name == "decontaminate":
         out = decontaminate.decontaminate(df, bench)
     elif name == "token_files":
@@ -94,11 +95,43 @@ def test_spans(spark):
         want += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
         want += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
         assert got[i] == sorted(want, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
-    # A second pass scans only blobs that are new.
+    # A second pass, over a ledger opened again, scans only blobs that are new.
     more = spark.createDataFrame([(10, texts[0]), (11, "new AKIA0123456789ABCD")], "doc_id long, text string")
+    ledger = BlobLedger(spark, ledger.store.path)
     again = {r.doc_id: len(r.findings) for r in secret_scan(more, ledger).collect()}
     assert again == {10: 1, 11: 1}
-    assert [spark.read.parquet(r).count() for r in ledger.runs] == [len(texts), 1]
+    assert [r["rows"] for r in ledger.store.runs] == [len(texts), 1]
+
+
+def test_a_changed_rule_scans_its_own_pairs_only(spark):
+    from dataclasses import replace
+
+    from shapeloom.llm.secret_scan import RULES, BlobLedger, secret_scan
+
+    df = spark.createDataFrame([(1, "0123456789abcdef AKIA0123456789ABCD", "a.txt"), (2, "0123456789abcdef AKIA0123456789ABCD", "b.txt"), (3, "none", "c.txt")], "doc_id long, text string, file string")
+    path = shared_path(spark, "ledger")
+    first = {r.file: [f.kind for f in r.findings] for r in secret_scan(df, BlobLedger(spark, path), paths=("file",)).collect()}
+    assert first == {"a.txt": ["hex", "access"], "b.txt": ["hex", "access"], "c.txt": []}
+    changed = (*RULES[:2], replace(RULES[2], least=20, hint="[0-9a-f]{20}"))
+    second = {r.doc_id: [f.kind for f in r.findings] for r in secret_scan(df, BlobLedger(spark, path), rules=changed).collect()}
+    assert second == {1: ["access"], 2: ["access"], 3: []}
+    ledger = BlobLedger(spark, path)
+    rows = ledger.store.read().collect()
+    assert sorted(len(r.rules) for r in rows) == [1, 1, 3, 3]
+    secret_scan(df, ledger, rules=changed)
+    assert BlobLedger(spark, path).store.read().count() == 4  # nothing was left to scan
+    assert {r.doc_id: len(r.findings) for r in secret_scan(df, BlobLedger(spark, path)).collect()} == {1: 2, 2: 2, 3: 0}
+
+
+def test_a_text_of_many_spans(spark):
+    from shapeloom.llm.secret_scan import BlobLedger, secret_scan
+
+    n = 600_000  # 10 MB
+    df = spark.createDataFrame([(1, "0123456789abcdef " * n)], "doc_id long, text string")
+    start = time.time()
+    got = secret_scan(df, BlobLedger(spark, shared_path(spark, "ledger"))).select(F.size("findings").alias("n"), F.element_at("findings", -1).alias("last")).first()
+    assert (got.n, got["last"].start, got["last"].end) == (n, 17 * (n - 1), 17 * n - 1)
+    assert time.time() - start < 60
 
 
 # Substring dedup.
@@ -145,7 +178,7 @@ def test_windows_against_brute_force(spark):
 
     rows = passages(3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df, FingerprintIndex(spark, "w")).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df, FingerprintIndex(spark, shared_path(spark, "w"))).collect()}
     assert got == brute_windows(rows)
     assert sum(n for _, n, _ in got.values()) > 500
 
@@ -154,16 +187,75 @@ def test_windows_by_batches(spark):
     from shapeloom.llm.substring_dedup import FingerprintIndex, substring_dedup
 
     rows = sorted(passages(4))
-    index = FingerprintIndex(spark, "w")
-    got, seen = {}, None
-    for part in (rows[:25], rows[25:45], rows[45:]):
+    path = shared_path(spark, "w")
+    got, seen, runs = {}, None, []
+    for part in (rows[:40], rows[40:50], rows[50:]):
         df = spark.createDataFrame(part, "doc_id long, text string")
+        index = FingerprintIndex(spark, path)  # opened again for each batch
+        if seen is not None:
+            with pytest.raises(ValueError, match="older runs"):
+                substring_dedup(df, index)
         got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df, index, seen).collect()}
         seen = df if seen is None else seen.unionByName(df)
-        if len(index.runs) == 2:
-            index.compact()
-            assert len(index.runs) == 1
+        runs.append(len(index.runs))
     assert got == brute_windows(rows)
+    assert runs == [1, 2, 2]  # the last two runs are of like size, so they were merged
+
+
+def thue_morse():
+    """Two words of 1,024 letters that every polynomial hash modulo 2^64 confuses."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_regular_build(spark):
+    from shapeloom.llm.jaccard_join import similar_components
+    from shapeloom.llm.substring_dedup import FingerprintIndex, substring_dedup
+    from shapeloom.llm.words import Words
+
+    import pyarrow as pa
+
+    one, other = thue_morse()
+    for salt in range(4):
+        a, b = Words(pa.array([f"{one} {other}"])).hashes(salt)
+        assert a != b
+    words = [f"w{i}" for i in range(49)]
+    df = spark.createDataFrame([(1, " ".join([*words, one])), (2, " ".join([*words, other])), (3, one), (4, other), (5, " ".join([*words, one]))], "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in substring_dedup(df, FingerprintIndex(spark, shared_path(spark, "w"))).collect()}
+    assert removed == {1: 0, 2: 0, 3: 0, 4: 0, 5: 50}
+    found = {r.doc_id: r.component_id for r in similar_components(df).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}  # 45 of 47 shingles of documents 1 and 2 are shared
+
+
+def test_ids_of_other_types(spark):
+    from shapeloom.llm.jaccard_join import similar_components
+    from shapeloom.llm.substring_dedup import FingerprintIndex, substring_dedup
+
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("b", text), ("a", text + " x"), (None, text), ("c", "y")], "doc_id string, text string")
+    removed = {r.doc_id: r.n_removed for r in substring_dedup(df, FingerprintIndex(spark, shared_path(spark, "w"), "string")).collect()}
+    assert removed == {"a": 0, "b": 60, None: 60, "c": 0}
+    assert {r.doc_id: r.component_id for r in similar_components(df).collect()} == {"a": "a", "b": "a", None: "a", "c": "c"}
+
+
+def test_runs_are_merged_by_size(spark):
+    from shapeloom.llm.runs import RunStore
+
+    path = shared_path(spark, "runs")
+    for n in (100, 10, 1):
+        RunStore(spark, path, "k long, v string", "k", 3).append(spark.range(n).selectExpr("id AS k", "'x' AS v"))
+    store = RunStore(spark, path, "k long, v string", "k")
+    assert [r["rows"] for r in store.runs] == [100, 10, 1] and store.buckets == 3
+    store.append(spark.range(6).selectExpr("id AS k", "'y' AS v"))
+    store.settle()
+    assert [r["rows"] for r in store.runs] == [100, 17]
+    assert store.read().count() == 117
+    plan = store.table(store.runs[0]).join(store.table(store.runs[1]).hint("merge"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    store.drop()
+    assert RunStore(spark, path, "k long, v string", "k").runs == []
 
 
 # Chat formatting.
@@ -196,13 +288,15 @@ def test_parts_and_escapes(spark):
 def test_index_over_batches(spark):
     from shapeloom.llm.exact_dedup import DigestIndex, exact_dedup
 
-    index = DigestIndex(spark, "digests_of_a_test", buckets=3)
+    path = shared_path(spark, "digests")
     one = spark.createDataFrame([(1, "a  b"), (2, "a\nb"), (3, "c")], "doc_id long, text string")
     two = spark.createDataFrame([(4, "a b"), (5, "d"), (6, "d")], "doc_id long, text string")
-    rows = [(r.doc_id, r.keep_id, r.group_size, r.kept) for df in (one, two) for r in sorted(exact_dedup(df, index).collect())]
+    rows = [(r.doc_id, r.keep_id, r.group_size, r.kept) for df in (one, two) for r in sorted(exact_dedup(df, DigestIndex(spark, path)).collect())]
     assert rows == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 1, 1, False), (5, 5, 2, True), (6, 5, 2, False)]
-    assert DigestIndex(spark, "digests_of_a_test").read().count() == 3
-    index.drop()
+    assert DigestIndex(spark, path).read().count() == 3
+    index = DigestIndex(spark, shared_path(spark, "digests"))
+    both = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in sorted(exact_dedup([one, two], index).collect())]
+    assert both == [(1, 1, 3, True), (2, 1, 3, False), (3, 3, 1, True), (4, 1, 3, False), (5, 5, 2, True), (6, 5, 2, False)]
 
 
 # Decontamination.
@@ -280,35 +374,58 @@ def test_encoder_equals_the_library():
 
 
 def test_filter_counts():
-    from shapeloom.llm.language_model import PAGE_BITS, LogFrequencyFilter, mix, positions
+    from shapeloom.llm.language_model import Page, counts_of, levels_of, mix
 
     x = mix(np.arange(1, 20_001, dtype=np.uint64))
     c = np.random.default_rng(7).integers(1, 300, len(x))
-    f = LogFrequencyFilter(np.zeros(2 * PAGE_BITS // 8, np.uint8))
-    level = np.floor(np.log2(c)).astype(int) + 1
-    for k in range(1, level.max() + 1):
-        own = x[level >= k]
-        for p in positions(own, k):
-            at = f.page(own) * PAGE_BITS + p
-            np.bitwise_or.at(f.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    assert (f.levels(x) >= level).all()  # a Bloom filter errs upwards only
-    assert (f.levels(x) == level).mean() > 0.9
-    assert (f.counts(mix(np.arange(10**6, 10**6 + 10_000, dtype=np.uint64))) > 0).mean() < 0.1
+    page = Page.of(x, c)
+    level = levels_of(c)
+    assert level.tolist() == [int(k).bit_length() for k in c]
+    assert (page.levels(x) >= level).all()  # a Bloom filter errs upwards only
+    assert (page.levels(x) == level).mean() > 0.9
+    assert (counts_of(page.levels(mix(np.arange(10**6, 10**6 + 10_000, dtype=np.uint64)))) > 0).mean() < 0.1
+
+
+def test_packs():
+    from shapeloom.llm.language_model import large_counts, packed, small_counts, spread
+
+    x = np.sort(np.random.default_rng(3).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2))
+    assert (spread(packed(x, 8), 8) == x).all()
+    y = np.sort(x >> np.uint64(16))
+    assert (spread(packed(y, 6), 6) == y).all()
+    for top in (1, 200, 70_000, 2**40):
+        c = np.arange(5) + top
+        assert (large_counts(small_counts(c), 5) == c).all()
+
 
+def test_scores_against_plain_counts(spark):
+    """The score is that of a dictionary with the same quantised counts, but for the filter's
+    errors, which only raise a count; the number of buckets doesn't matter for the base."""
+    import math
+    from collections import Counter
 
-def test_large_filter_keeps_all_levels(spark, monkeypatch):
-    from shapeloom.llm import language_model
+    from shapeloom.llm.language_model import MU, score_texts
 
     rng = random.Random(5)
-    rows = [(None if i == 7 else i, None if i == 9 else " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(300)))) for i in range(3000)]
+    rows = [(None if i == 7 else i, None if i == 9 else " ".join(f"W{int(rng.paretovariate(1)) % 500}" for _ in range(rng.randrange(200)))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    scores = lambda: sorted(map(tuple, language_model.score_texts(docs, docs, hot=100).collect()), key=repr)
-    want = scores()
-    monkeypatch.setattr(language_model, "MAX_BITS", 1 << 20)
-    monkeypatch.setattr(language_model, "GROUPS", 2, raising=False)
-    got = scores()
-    assert [r[:4] for r in got] == [r[:4] for r in want]
-    assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
+    got = {r.doc_id: r for r in score_texts(docs, docs).collect()}
+    lists = {d: [*(t or "").lower().split(), None] for d, t in rows}
+    one = Counter(x for ts in lists.values() for x in ts)
+    two = Counter(p for ts in lists.values() for p in zip([0, *ts], ts, strict=False))
+    norm = one.total() + 0.1 * (len(one) + 1)
+    shown = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+    errors = []
+    for d, ts in lists.items():
+        want = 0.0
+        for h, w in zip([0, *ts], ts, strict=False):
+            before = shown(one[None if h == 0 else h])
+            want += math.log10(min(1.0, (min(shown(two[h, w]), before) + MU * (shown(one[w]) + 0.1) / norm) / (before + MU)))
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(ts), len(ts), one.total())
+        assert math.isclose(got[d].base_score, sum(math.log10((one[x] + 0.1) / norm) for x in ts), rel_tol=1e-9)
+        errors.append((got[d].score - want) / len(ts))
+    assert abs(sum(errors)) / len(errors) < 0.02 and max(map(abs, errors)) < 0.3
+    assert sum(abs(e) < 1e-9 for e in errors) > 10
 
 
 def test_pairs_seen_once_count(spark):
@@ -366,17 +483,47 @@ def noisy_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize(("segments", "block"), [(96, 10**6), (6, 10**6), (20, 150)])
-def test_components_against_brute_force(spark, segments, block):
-    """Also with so few segments that one-deletion neighbours are needed, and small blocks."""
+@pytest.mark.parametrize(("segments", "block", "light"), [(16, 10**6, 16), (96, 10**6, 16), (2, 10**6, 16), (4, 150, 1)])
+def test_components_against_brute_force(spark, monkeypatch, segments, block, light):
+    """Also with so few segments that many sets fall short of units, and small blocks."""
+    from shapeloom.llm import jaccard_join
     from shapeloom.llm.jaccard_join import similar_components
 
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
     rows = noisy_copies(segments)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df, least_segments=segments, block_shingles=block).collect()}
     assert got == brute_components(rows)
 
 
+def test_units_are_chosen_by_cost():
+    """A set of six in three segments that needs three units: the segment that others share as
+    a whole is left out, a cheap one gets its second unit."""
+    from shapeloom.llm.jaccard_join import chosen
+
+    entries = [  # kind, seg (number, two or more), full, near
+        (0, 0 << 1 | 1, 50, 0),
+        (0, 1 << 1 | 1, 2, 1),
+        (1, 1 << 1 | 1, 1, 1),
+        (0, 2 << 1 | 1, 3, 0),
+        (1, 2 << 1 | 1, 90, 1),
+    ]
+    n = len(entries)
+    x = {k: np.array([e[i] for e in entries]) for i, k in enumerate(("kind", "seg", "full", "near"))}
+    x |= {"key": np.arange(n), "small": np.ones(n, bool), "below": np.zeros(n, int)} | {k: np.full(n, v) for k, v in (("held", 3), ("able", 6), ("need", 3), ("most", 2))}
+    keep, probe = chosen(np.zeros(n, np.int64), x)
+    assert keep.all() and probe.tolist() == [False, True, True, True, False]
+
+
+def test_second_names_decide(spark):
+    """Two different shingles of one hash don't make a link."""
+    from shapeloom.llm.jaccard_join import verify
+
+    sets = spark.createDataFrame([(1, 4, [1, 2, 3, 4], [11, 12, 13, 14]), (2, 4, [1, 2, 3, 4], [11, 12, 93, 94]), (3, 4, [1, 2, 3, 4], [11, 12, 13, 14])], "c long, n long, w array<long>, x array<long>")
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "a long, b long")
+    assert [tuple(r) for r in verify(pairs, sets).collect()] == [(3, 1)]
+
+
 def test_components_of_long_chains(spark):
     from shapeloom.llm.components import components
 
@@ -426,3 +573,95 @@ def test_unigram_paths():
     assert name("abab") == ["a", "ba", "b"]
     assert name("ababab") == ["a", "ba", "ba", "b"]
     assert name("aé") == ["a", "<0xC3>", "<0xA9>"]
+
+
+def test_runs_of_blanks():
+    import public_tokenizers
+    import sentencepiece
+
+    from shapeloom.llm.sentencepiece_fst import Transducer
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        fst = Transducer(f.read())
+    texts = [" " * n + end for n in [*range(1, 150), 1000, 30_001] for end in ("foo", "", "\n", "x y", "日")]
+    texts += ["a" + t for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in fst.encode(texts)] == lib.encode(texts)
+    start = time.time()
+    assert len(fst.encode([" " * 10_000_000 + "foo"])[0]) // 4 == 625_001
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("trim", [True, False])
+def test_character_maps(trim):
+    """The normaliser of another model, with a map of characters and blanks taken together."""
+    import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    from shapeloom.llm.sentencepiece_fst import Transducer
+
+    m = pb.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        m.ParseFromString(f.read())
+    m.normalizer_spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_normalizer_spec())
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = True, trim, True
+    data = m.SerializeToString()
+    rng = random.Random(4)
+    alphabet = "abcXYZ  \n\t ÀÉéß①ﬁｆｕ\u3000\u200b\x7f½ǅ가각日"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20))) for _ in range(1500)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in Transducer(data).encode(texts)]
+    assert got == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts)
+
+
+# Quality.
+
+
+def test_votes_against_plain_neighbours(spark):
+    """Scores of the query's classifier against cosines computed one by one."""
+    import pyarrow as pa
+
+    from shapeloom.llm.quality_knn import NEIGHBOURS, NeighbourVote, features
+
+    rng = random.Random(11)
+    good = [" ".join(rng.choice(["the", "river", "Runs", "slowly,", "past", "old", "mills."]) for _ in range(30)) for _ in range(80)]
+    junk = [" ".join(rng.choice(["the", "river", "buy", "cheap", "pills", "online", "now"]) for _ in range(30)) for _ in range(80)]
+    x = features(pa.array(good + junk))
+    y = np.array([1.0] * 80 + [0.0] * 80, np.float32)
+    order = np.random.default_rng(1).permutation(160)
+    train, test = order[:120], order[120:]
+    model = NeighbourVote(x[train], y[train])
+    got = model.score(x[test])
+    unit = lambda v: v / np.linalg.norm(v)
+    for i, row in enumerate(x[test]):
+        z = unit(unit(row * model.idf) @ model.basis)
+        near = sorted(((float(z @ unit(unit(t * model.idf) @ model.basis)), float(label)) for t, label in zip(x[train], y[train], strict=True)), reverse=True)[:NEIGHBOURS]
+        weight = [max(c, 0.0) ** 8 for c, _ in near]
+        assert abs(got[i] - sum(w * label for w, (_, label) in zip(weight, near, strict=True)) / sum(weight)) < 1e-3
+    assert ((got > 0.5) == (y[test] == 1)).all()  # junk in ordinary letters is known by its words
+
+
+# Chat formatting, order of ties.
+
+
+def test_ties_are_ordered_by_text(spark):
+    from shapeloom.llm.chat_format import format_chats, read_back, text_part
+
+    texts = ["</s>", "<0", "<\\/s>", "<x", "[INST] a", "[0", None]
+    df = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn long, role string, text string").withColumn("parts", text_part(F.col("text")))
+    got = read_back(format_chats(df)).first()
+    assert [t.text for t in got.turns] == sorted(t or "" for t in texts)
+
+
+def test_other_tokenizers_are_checked():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from shapeloom.llm.token_files import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  there, it's", "", "a\nb\t日本"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in Encoder(path).encode(pa.array(texts))] == want
