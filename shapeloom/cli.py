@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from shapeloom.functions.terms import parse_term
 from shapeloom.operators.dehydrate import dehydrate
 from shapeloom.operators.hydrate import hydrate
 from shapeloom.plans.layouts import Layouts, load_layouts
+from shapeloom.shared import delete, file_system, shared_path
 from shapeloom.sources import cbor, nquads, trees
 
 
@@ -61,16 +60,19 @@ def _form(name: str) -> str:
     raise SystemExit(f"unknown format {name!r}")
 
 
-def _path(path: str | None, binary: bool = False) -> str:
-    if path:
-        return path
-    with tempfile.NamedTemporaryFile(delete=False) as f:  # this process is driver and executor
-        f.write(sys.stdin.buffer.read())
-    return f.name
+def _stdin(spark: SparkSession) -> str:
+    """Standard input as a file that executors can read."""
+    path = shared_path(spark, "stdin")
+    fs, file = file_system(spark, path)
+    stream = fs.create(file, False)
+    while block := sys.stdin.buffer.read(1 << 20):
+        stream.write(bytearray(block))
+    stream.close()
+    return path
 
 
-def _read_tree(spark: SparkSession, form: str, path: str | None) -> DataFrame:
-    return cbor.read_cbor(spark, _path(path)) if _form(form) == "cbor" else trees.read_json(spark, _path(path), whole_files=True)
+def _read_tree(spark: SparkSession, form: str, path: str) -> DataFrame:
+    return cbor.read_cbor(spark, path) if _form(form) == "cbor" else trees.read_json(spark, path, whole_files=True)
 
 
 def _write_text(rows: DataFrame, to: str | None) -> None:
@@ -82,12 +84,23 @@ def _write_text(rows: DataFrame, to: str | None) -> None:
 
 
 def _write_cbor(rows: DataFrame, to: str | None) -> None:
-    for i, r in enumerate(rows.toLocalIterator()):
-        if to:
-            Path(to).mkdir(parents=True, exist_ok=True)
-            (Path(to) / f"{i:06d}.cbor").write_bytes(r.cbor)
-        else:
+    """One file a tree below ``to``, a folder that executors share; they write the files."""
+    if not to:
+        for r in rows.toLocalIterator():
             sys.stdout.buffer.write(r.cbor)
+        return
+
+    def write(part) -> None:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, folder = (fs.LocalFileSystem(), to) if "://" not in to else fs.FileSystem.from_uri(to)
+        files.create_dir(folder, recursive=True)
+        for i, r in enumerate(part):
+            with files.open_output_stream(f"{folder}/{TaskContext.get().partitionId():05d}-{i:06d}.cbor") as out:
+                out.write(r.cbor)
+
+    rows.where("cbor IS NOT NULL").foreachPartition(write)
 
 
 def _layouts(a: argparse.Namespace) -> tuple[Layouts, str]:
@@ -102,10 +115,20 @@ def _layouts(a: argparse.Namespace) -> tuple[Layouts, str]:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parse(sys.argv[1:] if argv is None else argv)
     spark = spark or SparkSession.builder.appName("shapeloom").getOrCreate()
+    if a.path:
+        return run(a, spark)
+    a.path = _stdin(spark)
+    try:
+        return run(a, spark)
+    finally:
+        delete(spark, a.path)
+
+
+def run(a: argparse.Namespace, spark: SparkSession) -> int:
     if a.command == "convert":
         source, target = _form(a.input_format), _form(a.output_format)
         if a.what == "rdf":
-            quads = nquads.read_nquads(spark, _path(a.path))
+            quads = nquads.read_nquads(spark, a.path)
             _write_text(nquads.quad_lines(quads.orderBy("s", "p", "o", "g")), a.to)
             return 0
         rows = _read_tree(spark, a.input_format, a.path).select(F.to_json("value").alias("json"))
@@ -118,20 +141,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "dehydrate":
         rows = _read_tree(spark, a.input_format, a.path)
         got = dehydrate(layouts, ref, rows, ["key"], value="value")
-        errors = got.errors.collect()
-        for e in errors:
-            print(f"error: {e.status}", file=sys.stderr)
+        failed = 0
+        for e in got.errors.toLocalIterator():
+            failed = 1
+            print(f"error: {e.status} at {e.status_place or '/'}", file=sys.stderr)
         _write_text(nquads.quad_lines(got.quads.orderBy("s", "p", "o", "g")), a.to)
-        return int(bool(errors))
-    quads = nquads.read_nquads(spark, _path(a.path))
+        return failed
+    quads = nquads.read_nquads(spark, a.path)
     subjects = [parse_term(s) for s in a.subjects]
     roots = spark.createDataFrame([tuple(subjects)], ", ".join(f"in{i} string" for i in range(len(subjects))))
-    out = hydrate(layouts, ref, quads, roots)
-    row = out.first()
+    binary = _form(a.output_format) == "cbor"
+    tree = hydrate(layouts, ref, quads, roots, numbers="decimal" if binary else "text")
+    row = tree.first()  # the one tree that was asked for
     if row.status is not None:
-        print(f"error: {row.status}", file=sys.stderr)
+        print(f"error: {row.status} at {row.status_place or '/'}", file=sys.stderr)
         return 1
-    if _form(a.output_format) == "cbor":
+    out = spark.createDataFrame([row], tree.schema)
+    if binary:
         _write_cbor(cbor.to_cbor(out, layouts, ref), a.to)
     else:
         _write_text(trees.pretty(out) if a.pretty else out.select("json"), a.to)

@@ -145,6 +145,19 @@ def _ranges(parts: tuple) -> list[tuple[int, int]]:
     return out
 
 
+LAST = 0x10FFFF
+
+
+def _rest(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The characters that ordered ranges leave out."""
+    out, at = [], 0
+    for a, b in ranges:
+        if a > at:
+            out.append((at, a - 1))
+        at = b + 1
+    return [*out, (at, LAST)] if at <= LAST else out
+
+
 def simplified(tree: tuple) -> tuple:
     """The same language with nested sequences joined, alternatives of alternatives flat,
     classes as ordered ranges and classes of one character as that character."""
@@ -181,7 +194,10 @@ def show(tree: tuple) -> str:
             case ("char", c):
                 return char(c)
             case ("class", negated, parts):
-                return f"[{'^' if negated else ''}{''.join(span(a, b) for a, b in parts)}]"
+                ranges = _ranges(parts)
+                if 2 * sum(b - a + 1 for a, b in ranges) > LAST + 1:  # the rest is shorter to say
+                    negated, ranges = not negated, _rest(ranges)
+                return f"[{'^' if negated else ''}{''.join(span(chr(a), chr(b)) for a, b in ranges)}]"
             case ("seq", parts):
                 shown = "".join(of(p, False) for p in parts)
             case ("or", options):

@@ -84,6 +84,31 @@ def first_status(*statuses: Column) -> Column:
     return F.coalesce(*statuses, F.lit(None).cast("string"))
 
 
+#: Between a status and the steps from where it came up to the root, the innermost first.
+STEP = "\x1f"
+
+
+def within(status: Column, step: str | Column) -> Column:
+    """The status of a part, as one of the whole: null stays null."""
+    return F.concat(status, F.lit(STEP), F.lit(step) if isinstance(step, str) else F.coalesce(step.cast("string"), F.lit("")))
+
+
+def status_code(status: Column) -> Column:
+    return F.substring_index(status, STEP, 1)
+
+
+def status_place(status: Column) -> Column:
+    """The steps from the root to the value that failed, each after a slash: names of fields and
+    variants, places in tuples and lists that are written, nodes and items that are read."""
+    steps = F.reverse(F.slice(F.split(status, STEP), F.lit(2), F.length(status)))
+    return F.array_join(F.transform(steps, lambda x: F.concat(F.lit("/"), x)), "")
+
+
+def digits_lost(canonical: Column, kind: str) -> Column:
+    """Whether a numeral has more digits after the point than a column of this type."""
+    return canonical.rlike("[.][0-9]{19}") if kind == DECIMAL else F.contains(canonical, F.lit("."))
+
+
 def decimal_digits(numerator: int, denominator: int) -> str | None:
     """The decimal numeral of a fraction, or None if it has no finite one."""
     sign, numerator = ("-" if (numerator < 0) != (denominator < 0) and numerator else ""), abs(numerator)

@@ -338,7 +338,7 @@ class Dehydration:
         if isinstance(layout, Sized):
             wrong = F.when(~F.coalesce(v.size() == len(layout.items), F.lit(False)), "INCOMPATIBLE_LAYOUT")
             got = [self.part(p, v.item(i), env, graph, F.concat(path, F.lit(f"/{i}")), depth) for i, p in enumerate(layout.items)]
-            return Result(own + [q for r in got for q in r.quads], V.first_status(wrong, *(r.status for r in got)), {})
+            return Result(own + [q for r in got for q in r.quads], V.first_status(wrong, *(V.within(r.status, str(i)) for i, r in enumerate(got))), {})
         if isinstance(layout, Sum):
             return self.sum(layout, v, env, graph, path, depth, own)
         if isinstance(layout, Unordered | Ordered):
@@ -351,11 +351,11 @@ class Dehydration:
         for p in layout.fields:
             f = v.field(p.name)
             if f is None:
-                statuses.append(F.lit("MISSING_REQUIRED") if p.required else _none())
+                statuses.append(V.within(F.lit("MISSING_REQUIRED") if p.required else _none(), p.name))
                 continue
             r = self.part(p, f, env, graph, F.concat(path, F.lit(f"/{p.name}")), depth)
             there = ~f.absent()
-            statuses.append(F.when(there, r.status).otherwise(F.lit("MISSING_REQUIRED") if p.required else _none()))
+            statuses.append(V.within(F.when(there, r.status).otherwise(F.lit("MISSING_REQUIRED") if p.required else _none()), p.name))
             if r.quads:
                 quads.append(F.when(there, F.concat(*r.quads)).otherwise(F.array().cast(QUADS)))
         return Result(quads, V.first_status(*statuses), {})
@@ -385,7 +385,7 @@ class Dehydration:
 
         def of(x: Column, i: Column) -> Column:
             r = one(x, i)
-            return F.struct(r.status.alias("st"), (F.concat(*r.quads) if r.quads else F.array().cast(QUADS)).alias("q"))
+            return F.struct(V.within(r.status, i).alias("st"), (F.concat(*r.quads) if r.quads else F.array().cast(QUADS)).alias("q"))
 
         each = F.transform(xs, of)
         bad = F.get(F.filter(F.transform(each, lambda e: e["st"]), lambda s: s.isNotNull()), F.lit(0))
@@ -395,7 +395,7 @@ class Dehydration:
 @dataclass
 class Dehydrated:
     """``quads`` (s, p, o, g), a set; ``inputs``: the key and the term of each input, and the
-    status (null: success); ``errors``: the inputs' rows that failed."""
+    status (null: success) with its place in the tree; ``errors``: the inputs' rows that failed."""
 
     quads: DataFrame
     inputs: DataFrame
@@ -416,7 +416,7 @@ def dehydrate_rows(
     skolem_prefix: str = "",
     max_depth: int = 8,
 ) -> DataFrame:
-    """``key`` columns, ``status``, ``in0``.. and ``quads`` (an array) for each row.
+    """``key`` columns, ``status``, ``in0``.., ``quads`` (an array) and ``status_place`` for each row.
 
     The tree is the column ``value`` (any Spark type, or VARIANT for JSON), or all columns but
     those of ``key`` and ``inputs`` as a record (then a key column may also be a field if it is
@@ -452,7 +452,8 @@ def dehydrate_rows(
     result = work.layout(layout, tree, [F.col(f"_in{i}") for i in range(n)], F.lit(graph).cast("string"), F.col("_root"), 0)
     status = V.first_status(result.status, F.when(F.col("_clash"), "TERM_AMBIGUITY"))
     quads = F.concat(*result.quads) if result.quads else F.array().cast(QUADS)
-    return named.select(*key, status.alias("status"), *(F.col(f"_in{i}").alias(f"in{i}") for i in range(n)), F.when(status.isNull(), quads).otherwise(F.array().cast(QUADS)).alias("quads"))
+    own = F.when(status.isNull(), quads).otherwise(F.array().cast(QUADS)).alias("quads")
+    return named.select(*key, V.status_code(status).alias("status"), *(F.col(f"_in{i}").alias(f"in{i}") for i in range(n)), own, V.status_place(status).alias("status_place"))
 
 
 def dehydrate(layouts: Layouts, ref: str, rows: DataFrame, key: list[str], mode: str = "permissive", distinct: bool = True, **options) -> Dehydrated:
@@ -462,7 +463,7 @@ def dehydrate(layouts: Layouts, ref: str, rows: DataFrame, key: list[str], mode:
         raise ValueError(f"unknown mode {mode!r}")
     got = dehydrate_rows(layouts, ref, rows, key, **options)
     if mode == "failfast":
-        got = got.withColumn("status", F.when(F.col("status").isNotNull(), F.raise_error(F.concat(F.lit("dehydration failed: "), F.col("status")))))
+        got = got.withColumn("status", F.when(F.col("status").isNotNull(), F.raise_error(F.concat(F.lit("dehydration failed: "), F.col("status"), F.lit(" at "), F.col("status_place")))))
         got = got.where(F.coalesce(F.col("status"), F.lit("")) == "")
     # The outer form, as the other one makes Spark repeat the whole expression in a filter.
     quads = got.select(F.inline_outer("quads")).where("s IS NOT NULL")

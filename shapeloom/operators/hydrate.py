@@ -42,7 +42,8 @@ def null(kind: str = "string") -> Column:
 
 
 class Hydration:
-    def __init__(self, layouts: Layouts, quads: DataFrame, assume_unique: bool = False, enforce_patterns: bool = False, max_depth: int = 32, json: bool = True):
+    def __init__(self, layouts: Layouts, quads: DataFrame, assume_unique: bool = False, enforce_patterns: bool = False, max_depth: int = 32, json: bool = True, numbers: str = "decimal"):
+        self.numbers = numbers
         self.with_json, self.layouts, self.quads = json, layouts, quad_set(quads)
         self.assume_unique, self.enforce_patterns, self.max_depth = assume_unique, enforce_patterns, max_depth
 
@@ -101,6 +102,10 @@ class Hydration:
             # Most numerals are canonical: only others are rewritten before they are cast.
             value = F.when(right & ok, F.coalesce(text.try_cast(kind), shown.try_cast(kind)))
             bad = F.when(right & ~ok, "INVALID_LITERAL")
+            if self.numbers == "text":
+                value = F.when(right & ok, shown)
+            else:
+                bad = V.first_status(bad, F.when(right & (value.isNull() | V.digits_lost(shown, kind)), "NUMBER_RANGE"))
             return Value(V.first_status(wrong, bad), value, shown, F.concat(F.lit(V.NUMBER), V.number_key(shown)))
         else:
             how = {T.XSD + "hexBinary": "hex", T.XSD + "base64Binary": "base64"}.get(layout.datatype)
@@ -124,7 +129,7 @@ class Hydration:
         for part, k, v in zip(layout.fields, n, got, strict=True):
             one = k == 1
             absent = F.lit("MISSING_REQUIRED") if part.required else null()
-            statuses.append(F.when(k > 1, "DATA_AMBIGUITY").when(k == 0, absent).otherwise(v.status))
+            statuses.append(V.within(F.when(k > 1, "DATA_AMBIGUITY").when(k == 0, absent).otherwise(v.status), part.name))
             typed.append(F.when(one, v.value).alias(part.name))
             shown.append((part.name, F.when(one, v.json)))
             keys.append(F.when(one, F.concat(F.lit("\x03" + part.name + V.END), v.key)).otherwise(""))
@@ -132,13 +137,13 @@ class Hydration:
         return Value(V.first_status(*statuses), value, V.json_object(shown), F.concat(F.lit(V.RECORD), *keys, F.lit(V.END)))
 
     def tuple(self, n: list[Column], got: list[Value]) -> Value:
-        statuses = [F.when(k > 1, "DATA_AMBIGUITY").when(k == 0, "MISSING_DATA").otherwise(v.status) for k, v in zip(n, got, strict=True)]
+        statuses = [V.within(F.when(k > 1, "DATA_AMBIGUITY").when(k == 0, "MISSING_DATA").otherwise(v.status), str(i)) for i, (k, v) in enumerate(zip(n, got, strict=True))]
         value = F.struct(*(v.value.alias(f"_{i}") for i, v in enumerate(got))) if got else null()
         shown = F.concat(F.lit("["), F.concat_ws(",", *(v.json for v in got)) if got else F.lit(""), F.lit("]"))
         return Value(V.first_status(*statuses), value, shown, F.concat(F.lit(V.LIST), *(F.concat(F.lit("\x03"), v.key) for v in got), F.lit(V.END)))
 
     def choose(self, layout: Sum, n: list[Column], got: list[Value]) -> Value:
-        hard = [F.when(k > 1, "DATA_AMBIGUITY") for k in n]
+        hard = [V.within(F.when(k > 1, "DATA_AMBIGUITY"), p.name) for p, k in zip(layout.variants, n, strict=True)]
         fits = [(k == 1) & v.status.isNull() for k, v in zip(n, got, strict=True)]
         count = sum((f.cast("int") for f in fits), F.lit(0))
         pick = lambda xs: F.coalesce(*(F.when(f, x) for f, x in zip(fits, xs, strict=True))) if xs else null()
@@ -242,7 +247,8 @@ class Hydration:
         rows = frames.select(*used)
         rows = match(self.quads, rows if set(used) == set(frames.columns) else rows.distinct(), item.dataset)
         rows, v = self.nested(rows, item.value, "i_", depth)
-        rows = rows.select(*used, v.status.alias("st"), F.struct(v.key.alias("k"), v.value.alias("v"), self.shown(v).alias("j")).alias("x"))
+        named = next((F.col(var(x)) for x in item.value.inputs if isinstance(x, int)), F.lit(""))
+        rows = rows.select(*used, V.within(v.status, named).alias("st"), F.struct(v.key.alias("k"), v.value.alias("v"), self.shown(v).alias("j")).alias("x"))
         lists = rows.groupBy(*used).agg(F.min("st").alias("l_st"), F.sort_array(F.collect_list("x")).alias("l_x"))
         return frames.join(lists, used, "left"), self.list_value("l_x", F.col("l_st"))
 
@@ -289,7 +295,7 @@ class Hydration:
         walked = seen.join(nodes.withColumnRenamed(var(first), "node"), [*outer, "node"], "left")
         walked, v = self.nested(walked.withColumn(var(first), F.col("node")).withColumn(var(rest), F.col("next")), node.value, "i_", depth, F.col("n") == 1)
         status = F.when(F.col("n").isNull(), "MISSING_DATA").when(F.col("n") > 1, "DATA_AMBIGUITY").otherwise(v.status)
-        rows = walked.select(*outer, "head", "tail", "pos", "node", status.alias("st"), v.value.alias("v"), v.key.alias("k"), self.shown(v).alias("j"))
+        rows = walked.select(*outer, "head", "tail", "pos", "node", V.within(status, F.col("node")).alias("st"), v.value.alias("v"), v.key.alias("k"), self.shown(v).alias("j"))
         found = rows.groupBy(*outer, "head", "tail").agg(
             F.min("st").alias("l_st"), F.sort_array(F.collect_list(F.struct("pos", "k", "v", "j"))).alias("l_x"), F.count(F.lit(1)).alias("l_n"), F.count_distinct("node").alias("l_d")
         )
@@ -317,15 +323,20 @@ def hydrate(
     enforce_patterns: bool = False,
     max_depth: int = 32,
     json: bool = True,
+    numbers: str = "decimal",
 ) -> DataFrame:
     """The tree of each row of ``roots`` (in0, in1, ...: terms): those columns with status
-    (null: success), value (typed) and json.
+    (null: success), value (typed), json and status_place (where in the tree it failed).
 
     ``graph``: the current graph, else the default one. ``same_as``: see ``interpret``.
     ``mode``: permissive keeps failed rows with their status, dropmalformed leaves them out,
     failfast raises. ``assume_unique``: the caller vouches that properties have one value and
     that roots don't repeat. ``json=False`` leaves that column null and saves making it.
+    ``numbers``: decimal gives numbers as columns of their datatype's Spark type, and those that
+    it can't hold exactly the status NUMBER_RANGE; text gives canonical numerals of any size.
     """
+    if numbers not in ("decimal", "text"):
+        raise ValueError(f"unknown form of numbers {numbers!r}")
     if mode not in ("permissive", "dropmalformed", "failfast"):
         raise ValueError(f"unknown mode {mode!r}")
     if same_as is not None:
@@ -337,11 +348,11 @@ def hydrate(
     frames = roots.select(F.lit(graph or "").alias(GRAPH), *(F.col(c).alias(var(i)) for i, c in enumerate(roots.columns)))
     frames = frames if assume_unique else frames.distinct()
     json = json or any(layouts.recursive(r) for r in {ref} | layouts.reachable(ref))
-    out = Hydration(layouts, quads, assume_unique, enforce_patterns, max_depth, json).call(call, frames)
+    out = Hydration(layouts, quads, assume_unique, enforce_patterns, max_depth, json, numbers).call(call, frames)
     status = F.col("st")
-    out = out.select(*(F.col(var(i)).alias(c) for i, c in enumerate(roots.columns)), status.alias("status"), F.when(status.isNull(), F.col("va")).alias("value"), F.when(status.isNull() & F.lit(json), F.col("js")).alias("json"))
+    out = out.select(*(F.col(var(i)).alias(c) for i, c in enumerate(roots.columns)), V.status_code(status).alias("status"), F.when(status.isNull(), F.col("va")).alias("value"), F.when(status.isNull() & F.lit(json), F.col("js")).alias("json"), V.status_place(status).alias("status_place"))
     if mode == "dropmalformed":
         return out.where("status IS NULL")
     if mode == "failfast":
-        return out.withColumn("status", F.when(F.col("status").isNotNull(), F.raise_error(F.concat(F.lit("hydration failed: "), F.col("status")))))
+        return out.withColumn("status", F.when(F.col("status").isNotNull(), F.raise_error(F.concat(F.lit("hydration failed: "), F.col("status"), F.lit(" at "), F.col("status_place")))))
     return out

@@ -7,6 +7,15 @@
         friends: set[Id] = prop("ex:friend")
 
 Fields that aren't Optional are required. ``Layouts().add(Person.layout)`` compiles it.
+
+A class may also be a set, a list, a unit or a literal of its own:
+
+    @layout("list", head="_:self", tail="https://example.org/end")
+    class Steps:
+        step: str = prop(head="here", rest="there", intro="x", input="_:x", dataset=[...])
+
+    @layout("string", pattern="[A-Z]+")
+    class Code: ...
 """
 
 from __future__ import annotations
@@ -79,14 +88,23 @@ def _part(kind: Any, found: Prop) -> dict[str, Any]:
     if "input" in options or "graph" in options:
         value = {"layout": value} | {k: options[k] for k in ("input", "graph") if k in options}
     out: dict[str, Any] = {"value": value} | ({"property": found.property} if found.property is not None else {})
-    return out | {k: options[k] for k in ("intro", "dataset") if k in options}
+    return out | {k: options[k] for k in ("intro", "dataset", "head", "rest") if k in options}
+
+
+#: Kinds of classes without annotations; what they hold is said by keywords (const, datatype,
+#: pattern, resource).
+LEAVES = ("unit", "boolean", "number", "bytes", "string", "id")
 
 
 def layout(kind: str = "record", **header: Any):
-    """Class decorator: sets ``layout``, a JSON document. ``kind``: record, sum or tuple;
-    keywords are the keys of the header (base, prefixes, id, input, intro, dataset, extra)."""
+    """Class decorator: sets ``layout``, a JSON document. ``kind``: record, sum, tuple, set or
+    list (of one annotation), or one of ``LEAVES``; keywords are the keys of the header (base,
+    prefixes, id, input, intro, dataset, extra) and of the kind (head, tail, const, datatype ...)."""
 
     def decorate(cls: type) -> type:
+        if kind in LEAVES:
+            cls.layout = {"type": kind} | header
+            return cls
         hints = typing.get_type_hints(cls)
         parts: dict[str, dict[str, Any]] = {}
         for name, hint in hints.items():
@@ -98,7 +116,13 @@ def layout(kind: str = "record", **header: Any):
             parts[name] = _part(inner, found)
             if kind == "record" and not optional and not parts[name].get("intro") == []:
                 parts[name]["required"] = True
-        body = {"record": {"fields": parts}, "sum": {"variants": parts}, "tuple": {"items": list(parts.values())}}[kind]
+        if kind in ("set", "list"):
+            if len(parts) != 1:
+                raise LayoutError(f"a {kind} has one annotation, not {len(parts)}")
+            (only,) = parts.values()
+            body = {"item": only} if kind == "set" else {"node": only if len(only) > 1 else only["value"]}
+        else:
+            body = {"record": {"fields": parts}, "sum": {"variants": parts}, "tuple": {"items": list(parts.values())}}[kind]
         cls.layout = {"type": kind} | header | body
         return cls
 

@@ -7,23 +7,25 @@ whole tables.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.terms import RDF_NIL, XSD, lang_literal_col
+from shapeloom.functions import regexp
+from shapeloom.functions.terms import RDF_NIL, XSD, lang_literal_col, parse_term, resolve
 from shapeloom.operators.dehydrate import dehydrate, dehydrate_rows
 from shapeloom.operators.hydrate import hydrate
 from shapeloom.operators.match import GRAPH, match, match_unique, quad_set
 from shapeloom.plans.builder import U8, Id, layout, prop
-from shapeloom.plans.layouts import Layouts, prelude
-from shapeloom.plans.schema import to_ddl, to_spark_type
-from shapeloom.shared import shared_path
+from shapeloom.plans.layouts import Call, Layouts, prelude
+from shapeloom.plans.schema import to_ddl, to_spark_type, type_name
+from shapeloom.shared import file_system, shared_path
 from shapeloom.sources import cbor, nquads, trees
 from shapeloom.sources.lift import BASE, lift, link, subject, table_layout
-from shapeloom.streaming.quads import dehydrate_stream
+from shapeloom.streaming.quads import dehydrate_stream, hydrate_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -504,11 +506,10 @@ def graph_on_write(spark, sf):
     return dehydrate(layouts, ref, nation, ["id"], graph=term("region/3"), graph_on_write=True).quads.select("s", "g")
 
 
-@query("SELECT c_custkey, n_nationkey::BIGINT AS n_nationkey, c_name, n_name FROM customer, nation WHERE c_custkey < 50")
+@query("SELECT c_custkey, n_nationkey::BIGINT AS n_nationkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def multi_input_layout(spark, sf):
-    """The rows with which two inputs are combined are the question asked, not a sample."""
-    pairs = table(spark, sf, "customer").where("c_custkey < 50").select("c_custkey").crossJoin(table(spark, sf, "nation").select("n_nationkey"))
-    pairs = pairs.select(*(F.concat(F.lit("<"), subject(n, k), F.lit(">")).alias(c) for n, k, c in (("customer", "c_custkey", "in0"), ("nation", "n_nationkey", "in1"))))
+    """Every customer with its own nation: two inputs that belong together."""
+    pairs = table(spark, sf, "customer").select(*(F.concat(F.lit("<"), subject(n, k), F.lit(">")).alias(c) for n, k, c in (("customer", "c_custkey", "in0"), ("nation", "c_nationkey", "in1"))))
     two = {"type": "record", "input": ["customer", "nation"], "fields": {"c_name": field("c_name"), "n_name": {"dataset": [["_:nation", BASE + "n_name", "_:value"]], "value": {"type": "string"}}}}
     layouts, ref = compiled(two)
     out = hydrate(layouts, ref, place_quads(spark, sf), pairs)
@@ -708,3 +709,274 @@ def streaming_dehydrate(spark, sf):
     path = shared_path(spark, "stream")
     quads.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).select("s", "p", "o")
+
+
+def nested_quads(spark, sf):
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    quads = lift(nation, "nation", ["n_nationkey"], ["n_name"]).unionByName(link(nation, "nation", ["n_nationkey"], "inRegion", "region", ["n_regionkey"]))
+    return quads, lift(region, "region", ["r_regionkey"], ["r_name"])
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def streaming_hydrate(spark, sf):
+    """Nations arrive first, their regions in a later batch: a nation's tree is made again when
+    the region that it shows comes in, and the last tree of each is right."""
+    first, later = nested_quads(spark, sf)
+    path = shared_path(spark, "quad-stream")
+    for quads in (first, later):
+        quads.write.mode("append").parquet(f"{path}/in")
+    layouts, ref = compiled(record(n_name=field("n_name", required=True), region={"value": record(r_name=field("r_name")), "property": BASE + "inRegion"}))
+    sink = lambda trees, n: trees.where("status IS NULL").select("in0", "value.n_name", F.col("value.region.r_name").alias("r_name"), F.lit(n).alias("n")).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+    source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    running = hydrate_stream(layouts, ref, source, f"{path}/quads", sink, f"{path}/state")
+    running.processAllAvailable()
+    running.stop()
+    trees_ = spark.read.parquet(f"{path}/out")
+    last = trees_.groupBy("in0").agg(F.max_by(F.struct("n_name", "r_name"), "n").alias("t"))
+    return last.select(key_of().alias("n_nationkey"), "t.n_name", "t.r_name")
+
+
+# Numbers and statuses.
+
+
+_NINES = "repeat('9', CAST(o_orderkey % 45 AS INTEGER) + 1)"
+
+
+@query(f"SELECT o_orderkey, {_NINES} || '.' || repeat('0', CAST(o_custkey % 25 AS INTEGER)) || '1' AS lexical, CASE WHEN o_orderkey % 45 + 1 <= 20 AND o_custkey % 25 + 1 <= 18 THEN 'OK' ELSE 'NUMBER_RANGE' END AS status FROM orders")
+def number_precision(spark, sf):
+    """Numerals of any size: exact as text, and as decimals with a status where a column of
+    the datatype's type can't hold them."""
+    orders = table(spark, sf, "orders")
+    shown = F.concat(F.repeat(F.lit("9"), (F.col("o_orderkey") % 45 + 1).cast("int")), F.lit("."), F.repeat(F.lit("0"), (F.col("o_custkey") % 25).cast("int")), F.lit("1"))
+    quads = orders.select(F.concat(F.lit("<"), subject("order", "o_orderkey"), F.lit(">")).alias("s"), F.lit(term("x")).alias("p"), F.concat(F.lit('"'), shown, F.lit(f'"^^<{XSD}decimal>')).alias("o"), F.lit(None).cast("string").alias("g"))
+    layouts, ref = compiled(record(x=field("x", *DEC)))
+    at = roots(orders, "order", "o_orderkey")
+    exact = hydrate(layouts, ref, quads, at, numbers="text").select("in0", F.col("value.x").alias("lexical"))
+    held = hydrate(layouts, ref, quads, at).select("in0", F.coalesce("status", F.lit("OK")).alias("status"))
+    return exact.join(held, "in0").select(key_of().alias("o_orderkey"), "lexical", "status")
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'OK' ELSE 'MISSING_REQUIRED' END AS status, CASE WHEN c_acctbal > 0 THEN '' ELSE '/who/<{BASE}customer/' || c_custkey || '>/balance' END AS place FROM customer")
+def status_places(spark, sf):
+    """Where in a nested tree a value failed: field, item of a set, field."""
+    customer = table(spark, sf, "customer")
+    quads = rich_quads(spark, sf).unionByName(link(customer, "visit", ["c_custkey"], "by", "customer", ["c_custkey"]))
+    one = record(c_name=field("c_name"), balance=field("balance", *DEC, required=True))
+    everyone = {"type": "set", "item": {"value": one, "property": BASE + "by"}}
+    layouts, ref = compiled(record(who={"intro": [], "value": {"layout": everyone, "input": "_:self"}}))
+    out = hydrate(layouts, ref, quads, roots(customer, "visit", "c_custkey"))
+    return out.select(key_of().alias("c_custkey"), F.coalesce("status", F.lit("OK")).alias("status"), F.coalesce("status_place", F.lit("")).alias("place"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_regionkey = 2 THEN 'INCOMPATIBLE_LAYOUT' ELSE 'OK' END AS status, CASE WHEN n_regionkey = 2 THEN '/names/1' ELSE '' END AS place FROM nation")
+def write_status_places(spark, sf):
+    """The place of a value that can't be written: field, place in the list."""
+    name, other = F.concat(F.lit('"'), F.col("n_name"), F.lit('"')), F.when(F.col("n_regionkey") == 2, F.lit("7")).otherwise(F.lit('"x"'))
+    text = F.concat(F.lit('{"names":['), name, F.lit(","), other, F.lit("]}"))
+    rows = table(spark, sf, "nation").select("n_nationkey", F.parse_json(text).alias("v"))
+    names = {"intro": [], "value": {"layout": {"type": "set", "item": {"value": {"type": "string"}, "property": BASE + "name"}}, "input": "_:self"}}
+    layouts, ref = compiled(record(names=names))
+    out = dehydrate(layouts, ref, rows, ["n_nationkey"], value="v").inputs
+    return out.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), F.coalesce("status", F.lit("OK")).alias("status"), F.coalesce("status_place", F.lit("")).alias("place"))
+
+
+# Formats, options and registries.
+
+
+@query("SELECT 'a1666e5f6e616d65d82a' || printf('%02x', 96 + length(n_name)) || lower(hex(n_name)) AS cbor, n_nationkey::BIGINT AS n_nationkey FROM nation")
+def cbor_tagged(spark, sf):
+    """The bytes of a tagged text in a map."""
+    name = field("n_name")
+    name["value"] = name["value"] | {"extra": {"https://example.org/cbor#tag": 42}}
+    layouts, ref = compiled(record(n_name=name))
+    out = hydrate(layouts, ref, nation_quads(spark, sf), roots(table(spark, sf, "nation"), "nation", "n_nationkey"))
+    return cbor.to_cbor(out, layouts, ref).select(F.lower(F.hex("cbor")).alias("cbor"), key_of("key").alias("n_nationkey"))
+
+
+@query("""SELECT 'a1616b' || CASE WHEN k < 24 THEN printf('%02x', k) WHEN k < 256 THEN '18' || printf('%02x', k) ELSE '19' || printf('%04x', k) END AS cbor, count(*) AS n
+FROM (SELECT json_extract(props, '$.k')::INTEGER AS k FROM events) GROUP BY 1""")
+def cbor_untyped(spark, sf):
+    """JSON documents as CBOR without a layout."""
+    rows = table(spark, sf, "events").select(F.to_json(F.parse_json("props")).alias("json"))
+    return cbor.json_to_cbor(rows).select(F.lower(F.hex("cbor")).alias("cbor")).groupBy("cbor").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT '{' || chr(10) || '  "n_name": "' || n_name || '",' || chr(10) || '  "n_nationkey": ' || n_nationkey || chr(10) || '}' AS json FROM nation""")
+def json_pretty(spark, sf):
+    layouts, ref = compiled(record(n_nationkey=field("n_nationkey", *INT), n_name=field("n_name")))
+    return trees.pretty(hydrate(layouts, ref, nation_quads(spark, sf), roots(table(spark, sf, "nation"), "nation", "n_nationkey"))).select(F.col("value").alias("json"))
+
+
+@query(f"SELECT s || ' ' || p || ' ' || o || ' .' AS line, row_number() OVER (ORDER BY s, p, o) AS place FROM ({_NATION_QUADS})")
+def nquads_ordered(spark, sf):
+    """The ordered sink: its files in the order of their names are one sorted sequence."""
+    path = shared_path(spark, "nquads-ordered")
+    nquads.write_nquads(nation_quads(spark, sf), path, ordered=True)
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    place = F.row_number().over(Window.orderBy("file", "id"))
+    return lines.select("line", place.cast("bigint").alias("place"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, 1::BIGINT AS matches FROM nation")
+def empty_pattern(spark, sf):
+    """A pattern without quads matches each frame once, with no new variable."""
+    frames = roots(table(spark, sf, "nation"), "nation", "n_nationkey").select(F.lit("").alias(GRAPH), F.col("in0").alias("_0"))
+    return match(placed(spark, sf), frames, ()).groupBy(key_of("_0").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'OK' ELSE 'INCOMPATIBLE_LAYOUT' END AS status FROM part")
+def tree_constants(spark, sf):
+    """A constant that is a tree equals values of the same JSON."""
+    shown = F.when(F.col("p_size") % 2 == 0, F.lit('{"b": [1, null],  "a": "x"}')).otherwise(F.lit('{"a":"x","b":[null,1]}'))
+    rows = table(spark, sf, "part").select("p_partkey", F.parse_json(shown).alias("v"))
+    layouts, ref = compiled({"type": "unit", "const": {"a": "x", "b": [1, None]}})
+    return dehydrate(layouts, ref, rows, ["p_partkey"], value="v").inputs.select("p_partkey", F.coalesce("status", F.lit("OK")).alias("status"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def registry_union(spark, sf):
+    """A layout of one registry calls one of another."""
+    near, far = Layouts(), Layouts()
+    far.add({"id": BASE + "Region"} | record(r_name=field("r_name")))
+    ref = near.add(record(n_name=field("n_name"), region={"value": BASE + "Region", "property": BASE + "inRegion"}))
+    out = hydrate(near.chain(far).chain(prelude()), ref, place_quads(spark, sf), roots(table(spark, sf, "nation"), "nation", "n_nationkey"))
+    return out.select(key_of().alias("n_nationkey"), "value.n_name", F.col("value.region.r_name").alias("r_name"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name || '/' || n_regionkey AS names FROM nation")
+def layout_files(spark, sf):
+    """Layouts loaded from files that refer to each other, and the order of their references."""
+    folder = shared_path(spark, "layouts")
+    documents = {"a.json": {"id": BASE + "File"} | {"type": "tuple", "items": [{"value": BASE + "Name", "property": BASE + "n_name"}, {"value": {"type": "number", "datatype": XSD + "int"}, "property": BASE + "n_regionkey"}]}, "b.json": {"id": BASE + "Name", "type": "string"}}
+    for name, document in documents.items():
+        fs, file = file_system(spark, f"{folder}/{name}")
+        stream = fs.create(file)
+        stream.write(bytearray(json.dumps(document).encode()))
+        stream.close()
+    texts = {r.file.rsplit("/", 1)[1]: r.value for r in spark.read.option("wholetext", True).text(folder).select(F.input_file_name().alias("file"), "value").collect()}
+    layouts = Layouts()
+    refs = [layouts.add(texts[name]) for name in sorted(texts)]
+    assert layouts.dependencies(refs[0])[0] == refs[1]
+    out = hydrate(layouts.chain(prelude()), refs[0], nation_quads(spark, sf), roots(table(spark, sf, "nation"), "nation", "n_nationkey"))
+    return out.select(key_of().alias("n_nationkey"), F.concat_ws("/", "value._0", F.col("value._1").cast("string")).alias("names"))
+
+
+@query("SELECT 25::BIGINT AS nodes, 0::BIGINT AS shared, 25::BIGINT AS again")
+def skolem_prefixes(spark, sf):
+    """Blank nodes are named by prefix, key and place: as often as they are made."""
+    rows = table(spark, sf, "nation").select("n_nationkey", F.struct("n_name").alias("v"))
+    layouts, ref = compiled(record(n_name=field("n_name")))
+    one, two, again = (dehydrate(layouts, ref, rows, ["n_nationkey"], value="v", skolem_prefix=x).quads.select("s") for x in ("a", "b", "a"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(one, "nodes").crossJoin(count(one.join(two, "s"), "shared")).crossJoin(count(one.join(again, "s"), "again"))
+
+
+def _case(run: Callable[[], Any]) -> str:
+    try:
+        return str(run())
+    except ValueError as e:
+        return f"error: {str(e).split(': ')[-1]}" if not str(e).isupper() else str(e)
+
+
+def cases(spark: SparkSession, rows: list[tuple[str, Callable[[], Any]]]) -> DataFrame:
+    """(name, result) of what the driver works out when a layout is compiled."""
+    return spark.createDataFrame([(name, _case(run)) for name, run in rows], "name string, result string")
+
+
+def values_sql(rows: list[tuple[str, str]]) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rows) + ") AS t(name, result)"
+
+
+@query(values_sql([("fraction 3/8", "0.375"), ("fraction -7/20", "-0.35"), ("fraction 10/4", "2.5"), ("fraction 5/12", "None"), ("fraction 0/3", "0"), ("fraction 1/1024", "0.0009765625")]))
+def decimal_expansions(spark, sf):
+    from shapeloom.functions.values import decimal_digits
+
+    return cases(spark, [(f"fraction {n}/{d}", lambda n=n, d=d: decimal_digits(n, d)) for n, d in ((3, 8), (-7, 20), (10, 4), (5, 12), (0, 3), (1, 1024))])
+
+
+@query(values_sql([("t:x", "http://terms.test/x"), ("urn:isbn:1", "urn:isbn:1"), ("leaf", "http://host.test/dir/leaf"), ("../up", "http://host.test/up"), ("#part", "http://host.test/dir/file#part"), ("//other.test/y", "http://other.test/y")]))
+def iri_resolution(spark, sf):
+    return cases(spark, [(x, lambda x=x: resolve(x, "http://host.test/dir/file", {"t": "http://terms.test/"})) for x in ("t:x", "urn:isbn:1", "leaf", "../up", "#part", "//other.test/y")])
+
+
+@query(values_sql([("_:b1", "_:b1"), ("http://host.test/a", "<http://host.test/a>"), ("<http://host.test/a>", "<http://host.test/a>"), ('"text"@en', '"text"@en'), ("not an iri", "error: 'not an iri'")]))
+def written_terms(spark, sf):
+    return cases(spark, [(x, lambda x=x: parse_term(x)) for x in ("_:b1", "http://host.test/a", "<http://host.test/a>", '"text"@en', "not an iri")])
+
+
+@query(values_sql([("part size", "PartSize"), ("n-nation_key", "NNationKey"), ("9 lives", "_9Lives"), ("already", "Already")]))
+def type_names(spark, sf):
+    return cases(spark, [(x, lambda x=x: type_name(x)) for x in ("part size", "n-nation_key", "9 lives", "already")])
+
+
+@query(values_sql([("[5-70-2]", "[0-25-7]"), ("q|[r]", "q|r"), (r"\t{", r"\t{"), ("(m|)n", "(m|)n"), ("k(st)", "kst"), ("[^-^]", r"[^\-\^]")]))
+def regexp_forms(spark, sf):
+    """Expressions simplified and shown in their own dialect."""
+    return cases(spark, [(x, lambda x=x: regexp.show(regexp.parse(x))) for x in ("[5-70-2]", "q|[r]", r"\t{", "(m|)n", "k(st)", "[^-^]")])
+
+
+def _refusals() -> list[tuple[str, Callable[[], Any]]]:
+    def add(document: Any) -> Callable[[], Any]:
+        return lambda: Layouts().add(document)
+
+    def called(n: int) -> Callable[[], Any]:
+        layouts, ref = compiled({"id": BASE + "One", "type": "string"})
+        return lambda: layouts.call(Call(ref, tuple(range(n))))
+
+    return [
+        ("union", add({"type": "union"})),
+        ("intersection", add({"type": "intersection"})),
+        ("variable name", add({"type": "string", "input": "9a"})),
+        ("no input", called(0)),
+        ("two inputs", called(2)),
+        ("unknown layout", lambda: Layouts()["<http://host.test/none>"]),
+    ]
+
+
+@query(values_sql([(x, "refused") for x in ("union", "intersection", "variable name", "no input", "two inputs", "unknown layout")]))
+def refused_layouts(spark, sf):
+    """Layouts and calls that are refused before any data is read."""
+
+    def outcome(run: Callable[[], Any]) -> str:
+        try:
+            run()
+        except ValueError:
+            return "refused"
+        return "accepted"
+
+    return cases(spark, [(name, lambda run=run: outcome(run)) for name, run in _refusals()])
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, 'shown as a heading' AS hint FROM nation")
+def extra_properties(spark, sf):
+    """What a layout says beside its meaning is kept with it and changes no result."""
+    heading = "https://example.org/hint"
+    layouts, ref = compiled({"extra": {heading: "shown as a heading"}} | record(n_name=field("n_name")))
+    out = hydrate(layouts, ref, nation_quads(spark, sf), roots(table(spark, sf, "nation"), "nation", "n_nationkey"))
+    return out.select(key_of().alias("n_nationkey"), "value.n_name", F.lit(str(dict(layouts[ref].extra)[f"<{heading}>"] if f"<{heading}>" in dict(layouts[ref].extra) else dict(layouts[ref].extra)[heading])).alias("hint"))
+
+
+@layout("set", prefixes={"ex": BASE}, id="ex:Segments")
+class Segments:
+    segment: str = prop("ex:c_mktsegment")
+
+
+@layout("unit", prefixes={"ex": BASE}, const="here", dataset=[["_:self", "ex:inRegion", "ex:region/1"]])
+class InRegionOne: ...
+
+
+@query("SELECT c_custkey, c_mktsegment AS segments FROM customer")
+def class_of_a_set(spark, sf):
+    """A class that is a set of its own."""
+    layouts, ref = compiled(Segments.layout)
+    customer = table(spark, sf, "customer")
+    out = hydrate(layouts, ref, lift(customer, "customer", ["c_custkey"], ["c_mktsegment"]), roots(customer, "customer", "c_custkey"))
+    return out.select(key_of().alias("c_custkey"), F.array_join("value", "|").alias("segments"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, 'here' AS value FROM nation WHERE n_regionkey = 1")
+def class_of_a_unit(spark, sf):
+    layouts, ref = compiled(InRegionOne.layout)
+    out = hydrate(layouts, ref, place_quads(spark, sf), roots(table(spark, sf, "nation"), "nation", "n_nationkey"), mode="dropmalformed")
+    return out.select(key_of().alias("n_nationkey"), "value")

@@ -86,3 +86,38 @@ def test_hydrate_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [json.loads(x) for x in seen] == [{"id": "http://ex.test/a", "name": "Ann"}]
+
+
+def test_hydrate_stream_makes_parents_again(spark, tmp_path):
+    layouts = Layouts()
+    name = {"value": {"type": "string"}, "property": "http://ex.test/name"}
+    leaf = {"type": "record", "fields": {"name": name}}
+    ref = layouts.add({"type": "record", "fields": {"name": name, "part": {"value": {"type": "record", "fields": {"part": {"value": leaf, "property": "http://ex.test/part"}}}, "property": "http://ex.test/part"}}})
+    schema = "s string, p string, o string, g string"
+    batches = [
+        [("_:a", "<http://ex.test/name>", '"A"', None), ("_:a", "<http://ex.test/part>", "_:b", None), ("_:b", "<http://ex.test/part>", "_:c", None), ("_:c", "<http://ex.test/part>", "_:a", None)],
+        [("_:c", "<http://ex.test/name>", '"C"', None)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = {}
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = hydrate_stream(layouts, ref, source, str(tmp_path / "quads"), lambda df, n: seen.update({n: {r.in0: r.json for r in df.collect()}}), str(tmp_path / "state"))
+    query.processAllAvailable()
+    query.stop()
+    assert json.loads(seen[1]["_:a"]) == {"name": "A", "part": {"part": {"name": "C"}}}
+    assert set(seen[1]) == {"_:a", "_:b", "_:c"}  # all that lead to the changed node, round a cycle too
+
+
+def test_cli_writes_cbor_files(spark, tmp_path, monkeypatch):
+    import io
+
+    from shapeloom.sources import cbor
+
+    (tmp_path / "t.json").write_text('{"a": [1, "x"]}')
+    assert cli.main(["convert", "tree", "-o", "cbor", "--from", str(tmp_path / "t.json"), "--to", str(tmp_path / "out")], spark) == 0
+    (file,) = (tmp_path / "out").glob("*.cbor")
+    assert cbor.decode(file.read_bytes()) == {"a": [1, "x"]}
+    monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": io.BytesIO(b'<http://ex.test/a> <http://ex.test/name> "Ann" .\n')}))
+    (tmp_path / "l.json").write_text(json.dumps(LAYOUT))
+    assert cli.main([str(tmp_path / "l.json"), "hydrate", "http://ex.test/a"], spark) == 0

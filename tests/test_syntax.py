@@ -99,11 +99,33 @@ def test_singletons():
     assert [regexp.singleton(regexp.parse(x)) for x in ("abc", "a|a", "[a]b", "a|b", "a?", "")] == ["abc", "a", "ab", None, None, ""]
 
 
-def test_shown_regexps():
-    pairs = (("x*", "x*"), ("x\\*", "x\\*"), ("[zyx]", "[x-z]"), ("[^zyx]", "[^x-z]"), ("(xyz)|uv", "xyz|uv"), ("(x|y)?", "(x|y)?"), ("[K-Mk-m0-23]", "[0-3K-Mk-m]"), ("[x|y]", "[xy\\|]"))
-    for source, shown in pairs:
-        assert regexp.show(regexp.parse(source)) == shown
-        assert regexp.show(regexp.parse(shown)) == shown
+@pytest.mark.parametrize(
+    ("source", "shown"),
+    [
+        (r"\n\t\e", r"\n\t\e"),  # control characters by their letters
+        (r"\{\.", "{."),  # characters without a meaning need no escape
+        (r"\(\)\\", r"\(\)\\"),
+        ("p+q*", "((p+)q)*"),  # a repetition takes all before it
+        ("(hi)(jk)", "hijk"),
+        ("g|(h|i)|g", "g|h|i"),
+        ("w(|v)", "w(|v)"),  # an empty alternative
+        ("[r-tq]", "[q-t]"),
+        ("[86-97]", "[6-9]"),
+        ("[^54]", "[^45]"),
+        (r"[\-\]z]", r"[\-\]z]"),
+        ("[y]", "y"),
+        ("[^]", "[^]"),  # any character
+    ],
+)
+def test_regexps_in_their_own_words(source, shown):
+    assert regexp.show(regexp.parse(source)) == shown
+    assert regexp.show(regexp.parse(shown)) == shown
+
+
+def test_large_sets_are_shown_by_their_complement():
+    tree = ("class", False, (("\0", "/"), (":", "\U0010ffff")))
+    assert regexp.show(tree) == "[^0-9]"
+    assert regexp.simplified(regexp.parse(regexp.show(tree))) == ("class", True, (("0", "9"),))
 
 
 @given(st.text(alphabet="ab|()*+?[]^-\\", max_size=12))
@@ -121,7 +143,7 @@ def test_shown_regexps_mean_the_same(source):
 
 
 def test_decimal_digits():
-    assert [decimal_digits(1, n) for n in range(1, 10)] == ["1", "0.5", None, "0.25", "0.2", None, None, "0.125", None]
+    assert [decimal_digits(7, n) for n in (16, 25, 30, 7, 14, -50)] == ["0.4375", "0.28", None, "1", "0.5", "-0.14"]
     assert (decimal_digits(-3, 2), decimal_digits(0, 5), decimal_digits(7, -1)) == ("-1.5", "0", "-7")
 
 
@@ -184,6 +206,26 @@ def test_schema():
     assert person["properties"]["friends"] == {"type": "array", "items": {"type": "string", "format": "iri"}}
 
 
+def test_classes_of_their_own_kind():
+    @layout("list", prefixes={"ex": "http://ex.test/"}, head="_:self", tail="ex:end")
+    class Steps:
+        step: str = prop(head="here", rest="there", intro="x", input="_:x", dataset=[["_:here", "ex:does", "_:x"], ["_:here", "ex:then", "_:there"]])
+
+    @layout("string", prefixes={"ex": "http://ex.test/"}, datatype="ex:Code", pattern="[A-Z]", resource="_:self")
+    class Code: ...
+
+    layouts = Layouts()
+    steps, code = layouts[layouts.add(Steps.layout)], layouts[layouts.add(Code.layout)]
+    assert steps.tail == "<http://ex.test/end>" and [q[1] for q in steps.node.dataset] == ["<http://ex.test/does>", "<http://ex.test/then>"]
+    assert code.datatype == "http://ex.test/Code" and code.pattern == "[A-Z]"
+    with pytest.raises(LayoutError, match="one annotation"):
+
+        @layout("set")
+        class Two:
+            a: str = prop("http://ex.test/a")
+            b: str = prop("http://ex.test/b")
+
+
 def test_type_names():
     assert [type_name(x) for x in ("my-layout name", "a", "2x")] == ["MyLayoutName", "A", "_2x"]
 
