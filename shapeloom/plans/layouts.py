@@ -7,6 +7,8 @@ A pattern is a variable's number or a term in canonical form.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from dataclasses import dataclass, field
 from typing import Any
@@ -141,16 +143,21 @@ class Layouts:
     table: dict[str, Layout] = field(default_factory=dict)
     behind: Layouts | None = None
     fresh: int = 0
+    #: A digest of the document that is added now: anonymous layouts of two registries that are
+    #: chained have different names unless they are the same.
+    space: str = ""
 
     def add(self, source: Any) -> str:
         """Builds a layout (JSON text, or what it parses to) and returns its reference."""
         from shapeloom.plans.syntax import build
 
+        shown = source if isinstance(source, str) else json.dumps(source, sort_keys=True, default=str)
+        self.space = hashlib.sha256(shown.encode()).hexdigest()[:12]
         return build(source, self)
 
     def new_id(self) -> str:
         self.fresh += 1
-        return f"_:layout{self.fresh}"
+        return f"_:layout{self.fresh}-{self.space}"
 
     def insert(self, layout: Layout) -> None:
         if layout.id in self.table:
