@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns
 the rows that stay with the columns of ``docs`` (the last one the digests of their ids). Its
 result is written as Parquet and reread as the next one's ``docs``.
+
+In all stages: ``docs`` may have further columns of any name, which stay; an empty table gives
+an empty one; rows are told apart by id and text, so repeated and null ids are no harm.
 """
 
 from __future__ import annotations
@@ -16,11 +19,13 @@ from shapeloom.llm.decontaminate import keep_clean
 from shapeloom.llm.ids import LAST
 from shapeloom.llm.language_model import held_out
 from shapeloom.llm.runs import halves
-from shapeloom.shared import delete, free_name, shared_path, stored
+from shapeloom.shared import delete, free_name, shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at its threshold or above."""
+    """Documents that the classifier scores at its threshold or above. Null and empty texts
+    have the score of the share of good labels; without labelled rows every score is 0.5, below
+    the threshold, so nothing stays; repeated rows are judged alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"), 4, 2))
     model = quality_knn.fit(docs, labels)
     score = free_name(docs, "score")
@@ -29,13 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest id (one of several with that id)."""
+    """Of equal texts, the row with the smallest id (one of several with that id). Null counts
+    as empty, and empty texts are equal; a null id counts as larger than all others, and texts
+    of blanks only are equal to one blank."""
     index = exact_dedup.DigestIndex(spark, shared_path(spark, "digest-index"))
     found = exact_dedup.exact_dedup(halves(docs), index)
     index.drop()
     d, h = free_name(docs, "_d"), free_name(docs, "_h")
-    kept = found.where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias(d), F.col("text_sha256").alias(h)).distinct()
-    rows = docs.withColumns({d: F.coalesce("doc_id", F.lit(-1)), h: exact_dedup.digest(F.col("text"))})
+    shown = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    kept = found.where("kept").select(shown.alias(d), F.col("text_sha256").alias(h)).distinct()
+    rows = docs.withColumns({d: shown, h: exact_dedup.digest(F.col("text"))})
     return rows.join(kept.hint("merge"), [d, h], "left_semi").dropDuplicates([d, h]).select(*docs.columns)
 
 
@@ -57,12 +65,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of any benchmark item occurs: one leaked passage is enough."""
+    """Documents in which no window of any benchmark item occurs: one leaked passage is enough.
+    Null, empty and wordless texts have none and stay; an empty benchmark drops nothing."""
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=1)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids of each document that stayed, and of their decoded text."""
+    """Digests of the ids of each document that stayed, and of their decoded text, one row a row
+    of ``docs``; null and empty texts have no ids."""
     return sentencepiece_fst.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -80,9 +90,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
 
 

@@ -59,6 +59,8 @@ PACK = 1 << 20
 BUCKET = 500_000
 #: Shingles of a block of a family.
 BLOCK_SHINGLES = 1_000_000
+#: Parts of the universe in which shingles are counted before pairs are compared.
+PARTS = 64
 #: Sets of a segment that are paired one by one.
 LIGHT = 16
 
@@ -392,8 +394,8 @@ def allocate(found: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
-    """(c, n, w, x): the shingles of the classes (c, d), from the text of document d, and their
-    second hashes."""
+    """(c, n, w, x, counts): the shingles of the classes (c, d), from the text of document d, their
+    second hashes, and how many of them fall in each of ``PARTS`` parts of the universe."""
 
     def run(batches):
         for batch in chunked(batches):
@@ -401,21 +403,27 @@ def sets_of(docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
             sizes = np.bincount(doc, minlength=batch.num_rows)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             same = class_ids(doc, w, len(sizes), seed) == np.asarray(batch.column(1))  # of documents with one id, the right one
-            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(v.view(np.int64))) for v in (w, x))], ["c", "n", "w", "x"])
+            counts = np.bincount(doc * PARTS + (w >> np.uint64(32)).astype(np.int64) % PARTS, minlength=len(sizes) * PARTS).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array((np.arange(len(sizes) + 1) * PARTS).astype(np.int32)), pa.array(counts))
+            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(v.view(np.int64))) for v in (w, x)), parts], ["c", "n", "w", "x", "counts"])
             yield out.filter(pa.array(same))
 
     texts = docs.select("d", "text").join(classes.select("d", "c").hint("merge"), "d").select("text", "c")
-    return texts.mapInArrow(run, "c long, n long, w array<long>, x array<long>").dropDuplicates(["c"])
+    return texts.mapInArrow(run, "c long, n long, w array<long>, x array<long>, counts array<int>").dropDuplicates(["c"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes that are similar enough. Shingles are equal if both of
-    their hashes are, so the fewer common ones count."""
-    a = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("x").alias("xa"))
-    b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("x").alias("xb"))
-    both = pairs.join(b.select("b", "nb").hint("merge"), "b").join(a.hint("merge"), "a").where((F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3))
-    both = both.join(b.drop("nb").hint("merge"), "b")
+    their hashes are, so the fewer common ones count.
+
+    Sets are sent only for pairs that may be: two sets have no more shingles in common than the
+    smaller of their numbers in each part of the universe."""
+    a = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("x").alias("xa"), F.col("counts").alias("pa"))
+    b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("x").alias("xb"), F.col("counts").alias("pb"))
     enough = lambda common: common * WHOLE >= (F.col("na") + F.col("nb") - common) * SHARE
+    most = F.aggregate(F.zip_with("pa", "pb", F.least), F.lit(0), lambda acc, x: acc + x)
+    able = pairs.join(b.select("b", "nb", "pb").hint("merge"), "b").join(a.select("a", "na", "pa").hint("merge"), "a").where(enough(most)).select("a", "b", "na", "nb")
+    both = stored(able, "jaccard-able").join(a.select("a", "wa", "xa").hint("merge"), "a").join(b.select("b", "wb", "xb").hint("merge"), "b")
     return both.where(enough(F.size(F.array_intersect("wa", "wb")))).where(enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
 
 
@@ -471,7 +479,7 @@ def links_between(live: DataFrame, roots: DataFrame, sets: DataFrame, block_shin
     family = components(stars).withColumnRenamed("root", "family")
     nodes = rest.groupBy("v").agg(F.max("probe").alias("probe"), F.min("below").alias("below"), *(F.first(x).alias(x) for x in ("c", "n", "root")))
     nodes = stored(nodes.join(family.hint("merge"), "v"), "jaccard-nodes", small=True)
-    blocks = nodes.groupBy("family").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    blocks = stored(nodes.groupBy("family").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks")), "jaccard-blocks", small=True)
     block, other = F.pmod(F.xxhash64("c"), "blocks").cast("int"), F.col("other")
     dealt = nodes.join(blocks.hint("merge"), "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), "block", "c", "root", "probe", "below")
@@ -546,9 +554,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first = first.unionByName(more).distinct()
         wanted = wanted.unionByName(more.select(F.col("a").alias("c"))).unionByName(more.select(F.col("b").alias("c"))).distinct()
     sets = stored(sets_of(rows, classes.select("c", "d").join(wanted.hint("merge"), "c"), seed), "jaccard-sets")
-    links = stored(verify(first, sets), "jaccard-links", small=True)
+    links = stored(verify(first, sets), "jaccard-links")
     roots = components(links)
-    more = stored(links_between(live, roots, sets, block_shingles), "jaccard-more", small=True)
+    more = stored(links_between(live, roots, sets, block_shingles), "jaccard-more")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     named = known.select("id", "n", "c", "d", *keep).join(roots.select(F.col("v").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shapeloom.llm.ids import is_whole
 from shapeloom.shared import delete, file_system
 
 
@@ -114,7 +115,10 @@ class RunStore:
 
 
 def halves(docs: DataFrame, id_col: str = "doc_id") -> list[DataFrame]:
-    """``docs`` as two batches: ids up to the middle one, then the larger ones and null."""
+    """``docs`` as two batches: ids up to the middle one, then the larger ones and null. Ids that
+    are no integers make one batch."""
+    if not is_whole(docs, id_col):
+        return [docs]
     cut = docs.agg(F.percentile_approx(id_col, 0.5)).first()[0]
     if cut is None:
         return [docs]

@@ -519,7 +519,7 @@ def test_second_names_decide(spark):
     """Two different shingles of one hash don't make a link."""
     from shapeloom.llm.jaccard_join import verify
 
-    sets = spark.createDataFrame([(1, 4, [1, 2, 3, 4], [11, 12, 13, 14]), (2, 4, [1, 2, 3, 4], [11, 12, 93, 94]), (3, 4, [1, 2, 3, 4], [11, 12, 13, 14])], "c long, n long, w array<long>, x array<long>")
+    sets = spark.createDataFrame([(1, 4, [1, 2, 3, 4], [11, 12, 13, 14]), (2, 4, [1, 2, 3, 4], [11, 12, 93, 94]), (3, 4, [1, 2, 3, 4], [11, 12, 13, 14])], "c long, n long, w array<long>, x array<long>").withColumn("counts", F.array(F.lit(4)))
     pairs = spark.createDataFrame([(2, 1), (3, 1)], "a long, b long")
     assert [tuple(r) for r in verify(pairs, sets).collect()] == [(3, 1)]
 

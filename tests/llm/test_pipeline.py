@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from shapeloom.shared import stored
 from tests.conftest import DATA
 from tests.llm.test_cases import brute_components
 
@@ -17,7 +18,7 @@ def test_stages(spark, duck):
     windows = [{tuple(w[i : i + 8]) for i in range(max(1, len(w) - 7))} for w in bench if w]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before = {r.doc_id: r.text for r in docs.collect()}
-        after = corpus_pipeline.stored(stage(spark, docs, DATA), "test-stage")
+        after = stored(stage(spark, docs, DATA), "test-stage")
         kept = {r.doc_id for r in after.collect()}
         assert after.count() == len(kept) and kept <= set(before)
         if k == 0:
@@ -63,7 +64,7 @@ def test_stages_on_odd_rows(spark, clash):
         "n-gram Jaccard join": [(1, None), (2, "a b c"), (3, " \t\n"), (4, LONG), (5, "other words of one id")],
     }
     for name, stage in corpus_pipeline.STAGES[1:4]:
-        out = corpus_pipeline.stored(stage(spark, docs, DATA), "test-stage")
+        out = stored(stage(spark, docs, DATA), "test-stage")
         assert out.columns == docs.columns
         docs = out
         assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want.get(name, want["n-gram Jaccard join"]), key=str)
