@@ -237,7 +237,8 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame
     texts = stored(texts.where("text IS NOT NULL").join(wanted.hint("merge"), "d").select("d", F.sha2(words.cast("binary"), 256).alias("digest"), "text", "fs"), "window-texts")
     hits = resolve(contexts(texts)).groupBy("d", "digest").agg(F.collect_list(F.struct("at", "bits")).alias("hits"))
     cut = cut_out(texts.select("d", "digest", "text").join(hits.hint("merge"), ["d", "digest"])).dropDuplicates(["d", "digest"])
-    first = known.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("d").alias("first"))
+    # Stored, so that the join below has two shuffles and Spark can split a text of many copies.
+    first = stored(known.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("d").alias("first")), "window-firsts", small=True)
     out = known.drop("prints").join(first.hint("merge"), "digest", "left").join(cut.hint("merge"), ["d", "digest"], "left")
     copy = F.col("d") > F.col("first")
     index.store.settle()
