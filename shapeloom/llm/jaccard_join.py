@@ -421,7 +421,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("x").alias("xa"), F.col("counts").alias("pa"))
     b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("x").alias("xb"), F.col("counts").alias("pb"))
     enough = lambda common: common * WHOLE >= (F.col("na") + F.col("nb") - common) * SHARE
-    most = F.aggregate(F.zip_with("pa", "pb", F.least), F.lit(0), lambda acc, x: acc + x)
+    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
     able = pairs.join(b.select("b", "nb", "pb").hint("merge"), "b").join(a.select("a", "na", "pa").hint("merge"), "a").where(enough(most)).select("a", "b", "na", "nb")
     both = stored(able, "jaccard-able").join(a.select("a", "wa", "xa").hint("merge"), "a").join(b.select("b", "wb", "xb").hint("merge"), "b")
     return both.where(enough(F.size(F.array_intersect("wa", "wb")))).where(enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
