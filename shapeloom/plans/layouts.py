@@ -7,10 +7,8 @@ A pattern is a variable's number or a term in canonical form.
 
 from __future__ import annotations
 
-import hashlib
-import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
 from shapeloom.functions.terms import XSD
@@ -136,6 +134,21 @@ class LayoutError(ValueError):
     """A layout can't be built or found."""
 
 
+ANONYMOUS = "_:layout"
+
+
+def _renamed(x: Any, names: dict[str, str]) -> Any:
+    """A layout, or a piece of one, with other names of layouts."""
+    if isinstance(x, tuple):
+        return tuple(_renamed(y, names) for y in x)
+    if isinstance(x, Call):
+        return replace(x, ref=names.get(x.ref, x.ref))
+    if not is_dataclass(x):
+        return x
+    own = {f.name: _renamed(getattr(x, f.name), names) for f in fields(x)}
+    return replace(x, **own | ({"id": names.get(x.id, x.id)} if isinstance(x, Layout) else {}))
+
+
 @dataclass
 class Layouts:
     """A registry; ``chain`` puts another one behind it, whose definitions come second."""
@@ -143,21 +156,16 @@ class Layouts:
     table: dict[str, Layout] = field(default_factory=dict)
     behind: Layouts | None = None
     fresh: int = 0
-    #: A digest of the document that is added now: anonymous layouts of two registries that are
-    #: chained have different names unless they are the same.
-    space: str = ""
 
     def add(self, source: Any) -> str:
         """Builds a layout (JSON text, or what it parses to) and returns its reference."""
         from shapeloom.plans.syntax import build
 
-        shown = source if isinstance(source, str) else json.dumps(source, sort_keys=True, default=str)
-        self.space = hashlib.sha256(shown.encode()).hexdigest()[:12]
         return build(source, self)
 
     def new_id(self) -> str:
         self.fresh += 1
-        return f"_:layout{self.fresh}-{self.space}"
+        return f"{ANONYMOUS}{self.fresh}"
 
     def insert(self, layout: Layout) -> None:
         if layout.id in self.table:
@@ -165,7 +173,15 @@ class Layouts:
         self.table[layout.id] = layout
 
     def chain(self, other: Layouts) -> Layouts:
-        return Layouts(self.table, other if self.behind is None else self.behind.chain(other), self.fresh)
+        """Anonymous layouts of ``other`` whose names this registry has too get new ones."""
+        taken = [i for i in other.table if i.startswith(ANONYMOUS) and i in self]
+        fresh = max(self.fresh, other.fresh)
+        if taken:
+            names = {i: f"{ANONYMOUS}{fresh + k}" for k, i in enumerate(taken, 1)}
+            table = {names.get(i, i): _renamed(x, names) for i, x in other.table.items()}
+            fresh += len(taken)
+            other = Layouts(table, other.behind, fresh)
+        return Layouts(self.table, other if self.behind is None else self.behind.chain(other), fresh)
 
     def __contains__(self, ref: str) -> bool:
         return ref in self.table or self.behind is not None and ref in self.behind
