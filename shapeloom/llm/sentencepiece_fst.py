@@ -50,7 +50,7 @@ SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-INF, NEW = float("inf"), float("nan")
+INF = float("inf")
 #: The piece of a fallback, and the state behind it and at the start.
 BYTES = -1
 #: Weight of a byte fallback beside log probabilities.
@@ -106,27 +106,27 @@ class Normaliser:
 
 
 class Pieces:
-    """A trie from characters to piece ids, with byte fallback."""
+    """A trie from characters to piece ids, with byte fallback. A node has its children, the
+    piece that ends there, if any, and its weight."""
 
     def __init__(self, ids: dict[str, int], weight: dict[int, float]):
-        self.weight, self.trie = weight, {}
+        self.root: list = [{}, None, 0.0]
+        self.longest = max(map(len, ids), default=1)
         for p, i in ids.items():
-            node = self.trie
+            node = self.root
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[0].setdefault(c, [{}, None, 0.0])
+            node[1:] = i, weight[i]
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int, float]]:
         """(place, piece, weight) of the arcs from a place; the piece ``BYTES`` is the fallback."""
-        node, out, j = self.trie, [], at
-        while j < len(text):
-            node = node.get(text[j])
+        node, out = self.root, []
+        for j, c in enumerate(text[at : at + self.longest], at + 1):
+            node = node[0].get(c)
             if node is None:
                 break
-            j += 1
-            piece = node.get("")
-            if piece is not None:
-                out.append((j, piece, self.weight[piece]))
+            if node[1] is not None:
+                out.append((j, node[1], node[2]))
         if not out or out[0][0] != at + 1:
             out.append((at + 1, BYTES, FALLBACK))
         return out
@@ -226,35 +226,39 @@ class Transducer:
         if self.bpe and SPACE * 2 in unit:
             return self._ids(self.neighbours.merge_blanks(unit))
         n, arcs, neighbours = len(unit), self.machine.arcs, self.neighbours
+        known = neighbours.known if neighbours is not None else {}
         # Of each place the states that are reached: weight, the place and the state before.
-        reached: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        reached[0][BYTES] = 0.0, 0, BYTES
+        reached: list[dict[int, tuple[float, int, int]] | None] = [None] * (n + 1)
+        reached[0] = {BYTES: (0.0, 0, BYTES)}
         for i in range(n):
             here = reached[i]
-            if not here:
+            if here is None:
                 continue
             out = arcs(unit, i)
             for state, (so_far, _, _) in here.items():
                 for j, piece, weight in out:
-                    total = so_far + weight
+                    total, last = so_far + weight, BYTES
                     if neighbours is not None:
-                        total += neighbours.known.get(state << 20 | piece, NEW) if state >= 0 <= piece else 0.0
-                        if total != total:
-                            total = so_far + weight + neighbours.weight(state, piece)
-                    if total < INF:
-                        there, last = reached[j], piece if neighbours is not None else BYTES
-                        old = there.get(last)
-                        if old is None or total < old[0]:
-                            there[last] = total, i, state if neighbours is not None else piece
+                        last = piece
+                        if state >= 0:
+                            more = known.get(state << 20 | piece)
+                            total += neighbours.weight(state, piece) if more is None else more
+                            if total == INF:
+                                continue
+                    there = reached[j]
+                    if there is None:
+                        reached[j] = {last: (total, i, state)}
+                    elif last not in there or total < there[last][0]:
+                        there[last] = total, i, state
         return self._ids(self._back(unit, reached))
 
-    def _back(self, unit: str, reached: list[dict[int, tuple[float, int, int]]]) -> list[str]:
+    def _back(self, unit: str, reached: list[dict[int, tuple[float, int, int]] | None]) -> list[str]:
         out, j = [], len(unit)
-        state = min(reached[j], key=lambda q: reached[j][q][0]) if j else BYTES
+        state = min(reached[j], key=lambda q: reached[j][q][0])
         while j:
-            _, i, before = reached[j][state]
+            _, i, state = reached[j][state]
             out.append(unit[i:j])
-            j, state = i, before if self.neighbours is not None else BYTES
+            j = i
         return out[::-1]
 
     def _ids(self, parts: list[str]) -> list[int]:
