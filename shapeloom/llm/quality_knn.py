@@ -33,6 +33,8 @@ from shapeloom.llm.words import BLANK, Words, chunked, mix, owner, text_bytes
 SHAPES, WORDS = 1024, 1024
 TERMS = SHAPES + WORDS
 WORD_WEIGHT = 0.5
+#: Rows whose terms are held at once.
+SLICE = 1024
 RANK = 64
 SAMPLE = 4000
 NEIGHBOURS = 32
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     kind = rows.schema["id"].dataType.simpleString()
 
     def vectors(batches):
-        for batch in chunked(batches):
+        for batch in chunked(batches, rows=SLICE):
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary()), batch.column(2)], ["id", "v", "y"])
 
@@ -151,7 +153,7 @@ def score_quality(docs: DataFrame, model: NeighbourVote, text_col: str = "text",
     place = out.columns.index(score_col)
 
     def score(batches):
-        for batch in chunked(batches, text_col):
+        for batch in chunked(batches, text_col, rows=SLICE):
             s = shared.value.score(features(batch.column(batch.schema.get_field_index(text_col))))
             yield pa.RecordBatch.from_arrays([pa.array(s) if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 

@@ -59,8 +59,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, raw - raw[0]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most ``limit`` bytes of text, or of one row."""
+def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``limit`` bytes of text and ``rows`` rows, or of one row."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -70,7 +70,7 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
         total, at = np.cumsum(sizes), 0
         while at < n:
             before = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(total, before + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
