@@ -104,9 +104,14 @@ def status_place(status: Column) -> Column:
     return F.array_join(F.transform(steps, lambda x: F.concat(F.lit("/"), x)), "")
 
 
-def digits_lost(canonical: Column, kind: str) -> Column:
-    """Whether a numeral has more digits after the point than a column of this type."""
-    return canonical.rlike("[.][0-9]{19}") if kind == DECIMAL else F.contains(canonical, F.lit("."))
+#: Numerals that a decimal column of each type can't hold: of too many digits before the point,
+#: or with one behind its scale that isn't 0. Other types are tried by a cast.
+TOO_LONG = {DECIMAL: "^[+-]?0*[1-9][0-9]{20}|[.][0-9]{18}[0-9]*[1-9]", "decimal(38,0)": "^[+-]?0*[1-9][0-9]{38}|[.][0-9]*[1-9]", "decimal(20,0)": "^[+-]?0*[1-9][0-9]{20}|[.][0-9]*[1-9]"}
+
+
+def out_of_range(text: Column, value: Column, kind: str) -> Column:
+    """Whether a numeral isn't held exactly by ``value``, its cast to a column's type."""
+    return text.rlike(TOO_LONG[kind]) if kind in TOO_LONG else value.isNull()
 
 
 def decimal_digits(numerator: int, denominator: int) -> str | None:

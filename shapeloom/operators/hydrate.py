@@ -105,7 +105,7 @@ class Hydration:
             if self.numbers == "text":
                 value = F.when(right & ok, shown)
             else:
-                bad = V.first_status(bad, F.when(right & (value.isNull() | V.digits_lost(shown, kind)), "NUMBER_RANGE"))
+                bad = V.first_status(bad, F.when(right & V.out_of_range(text, value, kind), "NUMBER_RANGE"))
             return Value(V.first_status(wrong, bad), value, shown, F.concat(F.lit(V.NUMBER), V.number_key(shown)))
         else:
             how = {T.XSD + "hexBinary": "hex", T.XSD + "base64Binary": "base64"}.get(layout.datatype)
