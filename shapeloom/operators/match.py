@@ -96,13 +96,18 @@ def star(quads: DataFrame, frames: DataFrame, subject: str, parts: list[tuple[st
     """Several properties of one subject in one aggregate instead of a join each.
 
     ``parts``: (predicate, column for the object, column for the number of matches). Quads
-    are grouped by subject and graph; the scan is filtered to the predicates.
+    are grouped by subject and graph; the scan is filtered to the predicates. The least text
+    is found by sorting, so rows are dealt out before they are aggregated: a task then sorts
+    its partition, not all the quads that a split of a small file is lifted to. They are dealt
+    by subject alone, which serves the join as well where the graph is a constant.
     """
     predicates = sorted({p for p, _, _ in parts})
-    rows = quads.where(F.col("p").isin(predicates)).select(F.col("s").alias(subject), "p", "o", F.col("g").alias(GRAPH))
+    which = F.coalesce(*(F.when(F.col("p") == p, i) for i, p in enumerate(predicates)))
+    rows = quads.where(F.col("p").isin(predicates)).select(F.col("s").alias(subject), which.alias("p"), "o", F.col("g").alias(GRAPH))
+    rows = rows.repartition(subject)
     aggs = []
     for predicate, o, n in parts:
-        hit = F.col("p") == predicate
+        hit = F.col("p") == predicates.index(predicate)
         aggs.append(F.min(F.when(hit, F.col("o"))).alias(o))
         if not assume_unique:
             aggs.append(F.count(F.when(hit, 1)).alias(n))
