@@ -60,12 +60,38 @@ def scan(quads: DataFrame, pattern: Quad) -> DataFrame:
     return out.select(*keep, *([F.col("g").alias(GRAPH)] if pattern[3] is None else []))
 
 
+#: Words of 64 bits that a filter has at most.
+WORDS = 1 << 20
+
+
+def _bits(columns: list[str]) -> tuple[Column, Column]:
+    """The word of a filter that values are looked up in, and the two bits that they set in it."""
+    h = F.xxhash64(*columns)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    return h.bitwiseAND(F.lit(WORDS - 1)), bit(32).bitwiseOR(bit(40))
+
+
+def likely(out: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``out`` without most of the rows whose ``columns`` are in none of ``rows``; a join must
+    follow. The filter is of bounded size: with more rows than it has room for it lets more
+    through, never less than all that fit."""
+    word, bits = _bits(columns)
+    words = rows.groupBy(word.alias("_word")).agg(F.bit_or(bits).alias("_bits"))
+    at, mine = (out.withColumn("_at", word), F.col("_bits").bitwiseAND(bits) == bits)
+    return at.join(F.broadcast(words), F.col("_at") == F.col("_word")).where(mine).select(*out.columns)
+
+
 def match(quads: DataFrame, frames: DataFrame, patterns: tuple[Quad, ...]) -> DataFrame:
-    """All matches: the frames' columns and the variables that the patterns bind."""
+    """All matches: the frames' columns and the variables that the patterns bind.
+
+    A pattern that closes a cycle of others binds nothing new and mostly leaves few matches:
+    the rest go by a filter before they are shuffled once more."""
     out = frames
-    for pattern in _ordered(patterns, {int(c[1:]) for c in frames.columns if c[1:].isdigit()}):
+    for i, pattern in enumerate(_ordered(patterns, {int(c[1:]) for c in frames.columns if c[1:].isdigit()})):
         rows = scan(quads, pattern)
         shared = [c for c in rows.columns if c in out.columns]
+        if i > 1 and len(variables((pattern,))) > 1 and set(rows.columns) <= set(out.columns):
+            out = likely(out, rows, shared)
         out = out.join(rows, shared) if shared else out.crossJoin(rows)
     return out
 

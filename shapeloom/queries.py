@@ -193,12 +193,15 @@ def bgp_star(spark, sf):
 
 @query("SELECT DISTINCT o_custkey AS c, l_suppkey AS s, c_nationkey::BIGINT AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey = s_nationkey")
 def bgp_triangle(spark, sf):
-    buys = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    buys = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey")
+    # Keys are dealt out by the subject made of them, so the join by subject needs no shuffle of terms. Repeated quads
+    # only repeat matches, and these are made distinct, where one in 25 is left.
+    buys = buys.repartition(F.concat(F.lit("<"), subject("customer", "o_custkey"), F.lit(">")))
     quads = link(buys, "customer", ["o_custkey"], "buysFrom", "supplier", ["l_suppkey"])
     quads = quads.unionByName(link(table(spark, sf, "customer"), "customer", ["c_custkey"], "inNation", "nation", ["c_nationkey"]))
     quads = quads.unionByName(link(table(spark, sf, "supplier"), "supplier", ["s_suppkey"], "inNation", "nation", ["s_nationkey"]))
     out = match(quad_set(quads), frames_of(spark), ((0, term("buysFrom"), 1, None), (0, term("inNation"), 2, None), (1, term("inNation"), 2, None)))
-    return out.select(key_of("_0").alias("c"), key_of("_1").alias("s"), key_of("_2").alias("n"))
+    return out.select("_0", "_1", "_2").distinct().select(key_of("_0").alias("c"), key_of("_1").alias("s"), key_of("_2").alias("n"))
 
 
 @query("SELECT '\"' || a.r_name || '\"' AS a, '\"' || b.r_name || '\"' AS b FROM region a, region b")
