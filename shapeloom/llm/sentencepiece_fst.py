@@ -17,7 +17,10 @@ Each input is composed with them lazily, arc by arc from the states that are rea
 path of least weight is taken in the tropical semiring (weights add up along a path, the
 least one counts). No piece goes on after a character before U+2581, nor over a character that is
 in no longer piece, so an input falls apart there into units whose paths are independent;
-paths of units are kept in a bounded memo. Each worker builds the machines from the model file's
+paths of units are kept in a bounded memo. Units that aren't there are composed together
+(``compose``): the first places of all of them at once, then the second ones, as arrays, for as
+long as a place of a unit has one state. A unit with more, and those of a length that few have,
+are composed by themselves (``path``). Each worker builds the machines from the model file's
 bytes (0.5 MB).
 
 One case is no path: pieces of several blanks have equal ranks, so how a run of blanks is merged
@@ -36,7 +39,9 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +60,10 @@ INF = float("inf")
 BYTES = -1
 #: Weight of a byte fallback beside log probabilities.
 FALLBACK = 1e6
+#: Units composed together: so many at least, of so many characters at most.
+TOGETHER, CHARACTERS = 8, 1 << 17
+#: Weights of pairs of pieces that are remembered, and the places of their table (a power of two).
+PAIRS, PAIR_BITS = 2_000_000, 21
 
 
 class Normaliser:
@@ -117,6 +126,69 @@ class Pieces:
             for c in p:
                 node = node[0].setdefault(c, [{}, None, 0.0])
             node[1:] = i, weight[i]
+        self._pack()
+
+    def _pack(self) -> None:
+        """The trie as a double array. Characters have classes from 1 on, common ones first. The child of
+        a node is at ``base`` of the node and class, if the ``owner`` of that place is the node."""
+        todo = [self.root]
+        for node in todo:
+            todo += node[0].values()
+        edges = Counter(c for node in todo for c in node[0])
+        class_of = {c: k for k, (c, _) in enumerate(edges.most_common(), 1)}
+        base, owner, piece, weight = [0], [-1], [-1], [0.0]
+        start: dict[int, int] = {}
+        nodes, free = [(self.root, 0)], 1  # no place before ``free`` is
+        for node, place in nodes:
+            at = sorted(class_of[c] for c in node[0])
+            if not at:
+                continue
+            while free < len(owner) and owner[free] >= 0:
+                free += 1
+            b = free - at[0]  # may be below 0, as places count from both ends
+            if len(at) > 1:
+                b = max(start.get(len(at), b), b)
+                for b in range(b, b + 16):
+                    if not any(owner[b + k] >= 0 for k in at if b + k < len(owner)):
+                        break
+                else:
+                    b = len(owner) - at[0]
+                start[len(at)] = b
+            base[place] = b
+            more = b + at[-1] + 1 - len(owner)
+            if more > 0:
+                base += [0] * more
+                owner += [-1] * more
+                piece += [-1] * more
+                weight += [0.0] * more
+            for c, child in node[0].items():
+                k = b + class_of[c]
+                owner[k] = place
+                if child[1] is not None:
+                    piece[k], weight[k] = child[1:]
+                nodes.append((child, k))
+        room = len(class_of) + 1  # behind the last base
+        self.base, self.owner = np.array(base, np.int32), np.array(owner + [-1] * room, np.int32)
+        self.piece, self.weight = np.array(piece, np.int32), np.array(weight)
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[[ord(c) for c in class_of]] = list(class_of.values())
+
+    def all_arcs(self, classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(from, to, piece, weight) of the arcs from these places, as ``arcs`` gives them. Class 0 ends a text."""
+        found, node, start = [], np.zeros(len(at), np.int32), at
+        alone = np.zeros(len(classes), bool)
+        for d in range(self.longest):
+            to = self.base[node] + classes[at + d]
+            on = np.flatnonzero(self.owner[to] == node)
+            at, node = at[on], to[on]
+            piece = self.piece[node]
+            ends = np.flatnonzero(piece >= 0)
+            found.append((at[ends], at[ends] + (d + 1), piece[ends], self.weight[node[ends]]))
+            if not d:
+                alone[found[0][0]] = True
+        lone = start[~alone[start]]
+        found.append((lone, lone + 1, np.full(len(lone), BYTES, np.int32), np.full(len(lone), FALLBACK)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int, float]]:
         """(place, piece, weight) of the arcs from a place; the piece ``BYTES`` is the fallback."""
@@ -137,9 +209,12 @@ class Neighbours:
 
     def __init__(self, pieces: list[str], ids: dict[str, int], score: dict[str, float]):
         self.pieces, self.ids, self.score, self.known = pieces, ids, score, {}
+        self.rank = {p: -x for p, x in score.items()}
+        self._traces: tuple[dict[int, tuple | None], dict[int, tuple | None]] = {}, {}
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces that merging gives, best pair first, leftmost of equals."""
+    def merge(self, text: str, log: list[tuple[float, int, int, str]] | None = None) -> list[str]:
+        """The pieces that merging gives, best pair first, leftmost of equals. ``log`` gets the
+        merges: rank, place, the place behind it, the new piece."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         agenda: list[tuple[float, int, str]] = []
@@ -159,6 +234,8 @@ class Neighbours:
                 continue  # one of the two has been merged since
             parts[i], parts[j] = both, None
             after[i] = after[j]
+            if log is not None:
+                log.append((self.rank[both], i, after[i], both))
             if after[i] < len(parts):
                 before[after[i]] = i
             offer(before[i])
@@ -187,10 +264,75 @@ class Neighbours:
         pair = state << 20 | piece
         found = self.known.get(pair)
         if found is None:
-            x, y = self.pieces[state], self.pieces[piece]
-            found = self.known[pair] = 0.0 if self.merge(x + y) == [x, y] else INF
+            if len(self.known) >= PAIRS:
+                self.known.clear()
+            found = self.known[pair] = 0.0 if self._apart(state, piece) else INF
         return found
 
+    def _trace(self, piece: int, right: bool) -> tuple | None:
+        """How merging makes a piece of its characters: the part at its left or right edge at first, then
+        of each merge the rank and the new part at the edge, if it changes. Nothing for a piece
+        that merging doesn't make."""
+        text, log = self.pieces[piece], []
+        if self.merge(text, log) != [text]:
+            return None
+        changes = [(rank, both if (end == len(text) if right else i == 0) else None) for rank, i, end, both in log]
+        return text[-1 if right else 0], [*changes, (INF, None)]
+
+    def _apart(self, x: int, y: int) -> bool:
+        """If merging the joined text gives back these two: their own merges go on side by side, best
+        one first, the left one of equals, and the parts at the border must never be the best pair."""
+        lefts, rights = self._traces
+        if x not in rights:
+            rights[x] = self._trace(x, True)
+        if y not in lefts:
+            lefts[y] = self._trace(y, False)
+        if rights[x] is None or lefts[y] is None:
+            return False
+        (a, of_x), (b, of_y) = rights[x], lefts[y]
+        rank, i, j = self.rank.get, 0, 0
+        own, part = of_x[0]
+        other, first = of_y[0]
+        across = rank(a + b, INF)
+        while True:
+            if across < own and across <= other and across < INF:
+                return False
+            if own <= other:
+                if own == INF:
+                    return True
+                i += 1
+                if part is not None:
+                    a = part
+                    across = rank(a + b, INF)
+                own, part = of_x[i]
+            else:
+                j += 1
+                if first is not None:
+                    b = first
+                    across = rank(a + b, INF)
+                other, first = of_y[j]
+
+    def weights(self, states: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """The same of many; a table of one place for each pair's hash is asked first."""
+        if self._table is None:
+            self._table = np.full(1 << PAIR_BITS, -1, np.int64)  # pair and whether it is one, or -1
+        out = np.zeros(len(states))
+        some = np.flatnonzero((states >= 0) & (pieces >= 0))
+        pair = states[some].astype(np.int64) << 20 | pieces[some]
+        slot = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        entry = self._table[slot]
+        new = np.flatnonzero(entry >> 1 != pair)
+        if len(new):
+            fresh, back = np.unique(pair[new], return_inverse=True)
+            weight = self.weight
+            fine = np.array([weight(p >> 20, p & 0xFFFFF) == 0.0 for p in fresh.tolist()], np.int64)
+            entry[new] = (fresh << 1 | fine)[back]
+            self._table[slot[new]] = entry[new]
+        out[some[entry & 1 == 0]] = INF
+        return out
+
+    _table: np.ndarray | None = None
+
 
 class Transducer:
     def __init__(self, model: bytes):
@@ -209,6 +351,7 @@ class Transducer:
         self.kinds = [p.type for p in m.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)], np.int32)
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
         longer = [p for p in self.ids if len(p) > 1]
         joined = set("".join(longer))
@@ -264,9 +407,78 @@ class Transducer:
     def _ids(self, parts: list[str]) -> list[int]:
         return [i for p in parts for i in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
 
+    def compose(self, units: list[str]) -> list[bytes | None]:
+        """Ids on the paths of least weight of all these units. Nothing for a unit that has
+        two states in one place: ``path`` keeps these apart."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        first = np.cumsum(size + 1) - size - 1  # behind each unit is a place for its end
+        end, total = first + size, int(size.sum()) + len(units)
+        text = np.frombuffer(("\n".join(units) + "\n").encode("utf-32-le"), "<u4")
+        classes = self.machine.classes[text]
+        classes[end] = 0
+        inside = np.ones(total, bool)
+        inside[end] = False
+        unit_of = np.repeat(np.arange(len(units)), size + 1)
+        at = np.flatnonzero(inside)
+        arcs = self.machine.all_arcs(classes, at)
+        step = (arcs[0] - first[unit_of[arcs[0]]]).astype(np.uint16)
+        order = np.argsort(step, kind="stable")
+        arcs = tuple(x[order] for x in arcs)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(step, minlength=int(size.max())))]).tolist()
+
+        # Of each place the state that is reached: weight, the last piece and the place before.
+        least, last, before = np.full(total, INF), np.full(total, BYTES, np.int32), np.zeros(total, np.int64)
+        least[first] = 0.0
+        apart = np.zeros(len(units), bool)
+        for a, b in zip(bounds, bounds[1:]):
+            i, j, piece, weight = (x[a:b] for x in arcs)
+            so_far = least[i] + weight
+            if self.neighbours is not None:
+                so_far += self.neighbours.weights(last[i], piece)
+                on = np.flatnonzero(so_far < INF)
+                i, j, piece, so_far = i[on], j[on], piece[on], so_far[on]
+                apart[unit_of[j[least[j] < INF]]] = True
+            # Arcs of one step into one place: none, as those from a place have different lengths.
+            on = np.flatnonzero(so_far < least[j])
+            j = j[on]
+            least[j], last[j], before[j] = so_far[on], piece[on], i[on]
+        apart |= least[end] == INF
+
+        kept, now = np.zeros(total, bool), np.flatnonzero(~apart)
+        place, start = end[now], first[now]
+        while len(place):
+            kept[place] = True
+            place = before[place]
+            more = place > start
+            place, start = place[more], start[more]
+        kept = np.flatnonzero(kept)
+        ids = last[kept]
+        count = np.ones(len(kept), np.int64)
+        lone = np.flatnonzero(ids == BYTES)
+        if len(lone):
+            chars = text[kept[lone] - 1]
+            count[lone] += (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+            ids = np.repeat(ids, count)
+            ids[ids == BYTES] = self.byte_ids[np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8)]
+        flat = ids.astype("<u4").tobytes()
+        cut = np.concatenate([[0], 4 * np.cumsum(count)])[np.searchsorted(kept, np.append(first, total))].tolist()
+        return [None if x else flat[a:b] for x, a, b in zip(apart.tolist(), cut, cut[1:])]
+
     def _make(self, units: list[str]) -> list[bytes]:
-        find, path = self.unit.findall, self.path
-        return [array("I", [i for u in find(unit) for i in path(u)]).tobytes() for unit in units]
+        parts = list(map(self.unit.findall, units))
+        done: dict[str, bytes | None] = {}
+        groups: dict[int, list[str]] = {}
+        for u in dict.fromkeys(chain.from_iterable(parts)):
+            groups.setdefault(0 if self.bpe and SPACE * 2 in u else len(u).bit_length(), []).append(u)
+        for bits, group in groups.items():
+            some = max(1, CHARACTERS >> bits)
+            for k in range(0, len(group), some):
+                now = group[k : k + some]
+                done.update(zip(now, self.compose(now) if bits and len(now) >= TOGETHER else [None] * len(now)))
+        for u, ids in done.items():
+            if ids is None:
+                done[u] = array("I", self.path(u)).tobytes()
+        return [done[p[0]] if len(p) == 1 else b"".join([done[u] for u in p]) for p in parts]
 
     def _split(self, text: str | None) -> list[str]:
         """The units of a text: lines fall apart before U+2581."""

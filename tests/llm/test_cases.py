@@ -555,6 +555,52 @@ def test_transducer_equals_the_library():
     assert [fst.decode(x) for x in got] == lib.decode(got)
 
 
+def test_units_are_composed_together():
+    """Arrays of units give the path of each, in much less time than one by one."""
+    import public_tokenizers
+
+    from shapeloom.llm.sentencepiece_fst import Transducer
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    rng = random.Random(12)
+    syllables = ["an", "the", "ro", "ñe", "sti", "Qu", "zz", "io", "k", "ö", "ent", "***", ".", "0", "日", "゛", "\u0378", "\U0001f9ff", "\x00"]
+    words = [*{"".join(rng.choice(syllables) for _ in range(rng.randrange(1, 9))) for _ in range(30_000)}, *("ab" * n for n in range(1, 300)), "\n" * 40, "  x"]
+    together, alone = Transducer(model), Transducer(model)
+    start = time.process_time()
+    got = together.encode(words)
+    middle = time.process_time()
+    want = [[i for u in alone._split(w) for part in alone.unit.findall(u) for i in alone.path(part)] for w in words]
+    end = time.process_time()
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert 1.5 * (middle - start) < end - middle
+
+
+def test_pairs_without_merging():
+    """Whether pieces stay beside each other, by their own merges and by those of the joined text."""
+    import public_tokenizers
+
+    from shapeloom.llm.sentencepiece_fst import Neighbours, Transducer
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        near = Transducer(f.read()).neighbours
+    rng = random.Random(13)
+    ids, score = [*near.ids.values()], {"a": 0.0, "b": 0.0, "c": 0.0, "aa": -1.0, "ab": -2.0, "bc": -2.0, "aab": -3.0, "aaaa": -3.0, "bca": -1.0, "cb": -4.0, "abab": -4.0, "bb": -5.0, "xyz": -1.0}
+    small = Neighbours([*score], {p: i for i, p in enumerate(score)}, score)  # with equal ranks, and a piece that merging doesn't make
+    pairs = [(near, rng.choice(ids), rng.choice(ids)) for _ in range(20_000)]
+    for p, i in near.ids.items():  # those that are a piece together
+        pairs += [(near, near.ids[p[:k]], near.ids[p[k:]]) for k in range(1, len(p)) if p[:k] in near.ids and p[k:] in near.ids][:2]
+    pairs += [(small, i, j) for i in small.ids.values() for j in small.ids.values()]
+    for which, i, j in pairs:
+        x, y = which.pieces[i], which.pieces[j]
+        assert (which.weight(i, j) == 0.0) == (which.merge(x + y) == [x, y]), (x, y)
+    for which in (near, small):
+        left, right = np.array([(i, j) for w, i, j in pairs if w is which], np.int32).T
+        for _ in range(2):  # made, then remembered
+            assert which.weights(left, right).tolist() == [which.weight(i, j) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
+        assert not which.weights(left, np.full_like(left, -1)).any() and not which.weights(np.full_like(left, -1), right).any()
+
+
 def test_unigram_paths():
     """The same machine with log probabilities as weights: the least sum wins."""
     from sentencepiece import sentencepiece_model_pb2 as pb
