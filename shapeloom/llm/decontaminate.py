@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shapeloom.llm.lean import lean
 from shapeloom.llm.words import NON_ALNUM, Words, chunked, mix, owner
 from shapeloom.shared import free_name
 
@@ -169,7 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 key = [hashlib.md5(x.as_buffer() if x.is_valid else b"").digest() for x in text]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array([[{"s": a, "e": b} for a, b in x] for x in spans], _span_type), pa.array(items, pa.list_(pa.string()))], ["id", "key", "n_words", "spans", "items"])
 
-        passes.append(rows.mapInArrow(search, f"id {kind}, key binary, n_words long, spans {SPANS}, items array<string>"))
+        passes.append(rows.mapInArrow(lean(search), f"id {kind}, key binary, n_words long, spans {SPANS}, items array<string>"))
     out = passes[0]
     if len(passes) > 1:
         more = passes[1]
@@ -202,7 +203,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
                 total = np.asarray(batch.column(at)) + np.array([len(x) for x in items])
                 yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-        out = out.mapInArrow(add, out.schema)
+        out = out.mapInArrow(lean(add), out.schema)
     return out.where(F.col(count) < least).drop(count)
 
 

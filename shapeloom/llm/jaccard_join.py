@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.llm.components import components
 from shapeloom.llm.ids import LAST, last_id, ordered_id
+from shapeloom.llm.lean import lean
 from shapeloom.llm.words import Words, chunked, mix, owner, windows
 from shapeloom.shared import stored, tidy
 
@@ -181,7 +182,7 @@ def profile(docs: DataFrame, seed: int, least: int, keep: list[str]) -> DataFram
 
     shape = ", ".join(f"{x}{k} {'boolean' if x == 'small' else 'long'}" for k in (0, 1) for x in ("held", "able", "need", "small"))
     more = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return docs.select("d", "id", "text", *keep).mapInArrow(run, f"d {kinds['d']}, id {kinds['id']}, n long, c long, c2 long, band int, most long, {shape}, short boolean{more}")
+    return docs.select("d", "id", "text", *keep).mapInArrow(lean(run), f"d {kinds['d']}, id {kinds['id']}, n long, c long, c2 long, band int, most long, {shape}, short boolean{more}")
 
 
 def index_rows(docs: DataFrame, buckets: int, seed: int, least: int) -> DataFrame:
@@ -198,6 +199,8 @@ def index_rows(docs: DataFrame, buckets: int, seed: int, least: int) -> DataFram
         def flush():
             key, at, seg = (np.concatenate(x) for x in zip(*held, strict=True))
             names = np.concatenate(sets)
+            held.clear()
+            sets.clear()
             bucket = bucket_of(key, buckets)
             order = np.argsort(bucket, kind="stable")
             key, at, seg, bucket = key[order], at[order], seg[order], bucket[order]
@@ -235,7 +238,7 @@ def index_rows(docs: DataFrame, buckets: int, seed: int, least: int) -> DataFram
         if n:
             yield batch_of(list(flush()))
 
-    return docs.select("text").mapInArrow(run, "bucket int, sets binary, keys binary, at binary, segs binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket int, sets binary, keys binary, at binary, segs binary")
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -246,7 +249,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     """(c, below, kind, key, seg, full, near): the entries whose key another set has too, and how
     many sets have it as their subset and as a neighbour of it."""
 
-    def solve(bucket: int, packs: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, ...]:
+    def solve(bucket: int, packs: list[tuple[pa.Buffer, ...]]) -> tuple[np.ndarray, ...]:
         keys, sets, flags, segs = [], [], [], []
         for names, low, at, seg in packs:
             key = np.zeros((len(low) // 5, 8), np.uint8)
@@ -293,23 +296,23 @@ def repeated(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in columns], ["c", "below", "kind", "key", "seg", "full", "near"])
 
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if row[0] != now and packs:
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != now and packs:
                     held.append(solve(now, packs))
                     n += len(held[-1][0])
                     packs = []
                     if n >= PACK:
                         yield out()
                         held, n = [], 0
-                now = row[0]
-                packs.append(row[1:])
+                now = bucket
+                packs.append(tuple(x[i].as_buffer() for x in batch.columns[1:]))  # no copies
         if packs:
             held.append(solve(now, packs))
             n += len(held[-1][0])
         if n:
             yield out()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "c long, below int, kind int, key long, seg int, full long, near long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "c long, below int, kind int, key long, seg int, full long, near long")
 
 
 def rank_in(group: np.ndarray, *by: np.ndarray) -> np.ndarray:
@@ -390,7 +393,7 @@ def allocate(found: DataFrame, classes: DataFrame) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep], t) for v, t in out], ["key", "c", "n", "context", "rank", "below", "probe", "kind"])
 
-    return rows.mapInArrow(run, "key long, c long, n long, context int, rank int, below int, probe boolean, kind int")
+    return rows.mapInArrow(lean(run), "key long, c long, n long, context int, rank int, below int, probe boolean, kind int")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
@@ -409,7 +412,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
             yield out.filter(pa.array(same))
 
     texts = docs.select("d", "text").join(classes.select("d", "c").hint("merge"), "d").select("text", "c")
-    return texts.mapInArrow(run, "c long, n long, w array<long>, x array<long>, counts array<int>").dropDuplicates(["c"])
+    return texts.mapInArrow(lean(run), "c long, n long, w array<long>, x array<long>, counts array<int>").dropDuplicates(["c"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -438,6 +441,7 @@ def cross_links(names: np.ndarray, sets: list[np.ndarray], second: list[np.ndarr
     order = np.argsort(at, kind="stable")
     holders, start = holder[order], np.searchsorted(at[order], np.arange(len(words) + 1))
     cut = np.concatenate([[0], np.cumsum(size)])
+    del words, order, holder
     out = []
     for a in np.flatnonzero(probe).tolist():
         mine = at[cut[a] : cut[a + 1]]
@@ -512,7 +516,7 @@ def links_between(live: DataFrame, roots: DataFrame, sets: DataFrame, block_shin
         if held:
             yield solve(held)
 
-    found = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
+    found = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lean(run), "a long, b long")
     return found.unionByName(listed).distinct()
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.llm.language_model import held_out
+from shapeloom.llm.lean import lean
 from shapeloom.llm.words import BLANK, Words, chunked, mix, owner, text_bytes
 
 #: Terms of shapes, and of words and subwords; how much the latter weigh beside the former.
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary()), batch.column(2)], ["id", "v", "y"])
 
-    got = rows.select("id", "text", "y").mapInArrow(vectors, f"id {kind}, v binary, y int").groupBy("id", "y").agg(F.min("v").alias("v")).orderBy("id", "y").toArrow()
+    got = rows.select("id", "text", "y").mapInArrow(lean(vectors), f"id {kind}, v binary, y int").groupBy("id", "y").agg(F.min("v").alias("v")).orderBy("id", "y").toArrow()
     x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     return NeighbourVote(x, np.asarray(got["y"].to_pylist(), np.float32))
 
@@ -157,7 +158,7 @@ def score_quality(docs: DataFrame, model: NeighbourVote, text_col: str = "text",
             s = shared.value.score(features(batch.column(batch.schema.get_field_index(text_col))))
             yield pa.RecordBatch.from_arrays([pa.array(s) if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return out.mapInArrow(score, out.schema)
+    return out.mapInArrow(lean(score), out.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

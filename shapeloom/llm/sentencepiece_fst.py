@@ -48,6 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shapeloom.llm.lean import lean
 from shapeloom.llm.memo import Memo
 from shapeloom.llm.words import chunked
 
@@ -520,9 +521,14 @@ _machines: dict[bytes, Transducer] = {}
 
 def machine(model: bytes) -> Transducer:
     """The worker's machine of this model; its memo and acceptor last from task to task."""
-    if model not in _machines:
-        _machines[model] = Transducer(model)
-    return _machines[model]
+    found = _machines.get(model)
+    if found is None:
+        found = _machines[model] = Transducer(model)
+    return found
+
+
+def forget_machines() -> None:
+    _machines.clear()
 
 
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -540,7 +546,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             flat = np.concatenate(ids).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([fst.decode(x.tolist()) for x in ids], pa.string())], ["id", "ids", "decoded"])
 
-    return rows.mapInArrow(encode, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(encode, forget_machines), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -564,7 +570,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             n, crc, sha, same = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)], ["id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
-    return rows.mapInArrow(encode, f"id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(encode, forget_machines), f"id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
